@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, token_files
+from . import language, line_dedup, media, near_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,22 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs)
+    return found.select("row.doc_id", language.held_out_of(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity_percent=80)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
 }
 
 SQL = {
