@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, media, near_dedup, token_files
+from . import fingerprints, language, line_dedup, media, mixing, near_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), stored=False)
 
 
+#: Target weights of the documents' tree; a source's domain is the last character of its name.
+MIX_WEIGHTS = {"domain": {"0": 3, "1": 2, "*": 1}, "language": {"en": 10, "fr": 4, "de": 4, "es": 2, "*": 1}, "source": {"*": 1}}
+
+
+def mix_levels() -> dict:
+    return {"domain": F.right("source", F.lit(1)), "language": F.col("lang"), "source": F.col("source")}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS).select("row.doc_id", "domain", "language", "source", "epoch", "n_tokens", "take_tokens")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
@@ -41,12 +54,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity_percent=80)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL = {
@@ -66,5 +85,63 @@ SELECT keyed.doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON keyed.k = common.k
 GROUP BY keyed.doc_id
+""",
+    "op3_mixing": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(right(source, 1), '') AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+rows AS (SELECT * FROM docs WHERE n_tokens > 0),
+leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM rows GROUP BY ALL),
+d0 AS (
+  SELECT domain, sum(tokens) * 2 AS capacity,
+         CAST(CASE domain WHEN '0' THEN 3 WHEN '1' THEN 2 ELSE 1 END AS HUGEINT) AS w,
+         (SELECT sum(tokens) * 60 // 100 FROM leaves) AS given
+  FROM leaves GROUP BY domain),
+d1 AS (
+  SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM d0 WINDOW o AS (ORDER BY CAST(capacity AS DOUBLE) / CAST(w AS DOUBLE), domain)),
+d2 AS (SELECT *, capacity * weight_left <= (given - full_before) * w AS is_full FROM d1),
+d3 AS (
+  SELECT domain, CASE WHEN is_full THEN capacity
+    ELSE (given - coalesce(sum(capacity) FILTER (WHERE is_full) OVER (), 0)) * w // sum(w) FILTER (WHERE NOT is_full) OVER () END AS budget
+  FROM d2),
+l0 AS (
+  SELECT domain, language, sum(tokens) * 2 AS capacity,
+         CAST(CASE language WHEN 'en' THEN 10 WHEN 'fr' THEN 4 WHEN 'de' THEN 4 WHEN 'es' THEN 2 ELSE 1 END AS HUGEINT) AS w,
+         any_value(budget) AS given
+  FROM leaves JOIN d3 USING (domain) GROUP BY domain, language),
+l1 AS (
+  SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM l0 WINDOW o AS (PARTITION BY domain ORDER BY CAST(capacity AS DOUBLE) / CAST(w AS DOUBLE), language)),
+l2 AS (SELECT *, capacity * weight_left <= (given - full_before) * w AS is_full FROM l1),
+l3 AS (
+  SELECT domain, language, CASE WHEN is_full THEN capacity
+    ELSE (given - coalesce(sum(capacity) FILTER (WHERE is_full) OVER p, 0)) * w // sum(w) FILTER (WHERE NOT is_full) OVER p END AS budget
+  FROM l2 WINDOW p AS (PARTITION BY domain)),
+s0 AS (
+  SELECT domain, language, source, tokens, tokens * 2 AS capacity, CAST(1 AS HUGEINT) AS w, budget AS given
+  FROM leaves JOIN l3 USING (domain, language)),
+s1 AS (
+  SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM s0 WINDOW o AS (PARTITION BY domain, language ORDER BY CAST(capacity AS DOUBLE) / CAST(w AS DOUBLE), source)),
+s2 AS (SELECT *, capacity * weight_left <= (given - full_before) * w AS is_full FROM s1),
+s3 AS (
+  SELECT domain, language, source, tokens, CASE WHEN is_full THEN capacity
+    ELSE (given - coalesce(sum(capacity) FILTER (WHERE is_full) OVER p, 0)) * w // sum(w) FILTER (WHERE NOT is_full) OVER p END AS budget
+  FROM s2 WINDOW p AS (PARTITION BY domain, language)),
+epochs AS (
+  SELECT doc_id, domain, language, source, n_tokens, CAST(e.epoch AS BIGINT) AS epoch,
+         CAST(CASE WHEN e.epoch < budget // tokens THEN tokens ELSE budget % tokens END AS BIGINT) AS leaf_tokens
+  FROM rows JOIN s3 USING (domain, language, source), (SELECT unnest([0, 1, 2]) AS epoch) e
+  WHERE e.epoch <= budget // tokens),
+placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source, epoch ORDER BY md5('1:' || epoch || ':' || doc_id)) - n_tokens AS before
+  FROM epochs)
+SELECT doc_id, domain, language, source, epoch, n_tokens, CAST(least(n_tokens, leaf_tokens - before) AS BIGINT) AS take_tokens
+FROM placed WHERE before < leaf_tokens
 """,
 }
