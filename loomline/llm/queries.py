@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, suffix_dedup, token_files
+from . import fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_near_dedup": op6_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_pieces": op8_pieces,
     "op9_html_extract": op9_html_extract,
     "op10_fingerprints": op10_fingerprints,
 }
