@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .columns import let
 
 #: The white space that a key loses at both ends.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -110,8 +111,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_docs: int = 10, min_
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    ids = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2")]
-    # equal texts lose the same lines: the hashed lines of a text are stored once, with its number of rows
+    # rows are matched by their text, whatever their columns hold; the third part deals out the copies of one text
+    ids = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)), F.lit(1024)).alias("t3")]
     hashed = docs.select(*ids, F.transform(F.split(body, "\n"), lambda x: line_hash(x, min_chars)).alias("keys"))
     hashed = hashed.withColumn("batch", F.pmod(F.col("t1"), F.lit(batches)).cast("int"))
     hashed = storage.write(hashed, path := storage.new_path(spark, "line-keys"), "batch")
@@ -121,14 +122,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_docs: int = 10, min_
         keys = hashed.where(F.col("batch") == batch).select(F.explode(F.array_distinct("keys")).alias("k"))
         runs.add(keys.where("k is not null").select("k.*"))
 
-    at = hashed.select("t1", "t2", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("t1", "t2", "pos", "k.*")
-    drops = at.join(runs.common(), ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
-    rows = docs.select(F.struct("*").alias("row"), *ids).join(drops, ["t1", "t2"], "left")
+    at = hashed.select("t1", "t2", "t3", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("t1", "t2", "t3", "pos", "k.*")
+    drops = at.join(runs.common(), ["h1", "h2"], "left_semi").groupBy("t1", "t2", "t3").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    rows = docs.select(F.struct("*").alias("row"), *ids).join(drops, ["t1", "t2", "t3"], "left")
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
     lines = F.split(body, "\n")
     return rows.select(
         "row",
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNull(), body).otherwise(F.array_join(without_positions(lines, F.col("drops")), "\n")).alias("kept"),
+        F.when(F.col("drops").isNull(), body).otherwise(let(lines, lambda x: F.array_join(without_positions(x, F.col("drops")), "\n"))).alias("kept"),
     )
