@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def session_totals(stream: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a user with their rows and sums; works on a stream and on a table."""
-    timed = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    timed = _timed(stream, late)
     found = timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
 def first_completions(stream: DataFrame, key: str, *, late: str = "1 hour") -> DataFrame:
     """One row for each key."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+    timed = _timed(stream, late)
+    return timed.dropDuplicatesWithinWatermark([key]) if stream.isStreaming else timed.dropDuplicates([key])
 
 
 def rolling_totals(stream: DataFrame, *, window: str = "10 minutes", every: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    timed = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    timed = _timed(stream, late)
     found = timed.groupBy("event_type", F.window("ts", window, every).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return found.select("event_type", F.col("w.start").alias("start"), "n")
