@@ -33,11 +33,11 @@ BYTE_SYMBOL = 0xF0000
 LEAST = -32_000.0
 #: Weight for each character, the same on every path: it keeps the sums of short units in range.
 EVEN, SHORT = 15.0, 32
-EDGE = np.dtype([("cum", "<f8"), ("node", "<i4"), ("prev", "<i4"), ("piece", "<i4"), ("pad", "<i4")])
+EDGE = np.dtype([("cum", "<f8"), ("node", "<i4"), ("prev", "<i4"), ("piece", "<i4")])
 
 
 class Pieces:
-    def __init__(self, path: str, alpha: float, keep: int = 300_000):
+    def __init__(self, path: str, alpha: float, keep: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
