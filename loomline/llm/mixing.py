@@ -17,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 LEVELS = ("domain", "language", "source")
 #: Hex digits of the order's hash by which a leaf is cut up, so that no task sorts a whole leaf.
 CUT = 3
@@ -85,17 +87,18 @@ def leaf_cuts(docs: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     return plan.join(last, list(LEVELS), "left").select(*LEVELS, "whole_epochs", "last.*")
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], *, text: str = "text", seed: int = 1, budget_percent: int = 60, max_epochs: int = 2) -> DataFrame:
+def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], *, tokens: Column | None = None, seed: int = 1, budget_percent: int = 60, max_epochs: int = 2) -> DataFrame:
     """The rows of docs that make up the mixture, once for each epoch in which they are taken.
 
     levels: a column of docs for each of domain, language and source; null and empty are one node.
+    tokens: the number of tokens of a row (those of the column `text` if it is left out).
     Returns `row` (the input row), domain, language, source, epoch, n_tokens and take_tokens: all
     tokens of the row, or less where the leaf's budget ends. Rows without tokens are never taken.
     Rows of one doc_id have one place in the order and are cut alike. An empty table gives none.
     """
     names = {k: F.coalesce(levels[k].cast("string"), F.lit("")).alias(k) for k in LEVELS}
-    rows = docs.select(F.struct("*").alias("row"), *names.values(), count_tokens(F.col(text)).alias("n_tokens")).where("n_tokens > 0")
-    small = rows.select("row.doc_id", *LEVELS, "n_tokens")
+    rows = docs.select(F.struct("*").alias("row"), *names.values(), (count_tokens(F.col("text")) if tokens is None else tokens).alias("n_tokens")).where("n_tokens > 0")
+    small = storage.materialize(rows.select("row.doc_id", *LEVELS, "n_tokens"), "mix")
     leaves = small.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, budget_percent=budget_percent, max_epochs=max_epochs)
     cuts = leaf_cuts(small, budgets, seed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, suffix_dedup, token_files
+from . import fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, storage, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,10 @@ def mix_levels() -> dict:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS).select("row.doc_id", "domain", "language", "source", "epoch", "n_tokens", "take_tokens")
+    # the texts are read once, to count their tokens
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.count_tokens(F.col("text")).alias("n"))
+    docs = storage.materialize(docs, "counted")
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, tokens=F.col("n")).select("row.doc_id", "domain", "language", "source", "epoch", "n_tokens", "take_tokens")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +85,8 @@ class Shape:
         self.far = window - self.anchor
 
 
-def _probe(tokens: tuple[Tokens, Tokens], shape: Shape, shift: int, anchor: np.ndarray, distance: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leading token, place) of probes at anchor - distance; shift is the piece's place in the text."""
+def _probe(tokens: tuple[Tokens, Tokens], shape: Shape, shift: np.ndarray, anchor: np.ndarray, distance: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading token, place) of probes at anchor - distance; shift is what an anchor's place in the text is more than that in the piece."""
     width = STEPS[level] if level else 0
     start, length = anchor - distance, shape.window - width
     # a core starts at its least distance: the bytes that windows of distance .. distance + width share
@@ -99,29 +100,52 @@ def _fields(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> ANCHOR_AT & 0x7FFFFFFF, place >> DISTANCE_AT & 0x1FF, place & 3
 
 
-def anchors(tokens: Tokens, n: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the windows of n bytes, and the least and largest distance of windows that have them."""
-    places = np.arange(n - shape.anchor + 1)
-    order = (tokens.of(places, shape.anchor) >> np.uint64(20) << np.uint64(20)) | places.astype(np.uint64)
-    anchor = (sliding_min(order, shape.far + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
-    lo = np.flatnonzero(np.diff(anchor, prepend=-1))
-    hi = np.append(lo[1:], len(anchor)) - 1
-    return anchor[lo], anchor[lo] - hi, anchor[lo] - lo
-
-
-def first_probes(data: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Points and cores of the coarsest grid of distances, for all anchors of a text."""
+class Piece:
+    """Stretches of texts side by side, with the anchors of the windows that lie within one of them."""
+
+    def __init__(self, parts: list[np.ndarray], shape: Shape):
+        sizes = np.array([len(x) for x in parts])
+        self.begins = np.cumsum(sizes) - sizes
+        data = np.concatenate(parts)
+        self.tokens = Tokens(data, 0), Tokens(data, 1)
+        places = np.arange(len(data) - shape.anchor + 1)
+        order = (self.tokens[0].of(places, shape.anchor) >> np.uint64(20) << np.uint64(20)) | places.astype(np.uint64)
+        anchor = (sliding_min(order, shape.far + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        windows = sizes - shape.window + 1
+        part = np.repeat(np.arange(len(parts)), windows)
+        start = np.arange(windows.sum()) + np.repeat(self.begins - np.cumsum(windows) + windows, windows)
+        anchor = anchor[start]
+        first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        last = np.append(first[1:], len(anchor)) - 1
+        #: Of each anchor: its place, its part, and the least and largest distance of windows that have it.
+        self.anchor, self.part = anchor[first], part[first]
+        self.near, self.far = self.anchor - start[last], self.anchor - start[first]
+
+
+def in_pieces(parts: list[tuple[int, int, np.ndarray]], shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray, Piece]]:
+    """Pieces of at most PIECE bytes or so of the parts (document, place in it, bytes), with both numbers by part."""
+    group, size = [], 0
+    for part in [*parts, None]:
+        if group and (part is None or size + len(part[2]) > PIECE + 2 * shape.window):
+            yield np.array([x[0] for x in group]), np.array([x[1] for x in group]), Piece([x[2] for x in group], shape)
+            group, size = [], 0
+        if part is not None:
+            group.append(part)
+            size += len(part[2])
+
+
+def first_probes(texts: list[np.ndarray], shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, leading token, place) of points and cores of the coarsest grid of distances."""
     step = STEPS[2]
-    for shift in range(0, len(data) - shape.window + 1, PIECE):
-        piece = data[shift : shift + PIECE + shape.window - 1]
-        tokens = Tokens(piece, 0), Tokens(piece, 1)
-        anchor, near, far = anchors(tokens[0], len(piece), shape)
+    parts = [(i, shift, x[shift : shift + PIECE + shape.window - 1]) for i, x in enumerate(texts) for shift in range(0, len(x) - shape.window + 1, PIECE)]
+    for doc, shift, piece in in_pieces(parts, shape):
+        shift = shift - piece.begins
         for distance in range(0, shape.far + 1, step):
-            own = anchor[(near <= distance) & (distance <= far)]
-            yield _probe(tokens, shape, shift, own, np.full(len(own), distance), 0)
+            own = (piece.near <= distance) & (distance <= piece.far)
+            yield doc[piece.part[own]], *_probe(piece.tokens, shape, shift[piece.part[own]], piece.anchor[own], np.full(own.sum(), distance), 0)
             if distance < shape.far:
-                own = anchor[(near < distance + step) & (distance < far)]
-                yield _probe(tokens, shape, shift, own, np.full(len(own), distance), 2)
+                own = (piece.near < distance + step) & (distance < piece.far)
+                yield doc[piece.part[own]], *_probe(piece.tokens, shape, shift[piece.part[own]], piece.anchor[own], np.full(own.sum(), distance), 2)
 
 
 def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
@@ -142,36 +166,52 @@ def wanting(places: np.ndarray, shape: Shape, level: int) -> np.ndarray:
     return (kind == level) & (holes[anchor - distance - 1 + shape.window] > holes[first])
 
 
-def next_probes(data: np.ndarray, places: np.ndarray, shape: Shape, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Finer probes within the cores `places` of `level`."""
-    anchor, distance, _ = _fields(np.unique(places & (1 << CHECK_AT) - 1))
+def next_probes(texts: list[np.ndarray], places: list[np.ndarray], shape: Shape, level: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, leading token, place) of finer probes within the cores `places` of `level`."""
     width, step = STEPS[level], STEPS[level - 1]
-    group = np.maximum(anchor - shape.far, 0) // PIECE * PIECE
-    for shift in np.unique(group).tolist():
-        piece = data[shift : shift + PIECE + 2 * shape.window]
-        tokens = Tokens(piece, 0), Tokens(piece, 1)
+    parts, cores = [], []
+    for i, (data, own) in enumerate(zip(texts, places)):
+        anchor, distance, _ = _fields(np.unique(own & (1 << CHECK_AT) - 1))
+        group = np.maximum(anchor - shape.far, 0) // PIECE * PIECE
+        for shift in np.unique(group).tolist():
+            parts.append((i, shift, data[shift : shift + PIECE + 2 * shape.window]))
+            cores.append((anchor[group == shift] - shift, distance[group == shift]))
+    done = 0
+    for doc, shift, piece in in_pieces(parts, shape):
+        own, done = cores[done : done + len(doc)], done + len(doc)
+        a = np.concatenate([x[0] + begin for x, begin in zip(own, piece.begins)])
+        d = np.concatenate([x[1] for x in own])
+        shift = shift - piece.begins
         # a window is tested at its own anchor only, or it would be its own equal
-        all_anchors, near, far = anchors(tokens[0], len(piece), shape)
-        a, d = anchor[group == shift] - shift, distance[group == shift]
-        at = np.searchsorted(all_anchors, a)
-        near, far = near[at], far[at]
+        at = np.searchsorted(piece.anchor, a)
+        near, far, part = piece.near[at], piece.far[at], piece.part[at]
         for more in range(0, width, step):
             if more:
-                own = (near <= d + more) & (d + more <= far)
-                yield _probe(tokens, shape, shift, a[own], d[own] + more, 0)
+                fit = (near <= d + more) & (d + more <= far)
+                yield doc[part[fit]], *_probe(piece.tokens, shape, shift[part[fit]], a[fit], d[fit] + more, 0)
             if level > 1:
-                own = (near < d + more + step) & (d + more < far)
-                yield _probe(tokens, shape, shift, a[own], d[own] + more, level - 1)
+                fit = (near < d + more + step) & (d + more < far)
+                yield doc[part[fit]], *_probe(piece.tokens, shape, shift[part[fit]], a[fit], d[fit] + more, level - 1)
 
 
 PROBES = "h long, doc long, place long"
 
 
-def _probe_batch(doc: list[int], found: list[list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-    flat = [x for own in found for x in own]
-    lengths = [sum(len(x[0]) for x in own) for own in found]
-    h, place = (np.concatenate([x[i] for x in flat]) if flat else np.zeros(0, np.int64) for i in (0, 1))
-    return pa.record_batch([pa.array(h), pa.array(np.repeat(np.array(doc, np.int64), lengths)), pa.array(place)], names=["h", "doc", "place"])
+def _probe_batch(docs: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    parts = [*found, (np.zeros(0, np.int64),) * 3]
+    doc, h, place = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    return pa.record_batch([pa.array(h), pa.array(docs[doc]), pa.array(place)], names=["h", "doc", "place"])
+
+
+def _bytes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in column]
+
+
+def _lists(column: pa.Array, field: int | None = None) -> list[np.ndarray]:
+    """The arrays of a list column (of a field of its structs); an empty one for null."""
+    column = column.fill_null([]) if column.null_count else column
+    values = np.asarray(column.flatten() if field is None else column.flatten().field(field))
+    return np.split(values, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
 
 
 def repeated(probes: DataFrame) -> DataFrame:
@@ -232,15 +272,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                yield _probe_batch(batch.column(0).to_pylist(), [list(first_probes(np.frombuffer(x.as_buffer(), np.uint8), shape)) for x in batch.column(1)])
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield _probe_batch(np.asarray(batch.column(0)), first_probes(_bytes(batch.column(1)), shape))
 
     def wanted(level: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for probes in batch.column(0):
-                    h, place = np.array([x["h"] for x in probes.as_py()]), np.array([x["place"] for x in probes.as_py()])
+                for h, place in zip(_lists(batch.column(0), 0), _lists(batch.column(0), 1)):
                     own = wanting(place, shape, level)
                     yield pa.record_batch([pa.array(h[own]), pa.array(place[own] >> CHECK_AT)], names=["h", "check"])
 
@@ -249,10 +288,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -
     def narrow(level: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 64):
-                    batch = whole.slice(at, 64)
-                    found = [list(next_probes(np.frombuffer(x.as_buffer(), np.uint8), np.array(places.as_py()), shape, level)) for x, places in zip(batch.column(1), batch.column(2))]
-                    yield _probe_batch(batch.column(0).to_pylist(), found)
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    yield _probe_batch(np.asarray(batch.column(0)), next_probes(_bytes(batch.column(1)), _lists(batch.column(2)), shape, level))
 
         return work
 
@@ -264,7 +302,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -
         # a core that one document wants to look into is looked into wherever it occurs
         cores = found.where(level_of == level)
         by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("probes"), F.max(level_of).alias("most")).where(F.col("most") == level)
-        keys = by_doc.select("probes").mapInArrow(wanted(level), "h long, check long").distinct()
+        # written first: a stage that only joins can be split where one core has many rows
+        keys = storage.materialize(by_doc.select("probes").mapInArrow(wanted(level), "h long, check long").distinct(), "wanted")
         places = cores.withColumn("check", F.shiftright("place", CHECK_AT)).join(keys, ["h", "check"], "left_semi").groupBy("doc").agg(F.collect_list("place").alias("places"))
         probes = storage.write(texts.join(places, "doc").mapInArrow(narrow(level), PROBES), path := storage.new_path(spark, "probes"))
         more = storage.materialize(repeated(probes), "repeated")
@@ -277,9 +316,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, removed, digests, kept, spans = [], [], [], [], []
-            for x, places in zip(batch.column(1), batch.column(2)):
-                data = np.frombuffer(x.as_py() or b"", np.uint8)
-                gone = covered(len(data), np.array(places.as_py() or [], np.int64), shape.window)
+            for data, places in zip(_bytes(batch.column(1)), _lists(batch.column(2))):
+                gone = covered(len(data), places, shape.window)
                 runs = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
                 rest = data[~gone].tobytes()
                 sizes.append(len(data))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,30 +96,50 @@ class WordEncoder:
     def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.encode_all = Tokenizer.from_file(path).encode_batch_fast
-        self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_all, self.encode_word = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        # a lower-case plain word is one pre-token, so it goes to the vocabulary's model directly, spelt in its bytes
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelt(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.runs: dict[bytes, bytes] = {}
+        # ids of words, and of those before the last time that there were too many
+        self.words: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.marks = {"": b""}
         self.keep = keep
 
-    def _parts(self, wanted: set[str]) -> None:
-        new = [x for x in wanted if x not in self.parts]
-        for x, e in zip(new, self.encode_all(new, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.earlier.get(word)
+            if found is None:
+                found = array("I", [x.id for x in self.encode_word(word.translate(self.spelling))]).tobytes()
+            self.words[word] = found
+        return found
+
+    def _other(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.encode_all(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         split = [x.split() for x in texts]
         if len(self.runs) > self.keep:
             self.runs.clear()
-        if len(self.parts) > self.keep:
-            self.parts = {"": b""}
-        new = set().union(*split).difference(self.runs)
-        plain = {x: (m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(x)) else (x, "") for x in new}
-        self._parts({y for x in plain.values() for y in x})
-        parts = self.parts
-        self.runs.update((x, parts[a] + parts[b]) for x, (a, b) in plain.items())
-        get = self.runs.__getitem__
+        if len(self.words) > self.keep:
+            self.words, self.earlier = {}, self.words
+        runs, other = self.runs, []
+        for x in set().union(*split).difference(runs):
+            if m := self.PLAIN.fullmatch(x.decode()):
+                word, tail = m.groups()
+                if tail not in self.marks:
+                    self.marks[tail] = self._other([tail])[0]
+                runs[x] = self._word(word.lower()) + self.marks[tail]
+            else:
+                other.append(x)
+        runs.update(zip(other, self._other([x.decode() for x in other])))
+        get = runs.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
 
@@ -146,14 +167,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: in
         for batch in batches:
             for at in range(0, batch.num_rows, docs_at_once):
                 part = batch.slice(at, docs_at_once)
-                encoded = [x + end for x in encode([x or "" for x in part.column(1).to_pylist()])]
+                encoded = [x + end for x in encode([x or b"" for x in part.column(1).to_pylist()])]
                 ids = np.frombuffer(b"".join(encoded), "<u4")
                 packed = pack_blocks(ids)
                 row = [shard, segment, first, len(ids), part.column(0).to_pylist(), [len(x) // 4 for x in encoded], *(packed[x].astype(kind).tobytes() for x, kind in ARRAYS.items())]
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, kinds)], schema=kinds)
                 segment, first = segment + 1, first + len(ids)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", F.col("text").cast("binary")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(work, SEGMENT).write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.schema(SEGMENT).parquet(path)
 
