@@ -530,7 +530,7 @@ def a4_scorecard(spark, d):
 def a6_merged_raters(spark, d):
     labels = table(spark, d, "labels")
     one = lambda r, c: labels.select("doc_id", F.lit(r).alias("rater"), F.col(c).cast("double").alias("score"), F.col(c).alias("images"))
-    return budget.merged_raters(one("a", "quality").unionByName(one("b", "toxic")), ["doc_id"], ["score"], ["images"], ["score"])
+    return budget.merged_raters(one("a", "quality").unionByName(one("b", "toxic")), ["doc_id"], ["score"], ["images"], ["score"]).withColumn("agreement", F.col("agreement").cast("decimal(12,1)"))
 
 
 # streaming forms over the table
