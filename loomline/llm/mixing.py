@@ -101,7 +101,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     small = storage.materialize(rows.select("row.doc_id", *LEVELS, "n_tokens"), "mix")
     leaves = small.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, budget_percent=budget_percent, max_epochs=max_epochs)
-    cuts = leaf_cuts(small, budgets, seed)
+    # written first: Spark then knows their size, and broadcasts them or splits the rows of a hot leaf
+    cuts = storage.materialize(leaf_cuts(small, budgets, seed), "cuts")
     # one row a leaf comes from the cuts: which rows are taken needs no order of the rows themselves
     taken = rows.join(cuts, list(LEVELS)).withColumn("key", order_key(seed, F.col("whole_epochs"), F.col("row.doc_id")))
     part = F.when(F.col("key") < F.col("last_key"), F.col("n_tokens")).when(F.col("key") == F.col("last_key"), F.least("n_tokens", "last_tokens"))
