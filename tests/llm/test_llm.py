@@ -232,6 +232,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 50: 50, **{i: 50 for i in range(60, 80)}}
 
 
+def test_components_extend(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first, more = [(i, i + 1) for i in range(5, 9)] + [(20, 21), (30, 31)], [(9, 20), (21, 3), (40, 41), (5, 6)]
+    for extra in (more, [], [(7, 7)]):
+        got = components.extend_components(components.connected_components(frame(first)), frame(extra)).collect()
+        want = {r.id: r.component for r in components.connected_components(frame(first + extra)).collect()}
+        assert len(got) == len(want) and {r.id: r.component for r in got} == want
+
+
 # 7
 
 
