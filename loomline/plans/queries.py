@@ -454,7 +454,7 @@ def t3_negation_units(spark, d):
 @query("""SELECT event_id, (event_id % 70) * 60.0 + (event_id % 60) + 0.25 AS seconds FROM events WHERE event_id % 70 < 60""")
 def t6_timestamps(spark, d):
     stamp = F.format_string("%02d:%02d.250", F.col("event_id") % 70, F.col("event_id") % 60)
-    return table(spark, d, "events").select("event_id", T.parse_timestamp(stamp).alias("seconds")).where("seconds is not null")
+    return table(spark, d, "events").select("event_id", T.parse_timestamp(stamp).cast("decimal(25,2)").alias("seconds")).where("seconds is not null")
 
 
 @query("""SELECT page_id, 'https://www.youtube.com/watch?v=abcdefghijk&t=' || page_id || 's' AS link FROM pages WHERE page_id % 3 < 2""")
