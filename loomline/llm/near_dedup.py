@@ -70,14 +70,30 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+@functools.cache
+def _inverses() -> np.ndarray:
+    """What undoes the multiplication by each constant of signature()."""
+    return np.array([pow(int(a), -1, 1 << 32) for a in _constants(COORDINATES, 32)], np.uint32)
+
+
 def signature(hashes: np.ndarray) -> bytes:
-    """COORDINATES minwise values: the high 16 bits of each least hash."""
+    """COORDINATES minwise values of sorted hashes: 16 bits of a mixed hash of each least one.
+
+    The order of a coordinate is that of 32 permuted bits, then of the whole hash; the value is taken
+    from all 64 bits of the least hash, not from its place, and so differs however large the sets are.
+    """
+    if not len(hashes):
+        return b"\xff" * (2 * COORDINATES)
     a, b = _constants(COORDINATES, 32), _constants(2 * COORDINATES, 32)[COORDINATES:]
     x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         np.minimum(least, ((x[at : at + 2048, None] ^ b) * a).min(0), out=least)
-    return (least >> np.uint32(16)).astype(np.uint16).tobytes()
+    # back to the hashes: the first in order of those with these 32 bits
+    bits = ((least * _inverses()) ^ b).astype(np.uint64) << np.uint64(32)
+    order = np.sort(x.astype(np.uint64) << np.uint64(32) | np.arange(len(x), dtype=np.uint64))
+    won = hashes[order[np.searchsorted(order, bits)] & np.uint64(0xFFFFFFFF)]
+    return ((won * _constants(COORDINATES, 64)) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:

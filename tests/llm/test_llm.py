@@ -226,6 +226,27 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+def test_near_duplicates_of_very_long_documents(spark):
+    rng = np.random.default_rng(4)
+    size, sets = 300_000, {}
+    for i in range(200):
+        sets[i] = rng.integers(0, 1 << 64, size, np.uint64)
+    for i in range(0, 40, 2):  # 0.81 to 0.98 alike
+        changed = size // 100 * (1 + i // 4)
+        sets[i + 1] = np.concatenate([sets[i][changed:], sets[i + 1][:changed]])
+    sets = {i: np.unique(x) for i, x in sets.items()}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    want = {(i, i + 1) for i in range(0, 200, 2) if 100 * both(i, i + 1) >= 80 * (len(sets[i]) + len(sets[i + 1]) - both(i, i + 1))}
+    assert len(want) == 20
+    rows = [(i, len(x), near_dedup.signature(x)) for i, x in sets.items()]
+    of = np.array([np.frombuffer(sig, np.uint16) for _, _, sig in rows])
+    assert max((of[i] == of[j]).mean() for i in range(100, 200) for j in range(i)) < 0.05
+    classes = spark.createDataFrame(rows, "id long, n long, sig binary")
+    small, large = near_dedup.grow_trees(classes)
+    assert large.isEmpty()
+    assert {(r.a, r.b) for r in near_dedup.compare_nodes(small, classes, 80).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, i) for i in range(60, 80)] + [(90, 90)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
