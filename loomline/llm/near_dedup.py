@@ -6,8 +6,9 @@ after the other, and classes that picked the same tokens meet in a node. Nodes o
 classes are compared exhaustively; larger ones branch on. What is still large at the last level are
 groups of close copies: there each class is compared with its neighbours in signature order and with
 a pivot, the class that is in most large nodes (the nearer to what the group has in common, the more
-paths a class shares with the others); those that this leaves outside the pivot's component are
-compared with PIVOTS further pivots. So the work grows with the rows, not with pairs of a group.
+paths a class shares with the others); those that this leaves outside the component that most of a
+node is in are compared with all of the node. So every two classes of a node end in one component if
+they are linked, and the work grows with the rows and with what is outside, times the node.
 Pairs whose signatures agree enough are confirmed on the full sets, and confirmed links give
 connected components.
 """
@@ -30,7 +31,7 @@ TREES, BRANCHES, LEVELS, MORE_LEVELS = 16, 2, 4, 3
 #: Minwise values of 16 bits, one for each branch and level.
 COORDINATES = TREES * BRANCHES * LEVELS
 #: Classes of a node that are compared pair by pair; rows of a large node in one task.
-LIMIT, NEIGHBOURS, PART, PIVOTS = 32, 4, 4096, 48
+LIMIT, NEIGHBOURS, PART = 32, 4, 4096
 #: A pair is confirmed if this share of its signatures agrees: over four deviations below 0.8.
 AGREE = 0.62
 
@@ -208,6 +209,54 @@ def compare_pairs(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame
     return rows.mapInArrow(work, PAIRS)
 
 
+def compare_apart(large: DataFrame, parts: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """All pairs of classes of one large node that are in different components and whose signatures agree.
+
+    Of such a pair one at least is outside the component that most of the node is in, so those outside
+    are compared with the whole node, in blocks of about PART by PART.
+    """
+    rows = large.select("node", "id").join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
+    nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most")).where("all > most")
+    rows = rows.join(nodes, "node").join(classes, "id")
+    n_rows, n_out = F.ceil(F.col("all") / PART), F.ceil((F.col("all") - F.col("most")) / PART)
+    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = "id", "component", "n", "sig"
+    out = rows.where("component <> main").select("node", dealt(n_out, 1).alias("block"), each(n_rows).alias("part"), F.lit(0).alias("side"), *columns)
+    whole = rows.select("node", each(n_out).alias("block"), dealt(n_rows, 2).alias("part"), F.lit(1).alias("side"), *columns)
+    both = out.unionByName(whole).repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "side")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
+            side, ids, component, n = (np.asarray(batch.column(i)) for i in range(3, 7))
+            sig = _sig_matrix(batch.column(7))
+            new = (np.diff(keys, axis=0) != 0).any(1) | (np.diff(side) != 0)
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
+            for start, end in zip(bounds, bounds[1:]):
+                if start == end:
+                    continue
+                if tuple(keys[start]) != key:
+                    key, held = tuple(keys[start]), []
+                if not side[start]:
+                    held.append((ids[start:end], component[start:end], n[start:end], sig[start:end]))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                for o_ids, o_component, o_n, o_sig in held:
+                    for i in range(start, end):
+                        near = np.flatnonzero((o_component != component[i]) & (100 * np.minimum(o_n, n[i]) >= share * np.maximum(o_n, n[i])))
+                        found = (o_sig[near] == sig[i]).mean(1)
+                        ok = found >= AGREE
+                        if ok.any():
+                            a = o_ids[near[ok]]
+                            yield pa.record_batch([pa.array(np.minimum(a, ids[i])), pa.array(np.maximum(a, ids[i])), pa.array(found[ok])], names=["a", "b", "agree"])
+
+    return both.mapInArrow(work, PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= share * union of their full sets."""
     left, right = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
@@ -237,10 +286,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(work, "id long, hashes binary")
 
 
-def _pivots(ranked: DataFrame, n: int) -> DataFrame:
-    """(node, a): of each of n shares of a node's classes the one with the highest score."""
-    share = F.pmod(F.xxhash64("id"), F.lit(n))
-    return ranked.groupBy("node", share.alias("share")).agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("a")).select("node", "a")
+def _pivots(ranked: DataFrame) -> DataFrame:
+    """(node, a): of each node's classes the one with the highest score."""
+    return ranked.groupBy("node").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("a"))
 
 
 def _different(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -270,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     if crowded:
         score = large.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
         ranked = storage.materialize(large.select("node", "id").join(score, "id"), "ranked")
-        pivots = _pivots(ranked, 1)
+        pivots = _pivots(ranked)
         stars = storage.materialize(large.select("node", F.col("id").alias("b")).join(pivots, "node").select("a", "b").where("a <> b").distinct(), "stars")
         near = near.unionByName(compare_pairs(stars, joined, share))
     pairs = storage.materialize(near.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")), "pairs")
@@ -285,13 +333,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     parts = storage.materialize(extend_components(parts, rest), "parts")
 
     if crowded:
-        out = _different(stars, parts).select(F.col("b").alias("id")).distinct()
-        met = ranked.join(out, "id", "left_semi").select("node", F.col("id").alias("b")).join(_pivots(ranked, PIVOTS), "node")
-        met = _different(met.where("a <> b").select("a", "b").distinct(), parts)
-        more = storage.materialize(compare_pairs(met, joined, share), "pairs")
+        # what the pivots left apart, exhaustively: again first with the likest
+        more = storage.materialize(compare_apart(large, parts, joined, share), "pairs")
         ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        rest = storage.materialize(confirm(more, storage.materialize(sets_of(docs, ends, words), "sets"), share), "links")
-        parts = storage.materialize(extend_components(parts, rest), "parts")
+        sets = storage.materialize(sets_of(docs, ends, words), "sets")
+        sides = more.select(F.col("a").alias("id"), F.col("b").alias("other"), "agree").unionByName(more.select(F.col("b").alias("id"), F.col("a").alias("other"), "agree"))
+        best = sides.groupBy("id").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
+        best = best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        for tried in (best, more):
+            rest = storage.materialize(confirm(_different(tried.select("a", "b"), parts), sets, share), "links")
+            parts = storage.materialize(extend_components(parts, rest), "parts")
 
     of_class = classes.select("s1", "s2", "id").join(parts, "id", "left").select("s1", "s2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     rows = sketched.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")

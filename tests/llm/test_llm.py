@@ -226,6 +226,23 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+def test_near_duplicates_of_edited_members_of_a_large_group(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, n):
+        own = list(words)
+        for at in rng.sample(range(150), n):
+            own[at] = f"e{rng.randint(0, 10**9)}"
+        return own
+
+    members = [edited(base, 6) for _ in range(500)]
+    # near one member, which is far from the centre, and hardly any other
+    rows = {i: " ".join(x) for i, x in enumerate(members + [edited(members[i], 7) for i in range(0, 500, 3)])}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=2).collect()}
+    assert got == groups_by_force(rows, 2, 80)
+
+
 def test_near_duplicates_of_very_long_documents(spark):
     rng = np.random.default_rng(4)
     size, sets = 300_000, {}
