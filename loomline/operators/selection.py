@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -59,15 +61,24 @@ def omissions(candidates: DataFrame, selected: DataFrame, key: str, reasons: Map
     return candidates.join(selected.select(key).distinct(), key, "left_anti").withColumn("reason", reason)
 
 
-def prerequisites_closed(selected: DataFrame, edges: DataFrame, steps: int = 16) -> DataFrame:
-    """Selected ids and all that they need: edges (id, needs). Stops when a step adds nothing."""
-    found = frontier = selected.select("id").distinct()
-    for _ in range(steps):
-        frontier = frontier.join(edges, "id").select(F.col("needs").alias("id")).distinct().join(found, "id", "left_anti")
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found.distinct()
+def prerequisites_closed(selected: DataFrame, edges: DataFrame) -> DataFrame:
+    """Selected ids and all that they need: edges (id, needs). Stops when a step adds nothing.
+
+    What each step adds is a Parquet table in the folder of spark.checkpoint.dir, so that no step
+    works out the ones before it again.
+    """
+    spark = selected.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
+    path = f"{root.rstrip('/')}/prerequisites-{uuid.uuid4().hex}"
+    frontier, paths = selected.select("id").distinct(), []
+    schema = frontier.schema
+    while True:
+        paths.append(f"{path}/{len(paths)}")
+        frontier.write.parquet(paths[-1])
+        last, found = (spark.read.schema(schema).parquet(*x) for x in (paths[-1:], paths))
+        if last.isEmpty():
+            return found.distinct()
+        frontier = last.join(edges, "id").select(F.col("needs").cast(schema["id"].dataType).alias("id")).distinct().join(found, "id", "left_anti")
 
 
 def teaching_order(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:

@@ -148,3 +148,9 @@ def test_streaming_sessions(spark, data, tmp_path):
         assert spark.sql("SELECT count(*) FROM rolling").first()[0] > 0
     finally:
         found.stop()
+
+
+def test_prerequisites_of_a_long_chain_and_a_cycle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 201)], "id long, needs long")
+    found = selection.prerequisites_closed(spark.createDataFrame([(0,), (100,)], "id long"), edges)
+    assert got(found, "id") == [(i,) for i in [*range(41), 100, 101]]
