@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The lengths of a core, and the text that ends a sentence.
 CORE_SECONDS, MAX_CORE_SECONDS, CONTEXT_SECONDS = 120.0, 180.0, 10.0
@@ -131,10 +133,36 @@ def scroll_dedup(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """rows with `unique_id`: the first keeps its name, later ones get -2, -3 and so on (100 characters at most)."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    suffix = F.concat(F.lit("-"), n.cast("string"))
-    return rows.withColumn("unique_id", F.when(n == 1, F.col(name)).otherwise(F.concat(F.substring(name, 1, 96), suffix)))
+    """rows with `unique_id`, in order: the first keeps its name, later ones get the first of -2, -3 and so
+    on that is not taken yet. Names are stripped and cut to 100 characters, with their suffix; blank ones are "id".
+
+    Only names that are alike in 80 characters without ending numbers can meet; the rows of each such
+    family are one sorted run, of which the ids are held.
+    """
+    base = F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), 1, 100)
+    base = F.when(base == "", "id").otherwise(base)
+    family = F.regexp_replace(F.substring("_base", 1, 80), r"(?:-[0-9]*)+$", "")
+    group = [*keys, "_family"]
+    dealt = rows.withColumn("_base", base).withColumn("_family", family).repartition(*group).sortWithinPartitions(*group, *order)
+    columns = rows.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, at = None, set(), {}
+        for batch in batches:
+            ids = []
+            for *own, base in zip(*(batch.column(c).to_pylist() for c in [*group, "_base"])):
+                if own != last:
+                    last, used, at = own, set(), {}
+                found = base
+                while found in used:
+                    at[base] = at.get(base, 1) + 1
+                    suffix = f"-{at[base]}"
+                    found = base[: 100 - len(suffix)] + suffix
+                used.add(found)
+                ids.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(ids, pa.string())], names=[*columns, "unique_id"])
+
+    return dealt.mapInArrow(work, StructType([*rows.schema.fields, StructField("unique_id", StringType())]))
 
 
 def evenly_spaced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:

@@ -154,3 +154,19 @@ def test_prerequisites_of_a_long_chain_and_a_cycle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 201)], "id long, needs long")
     found = selection.prerequisites_closed(spark.createDataFrame([(0,), (100,)], "id long"), edges)
     assert got(found, "id") == [(i,) for i in [*range(41), 100, 101]]
+
+
+def test_unique_ids_skip_those_that_are_taken(spark):
+    long = "y" * 96
+    names = ["x", "x", "x-2", "x", " x ", "x-2-2", "x-2", None, "", long + "abcd", long + "abcd", long + "efgh", long + "abef", long + "abef", long + "ab-2"]
+    used, want = set(), []
+    for name in names:  # the rule itself, one after the other
+        base = found = (name or "id").strip()[:100] or "id"
+        n = 2
+        while found in used:
+            found, n = base[: 100 - len(f"-{n}")] + f"-{n}", n + 1
+        used.add(found)
+        want.append(found)
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    found = [x[1] for x in got(sequence.unique_ids(rows, [], ["i"], "name"), "i", "unique_id")]
+    assert found == want and found[:4] == ["x", "x-2", "x-2-2", "x-3"] and len(set(found)) == len(names)
