@@ -5,8 +5,8 @@ is exp(ALPHA * score), bytes that no piece spells are pieces of their own. Forwa
 the weights of all paths to each place, backward sampling draws a path from the end by those sums,
 with numbers that depend on the seed, the row's key and the place only. No piece holds a letter
 beside another kind of character, nor a space after anything, so the lattice falls apart into short
-units; the filtered lattice of a unit is worked out once for all its occurrences in a batch, and
-kept for further ones.
+units; the lattices of all new units of a batch are filtered at once, and kept for further ones, up
+to a number of bytes and to the end of the task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from math import exp, log
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +25,73 @@ from pyspark.sql import functions as F
 
 #: Units: spaces with letters or with other characters behind them, or alone.
 UNIT = re.compile(r" *(?:[^\W\d_]+|(?:[^\w ]|[\d_])+)| +")
+#: Numbers that are no digits (a half, Roman numerals): only where a text has one, the slower pattern that sets them apart from letters.
+NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+ANY_NUMBER = frozenset(NUMBERS)
+UNIT_OF_ANY = re.compile(rf" *(?:[^\W\d_{NUMBERS}]+|(?:[^\w ]|[\d_{NUMBERS}])+)| +")
+WHOLE = re.compile(r".+", re.S)
 #: The vocabulary's sign for a space; a text's own ones are spelt in bytes.
 SPACE = "▁"
 #: Symbols for single bytes, in a private range; a text's own ones are spelt in bytes.
 BYTE_SYMBOL = 0xF0000
 #: Least score: that of bytes and of pieces that the vocabulary only has for merging.
 LEAST = -32_000.0
-#: Weight for each character, the same on every path: it keeps the sums of short units in range.
-EVEN, SHORT = 15.0, 32
+#: Weight for each character, the same on every path, that keeps the sums of short units in range; log of the largest or least sum.
+EVEN, RANGE = 15.0, 560.0
 EDGE = np.dtype([("cum", "<f8"), ("node", "<i4"), ("prev", "<i4"), ("piece", "<i4")])
 
 
+class Trie:
+    """Vocabulary as a trie in arrays: states are numbers, transitions (state, code of a symbol) stand in an open hash table."""
+
+    def __init__(self, words: list[str]):
+        self.codes = {c: i for i, c in enumerate(sorted(set().union(*words)))}
+        keys: dict[int, int] = {}
+        n, ends = len(self.codes), []
+        for word in words:
+            state = 0
+            for c in word:
+                state = keys.setdefault(state * n + self.codes[c], len(keys) + 1)
+            ends.append(state)
+        #: Of each word: the state that it ends in.
+        self.ends = np.array(ends)
+        self.size = len(keys) + 1
+        self.mask = (1 << (8 * self.size).bit_length()) - 1
+        self.slots, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        left = np.fromiter(keys, np.int64, len(keys))
+        to, at = np.arange(1, len(keys) + 1), self._slot(left)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]], self.to[at[free]] = left[free], to[free]
+            lost = self.slots[at] != left
+            # of two keys for one slot the last one has it
+            left, to, at = left[lost], to[lost], at[lost] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        key = state * len(self.codes) + code
+        at = self._slot(key)
+        found = self.slots[at]
+        out = np.where(found == key, self.to[at], 0).astype(np.int64)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            found = self.slots[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Pieces:
-    def __init__(self, path: str, alpha: float, keep: int = 150_000):
+    def __init__(self, path: str, alpha: float, keep_bytes: int = 64_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        #: Of each piece: its bytes. Of each string that is or begins a piece: (weight, log weight, id) or (0, ...).
+        #: Of each piece: its bytes. Of each string that is a piece: (weight, log weight, id).
         self.spelt: list[bytes] = []
         self.edges: dict[str, tuple[float, float, int]] = {}
         for i in range(model.get_piece_size()):
@@ -54,14 +104,29 @@ class Pieces:
             else:
                 self.spelt.append(piece.replace(SPACE, " ").encode())
                 self._add(piece, alpha * max(model.get_score(i), LEAST), i)
-        self.longest = max(map(len, self.edges))
-        self.single = {x for x, e in self.edges.items() if len(x) == 1 and e[2] >= 0 and x < chr(BYTE_SYMBOL)} - {SPACE}
+        # a vocabulary whose pieces run over the bounds of units is sampled on whole texts
+        fits = all(UNIT_OF_ANY.fullmatch(x.replace(SPACE, " ")) for x in self.edges if x < chr(BYTE_SYMBOL))
+        self.by_units = fits
+        self.single = {x for x in self.edges if len(x) == 1 and x < chr(BYTE_SYMBOL)} - {SPACE}
+        self.trie = Trie(list(self.edges))
+        #: Code of each character that is a symbol as it is, and of each symbol; -1 for others.
+        self.spelling = np.full(0x110000, -1, np.int32)
+        self.spelling[list(map(ord, self.trie.codes))] = list(self.trie.codes.values())
+        self.plain = np.full(0x110000, -1, np.int32)
+        direct = list(map(ord, self.single))
+        self.plain[direct] = self.spelling[direct]
+        self.plain[ord(" ")] = self.spelling[ord(" ")] = self.trie.codes[SPACE]
+        #: By state of the trie: piece, weight and log weight.
+        self.piece = np.full(self.trie.size, -1, np.int32)
+        self.weight, self.log_weight = np.zeros(self.trie.size), np.zeros(self.trie.size)
+        self.weight[self.trie.ends], self.log_weight[self.trie.ends], self.piece[self.trie.ends] = zip(*self.edges.values())
+        #: Filtered lattices of units that were met, and their size.
         self.kept: dict[str, bytes] = {}
-        self.keep = keep
+        self.kept_bytes, self.keep_bytes = 0, keep_bytes
+        #: Symbols of units that are summed as they are; longer ones by logarithms.
+        self.short = int(RANGE / max(EVEN, -(alpha * LEAST + EVEN)))
 
     def _add(self, piece: str, score: float, i: int) -> None:
-        for k in range(1, len(piece)):
-            self.edges.setdefault(piece[:k], (0.0, 0.0, -1))
         self.edges[piece] = (exp(score + EVEN * len(piece)), score, i)
 
     def symbols(self, unit: str) -> str:
@@ -69,79 +134,97 @@ class Pieces:
             return unit.replace(" ", SPACE)
         return "".join(SPACE if c == " " else c if c in self.single else "".join(chr(BYTE_SYMBOL + b) for b in c.encode("utf-8", "surrogatepass")) for c in unit)
 
+    def _units(self, text: str) -> list[str]:
+        return (WHOLE if not self.by_units else UNIT if text.isascii() or ANY_NUMBER.isdisjoint(text) else UNIT_OF_ANY).findall(text)
+
+    def _codes(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the symbols of all units, and the number of each one's symbols."""
+        codes = self.plain[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        odd = codes < 0
+        if odd.any():
+            spelt = list(units)
+            for i in np.unique(np.repeat(np.arange(len(units)), sizes)[odd]).tolist():
+                spelt[i] = self.symbols(units[i])
+            codes = self.spelling[np.frombuffer("".join(spelt).encode("utf-32-le"), np.uint32)]
+            sizes = np.fromiter(map(len, spelt), np.int64, len(units))
+        return codes.astype(np.int64), sizes
+
     def lattices(self, units: list[str]) -> list[bytes]:
         """The filtered lattice of each unit: for each place the edges into it, with their summed chances."""
-        edges, longest = self.edges, self.longest
-        node: list[int] = []
-        prev: list[int] = []
-        piece: list[int] = []
-        chance: list[float] = []
-        ends = []
-        for unit in units:
-            s = self.symbols(unit)
-            n = len(s)
-            if n <= SHORT:
-                forward = [1.0] + [0.0] * n
-                for i in range(n):
-                    so_far = forward[i]
-                    for j in range(i + 1, min(n, i + longest) + 1):
-                        edge = edges.get(s[i:j])
-                        if edge is None:
-                            break
-                        if edge[2] >= 0:
-                            x = so_far * edge[0]
-                            forward[j] += x
-                            node.append(j)
-                            prev.append(i)
-                            piece.append(edge[2])
-                            chance.append(x)
-            else:
-                logs = [0.0] * (n + 1)
-                for j in range(1, n + 1):
-                    found = [(logs[i] + edge[1], i, edge[2]) for i in range(max(0, j - longest), j) if (edge := edges.get(s[i:j])) is not None and edge[2] >= 0]
-                    top = max(found)[0]
-                    logs[j] = top + log(sum(exp(x - top) for x, _, _ in found))
-                    node += [j] * len(found)
-                    prev += [i for _, i, _ in found]
-                    piece += [k for _, _, k in found]
-                    chance += [exp(x - top) for x, _, _ in found]
-            ends.append(len(node))
         if not units:
             return []
-        n_edges = np.diff(ends, prepend=0)
-        place = np.repeat(np.arange(len(units)) * (max(node) + 1), n_edges) + np.array(node)
-        order = np.argsort(place, kind="stable")
-        found = np.zeros(len(order), EDGE)
-        for name, values in (("node", node), ("prev", prev), ("piece", piece)):
-            found[name] = np.array(values)[order]
-        first = np.flatnonzero(np.diff(place[order], prepend=-1))
-        inside = np.diff(np.append(first, len(order)))
-        share = np.array(chance)[order]
-        share /= np.repeat(np.add.reduceat(share, first), inside)
-        cum = np.cumsum(share)
-        found["cum"] = cum - np.repeat((cum - share)[first], inside)
-        found["cum"][first + inside - 1] = 1.0
-        data = found.tobytes()
+        codes, sizes = self._codes(units)
+        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(units)), sizes)
+        # all matches of pieces: walk the trie from every place at once
+        at, state, length, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        stop = (first + sizes)[of]
+        while len(at):
+            state = self.trie.step(state, codes[at + length])
+            length += 1
+            on = state > 0
+            at, state = at[on], state[on]
+            whole = self.piece[state] >= 0
+            found.append((at[whole], np.full(whole.sum(), length), state[whole]))
+            more = at + length < stop[at]
+            at, state = at[more], state[more]
+        at, length, state = (np.concatenate(x) for x in zip(*found))
+        unit = of[at]
+        prev = at - first[unit]
+        # a unit of n symbols has n + 1 nodes; forward, by the places where edges begin
+        node = at + unit + length
+        order = np.argsort(prev.astype(np.uint16) if sizes.max() < 1 << 16 else prev, kind="stable")
+        node, length, state, unit, prev = node[order], length[order], state[order], unit[order], prev[order]
+        begin, nodes, long = node - length, len(codes) + len(units), sizes[unit] > self.short
+        weight, log_weight, any_long = self.weight[state], self.log_weight[state], bool(long.any())
+        sums, logs = np.zeros(nodes), np.full(nodes, -np.inf)
+        sums[first + np.arange(len(units))], logs[first + np.arange(len(units))] = 1.0, 0.0
+        cum, rank, n_into = np.empty(len(node)), np.empty(len(node), np.int64), np.zeros(nodes, np.int64)
+        start = 0
+        for end in np.cumsum(np.bincount(prev)).tolist():
+            # the edges of one step end in different nodes
+            near = far = slice(start, end)
+            if any_long:
+                near, far = np.flatnonzero(~long[start:end]) + start, np.flatnonzero(long[start:end]) + start
+                to = node[far]
+                cum[far] = logs[to] = np.logaddexp(logs[to], logs[begin[far]] + log_weight[far])
+            to = node[near]
+            cum[near] = sums[to] = sums[to] + sums[begin[near]] * weight[near]
+            to = node[start:end]
+            rank[start:end] = n_into[to]
+            n_into[to] += 1
+            start = end
+        cum = np.where(long, np.exp(cum - logs[node]), cum / np.where(long, 1.0, sums[node]))
+        place = (np.cumsum(n_into) - n_into)[node] + rank
+        out = np.zeros(len(node), EDGE)
+        for name, values in (("node", node - unit - first[unit]), ("prev", prev), ("piece", self.piece[state]), ("cum", cum)):
+            out[name][place] = values
+        data, ends = out.tobytes(), np.cumsum(np.bincount(unit, minlength=len(units))).tolist()
         return [data[a * EDGE.itemsize : b * EDGE.itemsize] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
         """A sampled segmentation of each text; the same seed, key and text always give the same one."""
-        units = [UNIT.findall(" " + x) for x in texts]
-        if len(self.kept) > self.keep:
-            self.kept.clear()
+        units = [self._units(" " + x) for x in texts]
+        if self.kept_bytes > self.keep_bytes:
+            self.forget()
         index = {x: i for i, x in enumerate(set().union(*units))}
         new = [x for x in index if x not in self.kept]
         self.kept.update(zip(new, self.lattices(new)))
         blobs = [self.kept[x] for x in index]
         for x in new:
-            if len(x) > SHORT:
+            if len(x) > 32:
                 del self.kept[x]
+            else:
+                self.kept_bytes += len(self.kept[x]) + 200
         edges = np.frombuffer(b"".join(blobs), EDGE)
         n_edges = np.array([len(x) // EDGE.itemsize for x in blobs], np.int64)
         sizes = edges["node"][np.cumsum(n_edges) - 1].astype(np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1
-        place = np.repeat(first, n_edges)
-        sums, back, piece = place + edges["node"] + edges["cum"], place + edges["prev"], edges["piece"]
+        place = np.repeat(first, n_edges) + edges["node"]
+        cum, back, piece = edges["cum"].copy(), np.repeat(first, n_edges) + edges["prev"], edges["piece"].copy()
+        begins = np.flatnonzero(np.diff(place, prepend=-1))
+        into = np.zeros(int(place[-1]) + 1 if len(place) else 0, np.int64)
+        into[place[begins]] = begins
 
         counts = np.array([len(x) for x in units], np.int64)
         own = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, counts.sum())
@@ -152,7 +235,11 @@ class Pieces:
         length, alive, steps = np.zeros(len(own), np.int64), np.arange(len(own)), []
         while len(alive):
             draw[alive] = _mix(draw[alive])
-            edge = np.searchsorted(sums, at[alive] + (draw[alive] >> np.uint64(40)).astype(np.float64) / (1 << 24), "right")
+            edge, x = into[at[alive]], (draw[alive] >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            beyond = np.flatnonzero(cum[edge] <= x)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[cum[edge[beyond]] <= x[beyond]]
             steps.append((alive, piece[edge]))
             length[alive] += 1
             at[alive] = back[edge]
@@ -163,6 +250,9 @@ class Pieces:
             out[ends[which] - 1 - k] = found
         return np.split(out, np.append(0, ends)[np.cumsum(counts)][:-1])
 
+    def forget(self) -> None:
+        self.kept, self.kept_bytes = {}, 0
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of any segmentation, its first space (that of the vocabulary's prefix) left out."""
         return b"".join(map(self.spelt.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
@@ -185,12 +275,13 @@ def pieces(path: str, alpha: float) -> Pieces:
     return _loaded[path, alpha]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 500_000) -> DataFrame:
     """A sampled segmentation of each row of docs (doc_id, text), and what it decodes to.
 
     Returns doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256,
     lossless (the decoded text is the text) and, if wanted, ids. A null text counts as empty: its
-    one piece is the prefix. Rows without doc_id share the key 0; rows of one doc_id and text are
+    one piece is the prefix. A text of any length is cut as a whole; the memory it takes grows with it.
+    Rows without doc_id share the key 0; rows of one doc_id and text are
     cut alike. Other columns are not read; an empty table gives an empty result.
     """
 
@@ -211,15 +302,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: flo
                 found["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
             return pa.RecordBatch.from_pydict(found)
 
-        for batch in batches:
-            rows, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                rows.append((doc_id.as_py(), text.as_py() or ""))
-                size += len(rows[-1][1])
-                if size >= chars_at_once:
+        try:
+            for batch in batches:
+                rows, size = [], 0
+                for doc_id, text in zip(batch.column(0), batch.column(1)):
+                    rows.append((doc_id.as_py(), text.as_py() or ""))
+                    size += len(rows[-1][1])
+                    if size >= chars_at_once:
+                        yield done(rows)
+                        rows, size = [], 0
+                if rows:
                     yield done(rows)
-                    rows, size = [], 0
-            if rows:
-                yield done(rows)
+        finally:
+            model.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)

@@ -344,6 +344,53 @@ def test_pieces_follow_the_lattice():
     assert all(abs(drawn[k] / n - w / total) < 0.03 for k, w in weights.items())
 
 
+def segmentations(model, symbols):
+    """All segmentations of a string of symbols, with the logarithms of their weights."""
+    if not symbols:
+        return [((), 0.0)]
+    out = []
+    for end in range(1, len(symbols) + 1):
+        if edge := model.edges.get(symbols[:end]):
+            out += [((edge[2], *ids), edge[1] + weight) for ids, weight in segmentations(model, symbols[end:])]
+    return out
+
+
+@pytest.mark.parametrize("text", ["a  hat, 1x", "né\u2581 ¿漢", "x². b", "\x00é\n"])
+def test_pieces_of_whole_texts(text):
+    model = pieces.Pieces(queries.vocabulary("piece_bpe_32k.model"), 0.01)
+    assert model.by_units
+    # over the whole text, not by units
+    all_ways = dict(segmentations(model, model.symbols(" " + text)))
+    n = 20_000
+    found = [tuple(x.tolist()) for x in model.encode([text] * n, list(range(n)), 7)]
+    drawn, top = Counter(found), max(all_ways.values())
+    total = sum(np.exp(x - top) for x in all_ways.values())
+    assert set(drawn) <= set(all_ways)
+    for ids, weight in all_ways.items():
+        share = np.exp(weight - top) / total
+        assert abs(drawn[ids] / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-4
+    # by key: alone, in another order and with other texts, the same ids
+    assert [tuple(model.encode([text], [k], 7)[0].tolist()) for k in (0, 5, n - 1)] == [found[k] for k in (0, 5, n - 1)]
+    mixed = model.encode(["other words " * 30, text, "x" * 50, text], [1, 9, 2, 3], 7)
+    assert [tuple(mixed[i].tolist()) for i in (1, 3)] == [found[9], found[3]]
+    assert model.decode(np.array(found[0])) == text
+
+
+def test_pieces_of_long_units():
+    model = pieces.Pieces(queries.vocabulary("piece_bpe_32k.model"), 0.002)
+    unit = " " + "abc" * 20
+    edges = np.frombuffer(model.lattices([unit])[0], pieces.EDGE)
+    symbols = model.symbols(unit)
+    # forward sums with exact fractions of large floats, scaled by the place
+    sums = {0: 1.0}
+    for end in range(1, len(symbols) + 1):
+        into = [(at, sums[at] * np.exp(e[1])) for at in range(end) if (e := model.edges.get(symbols[at:end]))]
+        sums[end] = sum(x for _, x in into)
+        own = edges[edges["node"] == end]
+        assert own["prev"].tolist() == [at for at, _ in into]
+        assert np.allclose(own["cum"], np.cumsum([x for _, x in into]) / sums[end])
+
+
 # 9
 
 
