@@ -6,7 +6,7 @@ the weights of all paths to each place, backward sampling draws a path from the
 with numbers that depend on the seed, the row's key and the place only. No piece holds a letter
 beside another kind of character, nor a space after anything, so the lattice falls apart into short
 units; the lattices of all new units of a batch are filtered at once, and kept for further ones, up
-to a number of bytes and to the end of the task.
+to a number of edges and to the end of the task.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ BYTE_SYMBOL = 0xF0000
 LEAST = -32_000.0
 #: Weight for each character, the same on every path, that keeps the sums of short units in range; log of the largest or least sum.
 EVEN, RANGE = 15.0, 560.0
-EDGE = np.dtype([("cum", "<f8"), ("node", "<i4"), ("prev", "<i4"), ("piece", "<i4")])
+EDGE = np.dtype([("cum", "<f8"), ("node", "<i8"), ("prev", "<i8"), ("piece", "<i4")])
 
 
 class Trie:
@@ -87,7 +87,7 @@ class Trie:
 
 
 class Pieces:
-    def __init__(self, path: str, alpha: float, keep_bytes: int = 64_000_000):
+    def __init__(self, path: str, alpha: float, keep: int = 3_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -120,9 +120,9 @@ class Pieces:
         self.piece = np.full(self.trie.size, -1, np.int32)
         self.weight, self.log_weight = np.zeros(self.trie.size), np.zeros(self.trie.size)
         self.weight[self.trie.ends], self.log_weight[self.trie.ends], self.piece[self.trie.ends] = zip(*self.edges.values())
-        #: Filtered lattices of units that were met, and their size.
-        self.kept: dict[str, bytes] = {}
-        self.kept_bytes, self.keep_bytes = 0, keep_bytes
+        #: Number of each unit that was met; the edges of their lattices stand one after the other in arrays.
+        self.keep = keep
+        self.forget()
         #: Symbols of units that are summed as they are; longer ones by logarithms.
         self.short = int(RANGE / max(EVEN, -(alpha * LEAST + EVEN)))
 
@@ -150,10 +150,11 @@ class Pieces:
             sizes = np.fromiter(map(len, spelt), np.int64, len(units))
         return codes.astype(np.int64), sizes
 
-    def lattices(self, units: list[str]) -> list[bytes]:
-        """The filtered lattice of each unit: for each place the edges into it, with their summed chances."""
+    def lattices(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The filtered lattices of units, and the number of symbols of each unit: for each place of a
+        unit the edges into it, in the order of where they begin, with their summed chances."""
         if not units:
-            return []
+            return np.zeros(0, EDGE), np.zeros(0, np.int64)
         codes, sizes = self._codes(units)
         first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(units)), sizes)
         # all matches of pieces: walk the trie from every place at once
@@ -197,45 +198,58 @@ class Pieces:
         cum = np.where(long, np.exp(cum - logs[node]), cum / np.where(long, 1.0, sums[node]))
         place = (np.cumsum(n_into) - n_into)[node] + rank
         out = np.zeros(len(node), EDGE)
-        for name, values in (("node", node - unit - first[unit]), ("prev", prev), ("piece", self.piece[state]), ("cum", cum)):
+        for name, values in (("node", node), ("prev", begin), ("piece", self.piece[state]), ("cum", cum)):
             out[name][place] = values
-        data, ends = out.tobytes(), np.cumsum(np.bincount(unit, minlength=len(units))).tolist()
-        return [data[a * EDGE.itemsize : b * EDGE.itemsize] for a, b in zip([0, *ends], ends)]
+        return out, sizes
+
+    def _add_lattices(self, units: list[str]) -> None:
+        """Put the lattices of new units behind those that are kept. Nodes are numbered on over all units."""
+        edges, sizes = self.lattices(units)
+        if not len(edges):
+            return
+        ends = self.n_nodes + np.cumsum(sizes + 1)
+        self.kept.update(zip(units, range(len(self.kept), len(self.kept) + len(units))))
+        into = np.zeros(int(ends[-1]) - self.n_nodes, np.int64)
+        first = np.flatnonzero(np.diff(edges["node"], prepend=-1))
+        into[edges["node"][first]] = self.n_edges + first
+        for name, new in (("cum", edges["cum"]), ("back", edges["prev"] + self.n_nodes), ("of", edges["piece"]), ("into", into), ("ends", ends - 1), ("begins", ends - 1 - sizes)):
+            old, n = self.arrays[name], self.used[name]
+            if n + len(new) > len(old):
+                self.arrays[name] = np.empty(2 * (n + len(new)), old.dtype)
+                self.arrays[name][:n] = old[:n]
+            self.arrays[name][n : n + len(new)] = new
+            self.used[name] = n + len(new)
+
+    @property
+    def n_nodes(self) -> int:
+        return self.used["into"]
+
+    @property
+    def n_edges(self) -> int:
+        return self.used["cum"]
 
     def encode(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
         """A sampled segmentation of each text; the same seed, key and text always give the same one."""
         units = [self._units(" " + x) for x in texts]
-        if self.kept_bytes > self.keep_bytes:
+        if self.n_edges > self.keep:
             self.forget()
-        index = {x: i for i, x in enumerate(set().union(*units))}
-        new = [x for x in index if x not in self.kept]
-        self.kept.update(zip(new, self.lattices(new)))
-        blobs = [self.kept[x] for x in index]
-        for x in new:
-            if len(x) > 32:
-                del self.kept[x]
-            else:
-                self.kept_bytes += len(self.kept[x]) + 200
-        edges = np.frombuffer(b"".join(blobs), EDGE)
-        n_edges = np.array([len(x) // EDGE.itemsize for x in blobs], np.int64)
-        sizes = edges["node"][np.cumsum(n_edges) - 1].astype(np.int64)
-        first = np.cumsum(sizes + 1) - sizes - 1
-        place = np.repeat(first, n_edges) + edges["node"]
-        cum, back, piece = edges["cum"].copy(), np.repeat(first, n_edges) + edges["prev"], edges["piece"].copy()
-        begins = np.flatnonzero(np.diff(place, prepend=-1))
-        into = np.zeros(int(place[-1]) + 1 if len(place) else 0, np.int64)
-        into[place[begins]] = begins
-
+        self._add_lattices([x for x in set().union(*units) if x not in self.kept])
+        cum, back, piece, into, ends, begins = (self.arrays[x] for x in ("cum", "back", "of", "into", "ends", "begins"))
         counts = np.array([len(x) for x in units], np.int64)
-        own = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, counts.sum())
+        own = np.fromiter(map(self.kept.__getitem__, chain.from_iterable(units)), np.int64, counts.sum())
         start = np.repeat(np.cumsum(counts) - counts, counts)
         row = np.repeat(_mix(np.array(keys, np.int64).view(np.uint64) + np.uint64(seed)), counts)
         draw = _mix(row + (np.arange(len(own)) - start).astype(np.uint64))
-        at, begin = first[own] + sizes[own], first[own]
+        at, begin = ends[own], begins[own]
         length, alive, steps = np.zeros(len(own), np.int64), np.arange(len(own)), []
         while len(alive):
-            draw[alive] = _mix(draw[alive])
-            edge, x = into[at[alive]], (draw[alive] >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            # a mixed number gives the chances of two steps
+            if len(steps) % 2 == 0:
+                draw[alive] = now = _mix(draw[alive])
+                x = (now >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            else:
+                x = (draw[alive] >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.float64) / (1 << 24)
+            edge = into[at[alive]]
             beyond = np.flatnonzero(cum[edge] <= x)
             while len(beyond):
                 edge[beyond] += 1
@@ -251,7 +265,11 @@ class Pieces:
         return np.split(out, np.append(0, ends)[np.cumsum(counts)][:-1])
 
     def forget(self) -> None:
-        self.kept, self.kept_bytes = {}, 0
+        """Drop the lattices that are kept: `keep` edges of 20 bytes, besides those of one batch."""
+        self.kept: dict[str, int] = {}
+        kinds = {"cum": np.float64, "back": np.int64, "of": np.int32, "into": np.int64, "ends": np.int64, "begins": np.int64}
+        self.arrays = {x: np.empty(0, kind) for x, kind in kinds.items()}
+        self.used = dict.fromkeys(kinds, 0)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of any segmentation, its first space (that of the vocabulary's prefix) left out."""
@@ -275,7 +293,7 @@ def pieces(path: str, alpha: float) -> Pieces:
     return _loaded[path, alpha]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 500_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 1_000_000) -> DataFrame:
     """A sampled segmentation of each row of docs (doc_id, text), and what it decodes to.
 
     Returns doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256,
