@@ -1,9 +1,11 @@
 """Main text of web pages by consensus of their host.
 
-Each page's containers are scored by the text of the blocks that they hold, without links and
-boilerplate. A page votes for the path of its best container: tags and classes from the body down,
-with digits generalised. The votes are counted per host in Spark, and every page is extracted anew
-with the path that most pages of its host voted for and that it has itself.
+Each page's containers are scored by the text of all blocks in them, links counting against it and
+boilerplate not at all; so a container with the heading, the lead and the sections beats any one of
+them, and of containers with the same text the innermost is taken. An article or main element with
+half of the best score goes first. A page votes for the path of its best container: tags and classes
+from the root down, with digits generalised. The votes are counted per host in Spark, and every page
+is extracted anew with the path of its own that most pages of its host voted for.
 """
 
 from __future__ import annotations
@@ -14,21 +16,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 #: Tags whose content is no text of the page.
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|head|title"
 #: Tags that begin and end blocks and are followed in the tree; all others are inline.
 CONTAINERS = frozenset("html body div article section main td th center blockquote figure details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table thead tbody tfoot tr caption figcaption address summary hr nav header footer aside form fieldset menu dialog button select option label".split())
-#: Tags that are boilerplate, and words of class or id that mark it.
+#: Tags that are boilerplate, and words of which a class, id or role that marks it is made up, with words that say nothing.
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button select option label fieldset".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
-    " sidebar side aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login"
-    " comment comments discussion disqus reply replies respond share sharing social related recommended widget toolbar pagination pager search form".split()
+    " sidebar aside header footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login"
+    " comment comments discussion disqus replies respond share sharing social related recommended widget toolbar pagination pager search form".split()
 )
+NEUTRAL_WORDS = frozenset("site page main top bottom left right box bar list area section container wrapper wrap block inner slot button buttons posts articles links link item items n".split())
 #: What an open tag of the key ends, up to the tags that keep it in.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 TOKEN = re.compile(
@@ -36,10 +41,10 @@ TOKEN = re.compile(
     r"""|<([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[a-zA-Z/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Paths of a host that pages are tried with, by votes.
-PATHS = 5
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Share of the best score that an article or main element, or a path of the host, must have to go before the best container.
+ENOUGH = 0.5
 
 
 @dataclass(slots=True)
@@ -49,7 +54,7 @@ class Node:
     boilerplate: bool
     start: int
     end: int = -1
-    score: float = 0.0
+    score: int = 0
 
 
 @dataclass(slots=True)
@@ -60,24 +65,29 @@ class Page:
     containers: list[Node] = field(default_factory=list)
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's step of a path, and whether it is boilerplate by itself."""
-    if not attributes:
-        return tag, tag in BOILERPLATE_TAGS
-    step, bad = tag, tag in BOILERPLATE_TAGS
-    for m in NAMED.finditer(attributes):
+def marks_boilerplate(name: str) -> bool:
+    """Whether a whole class, id or role is made up of words for boilerplate."""
+    words = {"n" if x.isdigit() else x.lower() for x in WORD.findall(name)}
+    return not words.isdisjoint(BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | NEUTRAL_WORDS
+
+
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
+    """The element's step of a path, and whether it is boilerplate by itself. An article's own header is not."""
+    step, bad = tag, tag in BOILERPLATE_TAGS and not (tag == "header" and in_article)
+    for m in ATTRIBUTE.finditer(attributes or ""):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "class":
             step += "".join("." + re.sub(r"\d+", "N", x.lower()) for x in sorted(value.split()))
         if name in ("class", "id", "role"):
-            bad |= not BOILERPLATE_WORDS.isdisjoint(x.lower() for x in WORD.findall(value)) and tag not in ("html", "body", "main", "article")
+            bad |= tag not in ("html", "body", "main", "article") and any(map(marks_boilerplate, value.split()))
         else:
-            bad |= name == "hidden" or "display:none" in value.replace(" ", "").lower()
+            bad |= name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower()
     return step, bad
 
 
 def parse(source: str) -> Page:
     page, stack, text = Page(), [Node("", "", False, 0)], []
+    page.containers.append(stack[0])
     linked, in_link = 0, False
 
     def flush() -> None:
@@ -88,13 +98,8 @@ def parse(source: str) -> Page:
             if block:
                 page.blocks.append((block, stack[-1].boilerplate))
                 if not stack[-1].boilerplate:
-                    gain, share = max(0, len(block) - 2 * linked), 1.0
-                    for node in reversed(stack):
-                        if node.tag in CONTAINERS:
-                            node.score += gain * share
-                            share /= 2
-                            if share < 0.2:
-                                break
+                    for node in stack:
+                        node.score += len(block) - 2 * linked
         linked = 0
 
     def close(depth: int) -> None:
@@ -131,7 +136,7 @@ def parse(source: str) -> Page:
                     if stack[i].tag in ended.split():
                         close(i)
                         break
-            step, bad = _marks(tag, m[4])
+            step, bad = _marks(tag, m[4], any(x.tag == "article" for x in stack))
             if tag != "hr":
                 node = Node(tag, f"{stack[-1].path}/{step}" if tag in CONTAINERS else stack[-1].path, stack[-1].boilerplate or bad, len(page.blocks))
                 stack.append(node)
@@ -144,24 +149,31 @@ def parse(source: str) -> Page:
     return page
 
 
+def best_container(page: Page) -> Node:
+    """The container with the best score, the innermost of equal ones; an article or main element that comes near goes first."""
+    best = max(page.containers, key=lambda x: (x.score, x.start, len(x.path)))
+    named = [x for x in page.containers if x.tag in ("article", "main") and x.score > 0 and x.score >= ENOUGH * best.score]
+    return max(named, key=lambda x: (x.score, x.start, len(x.path)), default=best)
+
+
 def best_path(page: Page) -> str | None:
-    best = max(page.containers, key=lambda x: x.score, default=None)
-    return best.path if best is not None and best.score > 0 else None
+    best = best_container(page)
+    return best.path if best.score > 0 else None
 
 
 def extract(source: str, paths: list[str]) -> str:
-    """Text of the containers with the first of the paths that holds any; else of the page's best one."""
+    """Text of the container with the first of the paths that has enough of the page's text, else of the page's best
+    container; of a page without one that is more than links, all text that is not boilerplate."""
     page = parse(source)
-    own = best_path(page)
-    for path in [*paths, *([own] if own else [])]:
-        found, seen = [], 0
+    best = best_container(page)
+    chosen = best if best.score > 0 else page.containers[0]
+    if best.score > 0 and paths:
+        of: dict[str, Node] = {}
         for node in page.containers:
-            if node.path == path and node.start >= seen:
-                found += [block for block, boilerplate in page.blocks[node.start : node.end] if not boilerplate]
-                seen = node.end
-        if found:
-            return " ".join(found)
-    return " ".join(block for block, boilerplate in page.blocks if not boilerplate) if not page.containers else ""
+            if node.path not in of or node.score > of[node.path].score:
+                of[node.path] = node
+        chosen = next((of[x] for x in paths if x in of and of[x].score >= ENOUGH * best.score), best)
+    return " ".join(block for block, boilerplate in page.blocks[chosen.start : chosen.end] if not boilerplate)
 
 
 def host_of(url: Column) -> Column:
@@ -170,7 +182,8 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths most voted for, most votes first. A path's votes are summed before they are dealt out."""
+    """(host, paths): the paths with at least two votes, most votes first, ties in their own order. A path with one vote
+    is the best one of its page anyhow. Votes are summed in the tasks before they are dealt out."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,18 +191,21 @@ def host_paths(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], names=["host", "path"])
 
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string")
-    counted = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    counted = votes.where("path is not null").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes")).where("votes > 1")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path")))
+    return counted.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host for each row of pages (page_id, url, html).
 
-    A null or empty html, or one without a container that holds text, has an empty text. Pages
-    without a url are one host. Other columns are not read; an empty table gives an empty result.
+    A null or empty html, or one without text, has an empty text. Pages without a url are one host.
+    Rows are not told apart by page_id: nulls and repeated rows stay, and each votes. Pages of any
+    length are read as a whole. Other columns are not read; an empty table gives an empty result.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(host_paths(pages), "host", "left")
+    # written first: Spark then knows its size, and broadcasts it or splits the pages of a hot host
+    voted = storage.materialize(host_paths(pages), "host-paths")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(voted, "host", "left")
     rows = rows.select("page_id", "url", "html", "host", "paths")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
