@@ -13,15 +13,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: storage.Scratch | None = None) -> DataFrame:
     """(id, component) for every vertex of edges (a long, b long); component is the smallest id reachable.
 
     Each step keeps an edge table no larger than the last in the shared folder; minima are combined
     before the shuffle, so a vertex with many edges costs one row a task. Self-loops are ignored.
+    What is returned reads the last of these tables, which stands in the folder of `scratch` if given.
     """
     spark = edges.sparkSession
-    path = storage.new_path(spark, "edges")
-    step = 0
+    path, step = storage.new_path(spark, "edges"), 0
+    if scratch is not None:
+        scratch.made += 1
+        path = f"{scratch.path}/{scratch.made}-edges"
     # a > b from here on
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = storage.write(oriented, f"{path}/{step}")
@@ -42,12 +45,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def extend_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+def extend_components(parts: DataFrame, links: DataFrame, scratch: storage.Scratch | None = None) -> DataFrame:
     """parts (id, component) with the links (a, b) added; only what they join is worked on again."""
     for end in "ab":
         links = links.join(parts.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
-    joined = connected_components(links.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
-    joined = storage.materialize(joined, "joined")
+    joined = connected_components(links.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), scratch)
     further = joined.select(F.col("id").alias("component"), F.col("component").alias("further"))
     moved = parts.join(further, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
     return moved.unionByName(joined.join(parts.select("id"), "id", "left_anti"))

@@ -1,22 +1,29 @@
 """Near-duplicate documents: a chosen-path similarity join on sets of word shingles.
 
-Equal sets are one class, and only one document of each class is joined. Every class is branched in
-independent trees: the root of a tree has BRANCHES branches, each picks minwise tokens one level
-after the other, and classes that picked the same tokens meet in a node. Nodes of at most LIMIT
-classes are compared exhaustively; larger ones branch on. What is still large at the last level are
-groups of close copies: there each class is compared with its neighbours in signature order and with
-a pivot, the class that is in most large nodes (the nearer to what the group has in common, the more
-paths a class shares with the others); those that this leaves outside the component that most of a
-node is in are compared with all of the node. So every two classes of a node end in one component if
-they are linked, and the work grows with the rows and with what is outside, times the node.
-Pairs whose signatures agree enough are confirmed on the full sets, and confirmed links give
-connected components.
+Equal sets are one class, and only one document of each class is joined. In each of TREES
+independent trees, a node picks two minwise tokens and its classes go on to the children that their
+own values of these name; from level TWOFOLD on a second token is picked by a quarter of the nodes
+only, 1 / 0.8 tokens on average. A node is compared exhaustively, and branches no further, as soon
+as it is small. Levels are worked off for all trees at once: one shuffle by ranges of nodes, so that
+a node of any size is spread over as many tasks as its rows fill.
+
+Near copies do not get apart by branching. So each level also links a class with the likest of some
+random classes of its large nodes, and nodes whose classes are in one component already are done.
+Where most of a node is in one component (or all but LIMIT classes), the classes outside are
+compared with that component in blocks, on full sets, and go on among themselves. What is still
+large and apart at the last level is compared with the whole node in the same way. Thus any two
+classes of a node end in one component if they are linked, whatever the node's size.
+
+A pair at exactly 0.8 meets in no node that is compared with a chance of at most 1.5e-7 (6e-8 where
+its nodes get small within four levels). Pairs whose sketches agree enough are confirmed on the full
+sets: least_agreeing() drops a pair at the threshold with a chance of at most MISSED.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +34,23 @@ from pyspark.sql import functions as F
 from . import storage
 from .components import connected_components, extend_components
 
-TREES, BRANCHES, LEVELS, MORE_LEVELS = 16, 2, 4, 3
-#: Minwise values of 16 bits, one for each branch and level.
-COORDINATES = TREES * BRANCHES * LEVELS
-#: Classes of a node that are compared pair by pair; rows of a large node in one task.
-LIMIT, NEIGHBOURS, PART = 32, 4, 4096
-#: A pair is confirmed if this share of its signatures agrees: over four deviations below 0.8.
-AGREE = 0.62
+TREES, TWOFOLD, LEVELS = 6, 4, 6
+#: Minwise values of 16 bits; sketches hold the two low bits of each.
+COORDINATES = 128
+#: Classes of a node (outside its main component) that are compared exhaustively; random classes of a large one that each of its classes meets.
+LIMIT, NEIGHBOURS = 32, 16
+#: Rows of one node that a task holds back; shingles of one side of a block.
+HELD, BLOCK = 4096, 1 << 19
+MISSED = 1e-7
+
+
+def least_agreeing(share: int) -> int:
+    """Coordinates of two sketches that must agree: fewer are had by a pair at the threshold with a chance of at most MISSED."""
+    p = share / 100 + (1 - share / 100) / 4
+    below, k = 0.0, 0
+    while (below := below + comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= MISSED:
+        k += 1
+    return k
 
 
 @functools.cache
@@ -43,7 +60,7 @@ def _constants(n: int, bits: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept up to a fixed number of words."""
+    """64-bit hash of each word, kept up to a fixed number of words and to the end of the task."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = found = xxhash.xxh3_64_intdigest(word)
@@ -56,7 +73,7 @@ WORDS = WordHashes()
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words; of all words if there are fewer."""
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(WORDS) > 250_000:
+    if len(WORDS) > 100_000:
         WORDS.clear()
     h = np.fromiter(map(WORDS.__getitem__, split), np.uint64, len(split))
     width = min(words, len(h))
@@ -97,164 +114,158 @@ def signature(hashes: np.ndarray) -> bytes:
     return ((won * _constants(COORDINATES, 64)) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sig): set size, 128-bit hash of the set, signature."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, s1, s2, sigs = [], [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), words)
-                whole = np.frombuffer(xxhash.xxh3_128_digest(found), "<i8")
-                ns.append(len(found))
-                s1.append(int(whole[0]))
-                s2.append(int(whole[1]))
-                sigs.append(signature(found))
-            yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "s1", "s2", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sig binary")
-
-
-def _token(level: int, branch: Column | int) -> Column:
-    """The minwise token that a branch picks at a level, from the signature."""
-    # beyond the first levels a branch takes the third token of other branches
-    beyond = max(0, level - LEVELS + 1)
-    at = (F.lit(branch) if isinstance(branch, int) else branch) * LEVELS + (20 * beyond + 2 if beyond else level)
-    return F.substr(F.col("sig"), (F.pmod(at, F.lit(COORDINATES)) * 2 + 1).cast("int"), F.lit(2))
-
-
-def _sized(members: DataFrame) -> DataFrame:
-    """members with the size of their node; nodes of one class are left out."""
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(sizes, "node")
-
-
-def grow_trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (node, branch, id, size) of the small nodes, and of those that stayed large."""
-    branches = F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.xxhash64(F.lit(b), *[_token(k, b) for k in range(LEVELS)]).alias("node")) for b in range(TREES * BRANCHES)])).alias("x")
-    members = storage.materialize(_sized(classes.select("id", branches).select("id", "x.*")), "nodes")
-    small, large = members.where(F.col("size") <= LIMIT), members.where(F.col("size") > LIMIT)
-    for level in range(LEVELS, LEVELS + MORE_LEVELS):
-        if large.isEmpty():
-            break
-        grown = large.select("node", "branch", "id").join(classes.select("id", "sig"), "id")
-        token = _token(level, F.col("branch"))
-        members = storage.materialize(_sized(grown.select(F.xxhash64("node", token).alias("node"), "branch", "id")), "nodes")
-        small, large = small.unionByName(members.where(F.col("size") <= LIMIT)), members.where(F.col("size") > LIMIT)
-    return small, large
-
-
-def _agreeing(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: int) -> np.ndarray:
-    """Agreement of the signatures, or 0 where the set sizes alone rule a link out."""
-    possible = 100 * np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b)
-    return np.where(possible, (sig_a == sig_b).mean(1), 0)
+def bits_of(sig: bytes) -> bytes:
+    """The two low bits of each coordinate, COORDINATES / 4 bytes."""
+    two = (np.frombuffer(sig, np.uint16) & 3).astype(np.uint8).reshape(-1, 4)
+    return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
 
 
-def _sig_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COORDINATES)
-
-
-PAIRS = "a long, b long, agree double"
-
-
-def compare_nodes(members: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Pairs of classes of one node whose signatures agree. Nodes over LIMIT are dealt in parts."""
-    part = F.when(F.col("size") > LIMIT, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART))).otherwise(0)
-    rows = members.select("node", "id", "size", part.alias("part")).join(classes, "id").repartition("node", "part").sortWithinPartitions("node", "part", "sig")
-    rows = rows.select("node", "part", "id", "size", "n", "sig")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
-                new = [np.asarray(batch.column(i)) for i in range(5)] + [_sig_matrix(batch.column(5))]
-                seen = 0 if kept is None else len(kept[0])
-                node, part, ids, size, n, sig = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-                a, b, agree = [], [], []
-                for d in range(1, LIMIT):
-                    right = np.arange(max(seen, d), len(node))
-                    left = right - d
-                    own = (node[left] == node[right]) & (part[left] == part[right])
-                    if not own.any():
-                        break
-                    own &= (size[right] <= LIMIT) | (d <= NEIGHBOURS)
-                    left, right = left[own], right[own]
-                    found = _agreeing(sig[left], sig[right], n[left], n[right], share)
-                    ok = found >= AGREE
-                    a.append(np.minimum(ids[left], ids[right])[ok])
-                    b.append(np.maximum(ids[left], ids[right])[ok])
-                    agree.append(found[ok])
-                kept = [x[-LIMIT:] for x in (node, part, ids, size, n, sig)]
-                if a:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b, agree)], names=["a", "b", "agree"])
-
-    return rows.mapInArrow(work, PAIRS)
-
-
-def compare_pairs(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures agree."""
-    sides = [classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+def sketch(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, s1, s2, sig, bits): set size, 128-bit hash of the set, signature, sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                batch = whole.slice(at, 8192)
-                a, b, n_a, n_b = (np.asarray(batch.column(i)) for i in range(4))
-                found = _agreeing(_sig_matrix(batch.column(4)), _sig_matrix(batch.column(5)), n_a, n_b, share)
-                ok = found >= AGREE
-                yield pa.record_batch([pa.array(x[ok]) for x in (a, b, found)], names=["a", "b", "agree"])
-
-    return rows.mapInArrow(work, PAIRS)
-
-
-def compare_apart(large: DataFrame, parts: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """All pairs of classes of one large node that are in different components and whose signatures agree.
-
-    Of such a pair one at least is outside the component that most of the node is in, so those outside
-    are compared with the whole node, in blocks of about PART by PART.
+        try:
+            for batch in batches:
+                ns, s1, s2, sigs = [], [], [], []
+                for text in batch.column(1):
+                    found = shingles(text.as_py(), words)
+                    whole = np.frombuffer(xxhash.xxh3_128_digest(found), "<i8")
+                    ns.append(len(found))
+                    s1.append(int(whole[0]))
+                    s2.append(int(whole[1]))
+                    sigs.append(signature(found))
+                columns = [batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(map(bits_of, sigs), pa.binary())]
+                yield pa.record_batch(columns, names=["doc_id", "n", "s1", "s2", "sig", "bits"])
+        finally:
+            WORDS.clear()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sig binary, bits binary")
+
+
+def _token(at: Column) -> Column:
+    return F.substr(F.col("sig"), (at * 2 + 1).cast("int"), F.lit(2))
+
+
+def _child(branch: int, at: Column) -> Column:
+    return F.xxhash64("node", F.lit(branch), _token(at))
+
+
+def branch(frontier: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """(node, id, n, bits) of the next level. The root of a tree is a node that all classes are in."""
+    if level == 1:
+        # coordinates of their own for the roots
+        children = [F.xxhash64(F.lit(at), _token(F.lit(at))) for at in range(2 * TREES)]
+        return classes.select("id", "n", "bits", F.explode(F.array(*children)).alias("node"))
+    free = COORDINATES - 2 * TREES
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(free))
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(free - 1)), F.lit(free))
+    one, two = (_child(k, at + 2 * TREES) for k, at in enumerate((first, second)))
+    both = F.array(one, two)
+    if level > TWOFOLD:
+        both = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0, both).otherwise(F.array(one))
+    rows = frontier.join(classes, "id")
+    return rows.select("id", "n", "bits", F.explode(F.when(F.col("whole"), F.array("node")).otherwise(both)).alias("node"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The sketches of a binary column, a row of 64-bit words each."""
+    width = COORDINATES // 4
+    if not len(column):
+        return np.zeros((0, width // 8), np.uint64)
+    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + width * len(column)].view(np.uint64).reshape(len(column), -1)
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coordinates in which sketches agree, row by row."""
+    differ = x ^ y
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    return COORDINATES - np.bitwise_count(differ).sum(-1, dtype=np.int64)
+
+
+#: kind PAIR, NEIGHBOUR: a, b and how much they agree. MEMBER of a large node: a. EDGE: a class (a, with its component b and set size) of a node that another task may have more of.
+SCANNED = "kind byte, node long, a long, b long, agree long, bits binary"
+PAIR, NEIGHBOUR, MEMBER, EDGE = range(4)
+
+
+def scan(rows: DataFrame, share: int, *, whole: bool) -> DataFrame:
+    """One pass over rows (node, id, n, component, bits) in the order of nodes.
+
+    Small nodes give the pairs that agree and are in different components, large ones their members,
+    and for each the likest of NEIGHBOURS classes before and after it. Unless nodes are whole in their
+    task, the first and last node of a task, where they have few rows, are handed on.
     """
-    rows = large.select("node", "id").join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counts = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
-    nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most")).where("all > most")
-    rows = rows.join(nodes, "node").join(classes, "id")
-    n_rows, n_out = F.ceil(F.col("all") / PART), F.ceil((F.col("all") - F.col("most")) / PART)
-    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    columns = "id", "component", "n", "sig"
-    out = rows.where("component <> main").select("node", dealt(n_out, 1).alias("block"), each(n_rows).alias("part"), F.lit(0).alias("side"), *columns)
-    whole = rows.select("node", each(n_out).alias("block"), dealt(n_rows, 2).alias("part"), F.lit(1).alias("side"), *columns)
-    both = out.unionByName(whole).repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "side")
+    least = least_agreeing(share)
+
+    def out(kind: int, node, a, b, agree, bits=None) -> pa.RecordBatch:
+        n = len(a)
+        fill = lambda x: np.zeros(n, np.int64) if x is None else x
+        columns = [pa.array(np.full(n, kind, np.int8)), *(pa.array(fill(x)) for x in (node, a, b, agree)), pa.nulls(n, pa.binary()) if bits is None else pa.array([x.tobytes() for x in bits], pa.binary())]
+        return pa.record_batch(columns, names=["kind", "node", "a", "b", "agree", "bits"])
+
+    def handle(rows: list[np.ndarray], large_one: int | None, at_edge: set[int]) -> Iterator[pa.RecordBatch]:
+        node, ids, n, component, bits = rows
+        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        sizes = np.diff(np.append(begins, len(node)))
+        size, place = np.repeat(sizes, sizes), np.arange(len(node)) - np.repeat(begins, sizes)
+        large = size > LIMIT
+        if large_one is not None:
+            large |= node == large_one
+        edge = ~large & np.isin(node, list(at_edge))
+        small = ~large & ~edge
+
+        def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """How much they agree, or 0 where sizes or components rule out a new link."""
+            possible = (100 * np.minimum(n[left], n[right]) >= share * np.maximum(n[left], n[right])) & (component[left] != component[right])
+            found = np.zeros(len(left), np.int64)
+            found[possible] = agreeing(bits[left[possible]], bits[right[possible]])
+            found[found < least] = 0
+            return found
+
+        for d in range(1, LIMIT):
+            right = np.flatnonzero(small & (place >= d))
+            if not len(right):
+                break
+            found = near(right - d, right)
+            own = right[found > 0]
+            if len(own):
+                yield out(PAIR, None, ids[own - d], ids[own], found[found > 0])
+        if large.any():
+            best, with_one = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+            for d in range(1, NEIGHBOURS + 1):
+                right = np.flatnonzero(large & (place >= d))
+                found = near(right - d, right)
+                for side, other in ((right, right - d), (right - d, right)):
+                    own = found > best[side]
+                    best[side[own]], with_one[side[own]] = found[own], ids[other[own]]
+            own = best > 0
+            yield out(NEIGHBOUR, None, ids[own], with_one[own], best[own])
+            yield out(MEMBER, node[large], ids[large], None, None)
+        if edge.any():
+            yield out(EDGE, node[edge], ids[edge], component[edge], n[edge], bits[edge])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        held, first, large_one = None, None, None
         for batch in batches:
-            keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
-            side, ids, component, n = (np.asarray(batch.column(i)) for i in range(3, 7))
-            sig = _sig_matrix(batch.column(7))
-            new = (np.diff(keys, axis=0) != 0).any(1) | (np.diff(side) != 0)
-            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
-            for start, end in zip(bounds, bounds[1:]):
-                if start == end:
-                    continue
-                if tuple(keys[start]) != key:
-                    key, held = tuple(keys[start]), []
-                if not side[start]:
-                    held.append((ids[start:end], component[start:end], n[start:end], sig[start:end]))
-                    continue
-                if len(held) > 1:
-                    held = [tuple(np.concatenate(x) for x in zip(*held))]
-                for o_ids, o_component, o_n, o_sig in held:
-                    for i in range(start, end):
-                        near = np.flatnonzero((o_component != component[i]) & (100 * np.minimum(o_n, n[i]) >= share * np.maximum(o_n, n[i])))
-                        found = (o_sig[near] == sig[i]).mean(1)
-                        ok = found >= AGREE
-                        if ok.any():
-                            a = o_ids[near[ok]]
-                            yield pa.record_batch([pa.array(np.minimum(a, ids[i])), pa.array(np.maximum(a, ids[i])), pa.array(found[ok])], names=["a", "b", "agree"])
-
-    return both.mapInArrow(work, PAIRS).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+            for at in range(0, batch.num_rows, 65_536):
+                part = batch.slice(at, 65_536)
+                rows = [*(np.asarray(part.column(i)) for i in range(4)), _matrix(part.column(4))]
+                if held is not None:
+                    rows = [np.concatenate(x) for x in zip(held, rows)]
+                node = rows[0]
+                first = node[0] if first is None else first
+                # the last node waits for its other rows, unless it is sure to be a large one
+                cut = int(np.flatnonzero(node == node[-1])[0])
+                long = len(node) - cut > HELD
+                held = None if long else [x[cut:] for x in rows]
+                if long or cut:
+                    yield from handle(rows if long else [x[:cut] for x in rows], large_one, set() if whole else {first})
+                if long or cut:
+                    large_one = node[-1] if long else large_one if node[-1] == large_one else None
+        if held is not None:
+            yield from handle(held, large_one, set() if whole else {first, held[0][-1]})
+
+    return rows.select("node", "id", "n", "component", "bits").mapInArrow(work, SCANNED)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -266,36 +277,181 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         for batch in batches:
             links = []
             for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= share * (len(x) + len(y) - both):
+                if linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), share):
                     links.append((a.as_py(), b.as_py()))
             yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(work, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= share * (len(x) + len(y) - both)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, hashes) of the documents in ids; repeated rows of a doc_id are taken by their set's class."""
+    """(id, hashes) of the documents in ids. A doc_id with several texts has a row for each of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "hashes"])
+        try:
+            for batch in batches:
+                yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "hashes"])
+        finally:
+            WORDS.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     return rows.mapInArrow(work, "id long, hashes binary")
 
 
-def _pivots(ranked: DataFrame) -> DataFrame:
-    """(node, a): of each node's classes the one with the highest score."""
-    return ranked.groupBy("node").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("a"))
+def compare_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links between sides 0 and 1 of groups (g, side, id, component), found on the full sets.
 
+    A class of side 0 needs one link with each component of a block, so no more are given: it tries
+    the likest first. Sides are dealt into blocks by hash, of about BLOCK shingles each.
+    """
+    least = least_agreeing(share)
+    rows = groups.join(classes.select("id", "n", "bits"), "id")
+    totals = rows.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.col("side") == k, F.col("n"))) / BLOCK).alias(f"blocks_{k}") for k in (0, 1))).where("blocks_0 > 0 and blocks_1 > 0")
+    rows = rows.join(totals, "g").join(sets, "id")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = "side", "id", "component", "n", "bits", "hashes"
+    out = rows.where("side = 0").select("g", dealt("blocks_0").alias("i"), each("blocks_1").alias("j"), *columns)
+    whole = rows.where("side = 1").select("g", each("blocks_0").alias("i"), dealt("blocks_1").alias("j"), *columns)
+    both = out.unionByName(whole).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
 
-def _different(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    a, b = (parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    own = pairs.join(a, "a", "left").join(b, "b", "left")
-    return own.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries, done = None, [], set()
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
+            side, ids, component, n = (np.asarray(batch.column(i)) for i in range(3, 7))
+            bits, hashes, found = _matrix(batch.column(7)), batch.column(8), []
+            new = (np.diff(keys, axis=0) != 0).any(1) | (np.diff(side) != 0)
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
+            for start, end in zip(bounds, bounds[1:]):
+                if start == end:
+                    continue
+                if tuple(keys[start]) != key:
+                    key, queries, done = tuple(keys[start]), [], set()
+                if not side[start]:
+                    queries += [(ids[i], component[i], n[i], bits[i], np.frombuffer(hashes[i].as_py(), np.uint64)) for i in range(start, end)]
+                    continue
+                own = [None] * (end - start)
+                for q_id, q_component, q_n, q_bits, q_hashes in queries:
+                    agree = agreeing(bits[start:end], q_bits)
+                    possible = (agree >= least) & (component[start:end] != q_component) & (100 * np.minimum(n[start:end], q_n) >= share * np.maximum(n[start:end], q_n))
+                    near = np.flatnonzero(possible)
+                    for i in near[np.argsort(-agree[near], kind="stable")].tolist():
+                        if (q_id, q_component, component[start + i]) in done:
+                            continue
+                        if own[i] is None:
+                            own[i] = np.frombuffer(hashes[start + i].as_py(), np.uint64)
+                        if linked(q_hashes, own[i], share):
+                            found.append((q_id, ids[start + i]))
+                            done.add((q_id, q_component, component[start + i]))
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return both.select("g", "i", "j", *columns).mapInArrow(work, "a long, b long")
+
+
+class Join:
+    """The components found so far, level by level; tables in the run's folder."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, share: int, scratch: storage.Scratch):
+        self.docs, self.classes, self.words, self.share, self.scratch = docs, classes, words, share, scratch
+        self.parts: DataFrame | None = None
+        self.settle: list[DataFrame] = []
+
+    def with_component(self, rows: DataFrame) -> DataFrame:
+        if self.parts is None:
+            return rows.withColumn("component", F.col("id"))
+        return rows.join(self.parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def add(self, links: DataFrame) -> None:
+        links = self.scratch.write(links, "links")
+        if links.isEmpty():
+            return
+        found = connected_components(links, self.scratch) if self.parts is None else extend_components(self.parts, links, self.scratch)
+        self.parts = self.scratch.write(found, "parts")
+
+    def different(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are not in one component yet."""
+        if self.parts is None:
+            return pairs
+        a, b = (self.parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+        own = pairs.join(a, "a", "left").join(b, "b", "left")
+        return own.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        ids = self.scratch.write(ids.distinct(), "ids")
+        return self.scratch.write(sets_of(self.docs, ids, self.words), "sets")
+
+    def try_pairs(self, pairs: DataFrame) -> None:
+        """First each class with the one that is likest to it, then what that left apart."""
+        pairs = self.scratch.write(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")), "pairs")
+        if pairs.isEmpty():
+            return
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "agree"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "agree"))).alias("x")).select("x.*")
+        best = sides.groupBy("id").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
+        best = best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        self.add(confirm(best, sets, self.share))
+        self.add(confirm(self.different(pairs), sets, self.share))
+
+    def level(self, frontier: DataFrame | None, level: int) -> DataFrame | None:
+        """Works off one level; the nodes to branch on, or None."""
+        rows = self.with_component(branch(frontier, self.classes, level)).withColumn("order", F.xxhash64("node", "id"))
+        rows = rows.repartitionByRange("node", "order").sortWithinPartitions("node", "order")
+        scanned = self.scratch.write(scan(rows, self.share, whole=False), "scanned")
+        # few rows: of two nodes a task at most, and LIMIT of each
+        edges = scanned.where(F.col("kind") == EDGE)
+        known = scanned.where(F.col("kind") == MEMBER).select("node").distinct()
+        rest = edges.join(known, "node", "left_anti").select("node", F.col("a").alias("id"), F.col("agree").alias("n"), F.col("b").alias("component"), "bits")
+        again = self.scratch.write(scan(rest.repartition("node").sortWithinPartitions("node"), self.share, whole=True), "scanned")
+        both = scanned.unionByName(again)
+        self.try_pairs(both.where(F.col("kind") <= NEIGHBOUR))
+        members = both.where(F.col("kind") == MEMBER).unionByName(edges.join(known, "node", "left_semi").select(both.columns))
+        members = self.scratch.write(self.with_component(members.select("node", F.col("a").alias("id"))), "members")
+        counts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
+        nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"))
+        nodes = self.scratch.write(nodes.where("all > most"), "apart")
+        if nodes.isEmpty():
+            return None
+        members = members.join(nodes, "node").withColumn("outside", F.col("component") != F.col("main"))
+        if level == LEVELS:
+            g = F.xxhash64(F.lit("node"), "node")
+            whole = members.select(g.alias("g"), F.lit(1).alias("side"), "id", F.lit(None).cast("long").alias("of"))
+            self.settle += [whole, members.where("outside").select(g.alias("g"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("of"))]
+            return None
+        few = (F.col("all") - F.col("most") <= LIMIT) | (2 * F.col("most") >= F.col("all"))
+        members = self.scratch.write(members.withColumn("few", few), "apart")
+        self.settle.append(members.where("few").select(F.xxhash64(F.lit("component"), "main").alias("g"), F.when(F.col("outside"), 0).otherwise(1).alias("side"), "id", F.col("main").alias("of")).distinct())
+        rest = members.where("few and outside and all - most > 1").select(F.xxhash64(F.lit("apart"), "node").alias("node"), "id", F.lit(True).alias("whole"))
+        return rest.unionByName(members.where("not few").select("node", "id", F.lit(False).alias("whole")))
+
+    def settle_groups(self) -> None:
+        if not self.settle:
+            return
+        rows = self.settle[0]
+        for more in self.settle[1:]:
+            rows = rows.unionByName(more)
+        rows = self.with_component(rows.distinct())
+        if self.parts is not None:
+            now = self.parts.select(F.col("id").alias("of"), F.col("component").alias("now"))
+            rows = rows.join(now, "of", "left")
+        else:
+            rows = rows.withColumn("now", F.lit(None).cast("long"))
+        # by now some are inside
+        rows = rows.where((F.col("side") == 1) | F.col("of").isNull() | (F.col("component") != F.coalesce("now", "of")))
+        rows = self.scratch.write(rows.select("g", "side", "id", "component"), "groups")
+        open_groups = self.scratch.write(rows.where("side = 0").select("g").distinct(), "open")
+        if open_groups.isEmpty():
+            return
+        rows = self.scratch.write(rows.join(open_groups, "g"), "groups")
+        self.add(compare_blocks(rows, self.classes, self.sets(rows.select("id")), self.share))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int = 80) -> DataFrame:
@@ -304,48 +460,27 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
     Words are split at ASCII white space with A-Z in lower case. class_id is the least doc_id with
     an equal set, component_id the least one reachable over links. A document without words (or
     with a null text) has an empty set and is linked with nothing. Rows without doc_id are linked
-    with nothing and have no ids. Rows of one doc_id are one vertex. Other columns are not read.
+    with nothing and have no ids. Rows of one doc_id are one vertex. doc_id must be a whole number,
+    or text that spells one; anything else is an error of the cast. Texts of any length count
+    whole. Other columns are not read; an empty table gives an empty result.
     """
-    share = similarity_percent
     docs = docs.select("doc_id", "text")
-    sketched = storage.materialize(sketch(docs, words), "sketches")
-    real = sketched.where("n > 0 and doc_id is not null")
-    classes = storage.materialize(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    joined = classes.select("id", "n", "sig")
-    small, large = grow_trees(joined)
-    near = compare_nodes(small.unionByName(large), joined, share)
-    crowded = not large.isEmpty()
-    if crowded:
-        score = large.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
-        ranked = storage.materialize(large.select("node", "id").join(score, "id"), "ranked")
-        pivots = _pivots(ranked)
-        stars = storage.materialize(large.select("node", F.col("id").alias("b")).join(pivots, "node").select("a", "b").where("a <> b").distinct(), "stars")
-        near = near.unionByName(compare_pairs(stars, joined, share))
-    pairs = storage.materialize(near.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")), "pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = storage.materialize(sets_of(docs, ends, words), "sets")
-    # first each class with the one that is likest to it, then what that left apart
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    links = storage.materialize(confirm(best, sets, share), "links")
-    parts = storage.materialize(connected_components(links), "parts")
-    rest = storage.materialize(confirm(_different(pairs, parts), sets, share), "links")
-    parts = storage.materialize(extend_components(parts, rest), "parts")
-
-    if crowded:
-        # what the pivots left apart, exhaustively: again first with the likest
-        more = storage.materialize(compare_apart(large, parts, joined, share), "pairs")
-        ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = storage.materialize(sets_of(docs, ends, words), "sets")
-        sides = more.select(F.col("a").alias("id"), F.col("b").alias("other"), "agree").unionByName(more.select(F.col("b").alias("id"), F.col("a").alias("other"), "agree"))
-        best = sides.groupBy("id").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
-        best = best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        for tried in (best, more):
-            rest = storage.materialize(confirm(_different(tried.select("a", "b"), parts), sets, share), "links")
-            parts = storage.materialize(extend_components(parts, rest), "parts")
-
-    of_class = classes.select("s1", "s2", "id").join(parts, "id", "left").select("s1", "s2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
-    rows = sketched.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with storage.Scratch(docs.sparkSession, "near") as scratch:
+        sketched = scratch.write(sketch(docs, words), "sketches")
+        real = sketched.where("n > 0 and doc_id is not null")
+        classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+        classes = scratch.write(classes, "classes")
+        join = Join(docs, classes.select("id", "n", "sig", "bits"), words, similarity_percent, scratch)
+        frontier: DataFrame | None = None
+        for level in range(1, LEVELS + 1):
+            frontier = join.level(frontier, level)
+            if frontier is None or frontier.isEmpty():
+                break
+        join.settle_groups()
+
+        of_class = join.with_component(classes.select("s1", "s2", "id")).select("s1", "s2", F.col("id").alias("class_id"), "component")
+        rows = sketched.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+        linked_ = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+        component = F.when(linked_, F.col("component")).otherwise(F.col("doc_id"))
+        found = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked_, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        return scratch.keep(found, "near-duplicates")

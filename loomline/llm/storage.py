@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir (or given to setCheckpointDir).
+
+    Only where neither is set, a temporary folder is, and only on one machine: elsewhere other
+    executors could not read it, so that is an error.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -35,3 +42,26 @@ def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder that no later step reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """A folder for the intermediate tables of one run, removed with all that is in it when the run ends.
+
+    What a run returns must not read from it any more: keep() writes a table beside the folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, new_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop(self.spark, self.path)
+
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        self.made += 1
+        return write(df, f"{self.path}/{self.made}-{name}", *partition_by)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name)

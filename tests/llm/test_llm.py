@@ -212,37 +212,6 @@ def test_near_duplicates(spark, docs, texts, words):
     assert got == groups_by_force(texts, words, 80)
 
 
-def test_near_duplicates_of_a_large_group(spark):
-    rng = random.Random(3)
-    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
-    rows = {}
-    for i in range(300):
-        own = list(base)
-        for _ in range(rng.choice([0, 1, 2, 4, 12, 20])):
-            own[rng.randrange(150)] = f"e{rng.randint(0, 10**6)}"
-        rows[i] = " ".join(own)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=2).collect()}
-    want = groups_by_force(rows, 2, 80)
-    assert sum(got[i] != want[i] for i in want) <= 1
-
-
-def test_near_duplicates_of_edited_members_of_a_large_group(spark):
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(150)]
-
-    def edited(words, n):
-        own = list(words)
-        for at in rng.sample(range(150), n):
-            own[at] = f"e{rng.randint(0, 10**9)}"
-        return own
-
-    members = [edited(base, 6) for _ in range(500)]
-    # near one member, which is far from the centre, and hardly any other
-    rows = {i: " ".join(x) for i, x in enumerate(members + [edited(members[i], 7) for i in range(0, 500, 3)])}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=2).collect()}
-    assert got == groups_by_force(rows, 2, 80)
-
-
 def test_near_duplicates_of_very_long_documents(spark):
     rng = np.random.default_rng(4)
     size, sets = 300_000, {}
@@ -255,13 +224,78 @@ def test_near_duplicates_of_very_long_documents(spark):
     both = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     want = {(i, i + 1) for i in range(0, 200, 2) if 100 * both(i, i + 1) >= 80 * (len(sets[i]) + len(sets[i + 1]) - both(i, i + 1))}
     assert len(want) == 20
-    rows = [(i, len(x), near_dedup.signature(x)) for i, x in sets.items()]
-    of = np.array([np.frombuffer(sig, np.uint16) for _, _, sig in rows])
+    rows = [(i, len(x), sig := near_dedup.signature(x), near_dedup.bits_of(sig)) for i, x in sets.items()]
+    of = np.array([np.frombuffer(row[2], np.uint16) for row in rows])
     assert max((of[i] == of[j]).mean() for i in range(100, 200) for j in range(i)) < 0.05
-    classes = spark.createDataFrame(rows, "id long, n long, sig binary")
-    small, large = near_dedup.grow_trees(classes)
-    assert large.isEmpty()
-    assert {(r.a, r.b) for r in near_dedup.compare_nodes(small, classes, 80).collect()} == want
+    classes = spark.createDataFrame(rows, "id long, n long, sig binary, bits binary")
+    nodes = near_dedup.branch(None, classes, 1).withColumn("component", F.col("id")).repartition(3, "node").sortWithinPartitions("node")
+    found = near_dedup.scan(nodes, 80, whole=True).collect()
+    assert {r.kind for r in found} == {near_dedup.PAIR}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == want
+
+
+def test_scan_by_ranges_loses_no_pair(spark):
+    # more tasks than nodes: small nodes are cut between tasks, large ones fill several
+    rng = random.Random(8)
+    sigs = [near_dedup.signature(np.unique(np.random.default_rng(i).integers(0, 1 << 63, 50, np.uint64))) for i in range(6)]
+    rows = [(node, i, 50, i, near_dedup.bits_of(sigs[rng.randrange(6)])) for i, node in enumerate([1] * 3 + [2] * 31 + [3] * 400 + [4] * 2 + [5] + [6] * 33 + [7] * 20)]
+    nodes = spark.createDataFrame(rows, "node long, id long, n long, component long, bits binary")
+    same = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] == b[4]}
+    whole = near_dedup.scan(nodes.repartition(2, "node").sortWithinPartitions("node"), 80, whole=True).collect()
+    small = {1, 2, 4, 5, 7}
+    of = {r[1]: r[0] for r in rows}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in whole if r.kind == near_dedup.PAIR} == {x for x in same if of[x[0]] in small}
+    assert Counter(r.node for r in whole if r.kind == near_dedup.MEMBER) == {3: 400, 6: 33}
+    cut = near_dedup.scan(nodes.repartitionByRange(40, "node", "id").sortWithinPartitions("node", "id"), 80, whole=False).collect()
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in cut if r.kind == near_dedup.PAIR}
+    handed_on = {r.a for r in cut if r.kind != near_dedup.PAIR}
+    assert all(x in pairs or of[x[0]] == 5 or set(x) <= handed_on for x in same)
+
+
+def edited(rng, words, n):
+    own = list(words)
+    for at in rng.sample(range(len(words)), n):
+        own[at] = f"e{rng.randint(0, 10**12)}"
+    return own
+
+
+def groups_of_near_copies():
+    """Large groups with texts of their own each: lists of texts."""
+    rng = random.Random(9)
+    base = [[f"{g}w{i}" for i in range(150)] for g in range(4)]
+    # around one text, and texts that are near some of those and far from the centre
+    around = [edited(rng, base[0], rng.randint(0, 7)) for _ in range(900)]
+    yield around + [edited(rng, around[rng.randrange(900)], rng.randint(6, 8)) for _ in range(300)]
+    # members far from the centre, and texts that are near one of them and hardly any other
+    members = [edited(rng, base[1], 6) for _ in range(300)]
+    yield members + [edited(rng, members[i], 7) for i in range(0, 300, 3)]
+    # each text is near the one before it, and far from those further back
+    drifting = [base[2][:120]]
+    for _ in range(300):
+        drifting.append(edited(rng, drifting[-1], 4))
+    yield rng.sample(drifting, len(drifting))
+    # nobody is linked with anybody, at a similarity of about 0.7
+    yield [edited(rng, base[3], 14) for _ in range(200)]
+
+
+def test_near_duplicates_of_large_groups(spark):
+    rows, want = {}, {}
+    for group in groups_of_near_copies():
+        own = {len(rows) + i: " ".join(x) for i, x in enumerate(group)}
+        rows |= own
+        want |= groups_by_force(own, 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=2).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_odd_rows(spark, kind):
+    many = "one two three four five six seven eight nine ten"
+    rows = [(1, None), (2, ""), (3, "alone"), (4, "ALONE"), (None, many), (7, many), (5, many.upper()), (5, many.upper()), (6, many + " " + many), (8, "\u00c9 a"), (9, "\u00e9 a")]
+    frame = spark.createDataFrame([(None if i is None else i if kind == "long" else str(i), t) for i, t in rows], f"doc_id {kind}, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame, words=2).collect()), key=str)
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (None, 9, None, True), (7, 9, 5, False), (5, 9, 5, True), (5, 9, 5, True), (6, 10, 5, False), (8, 1, 8, True), (9, 1, 9, True)]
+    assert got == sorted(want, key=str)
 
 
 def test_components(spark):
@@ -379,7 +413,7 @@ def test_pieces_of_whole_texts(text):
 def test_pieces_of_long_units():
     model = pieces.Pieces(queries.vocabulary("piece_bpe_32k.model"), 0.002)
     unit = " " + "abc" * 20
-    edges = np.frombuffer(model.lattices([unit])[0], pieces.EDGE)
+    edges = model.lattices([unit])[0]
     symbols = model.symbols(unit)
     # forward sums with exact fractions of large floats, scaled by the place
     sums = {0: 1.0}
@@ -416,6 +450,42 @@ def test_extraction_of_odd_pages(spark):
     assert got[1] == "T & u onetwo three a b" and got[2] == got[3] == "" and len(got) == 5
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><h1>Title</h1><p>Lead it is</p><section><p>" + "long " * 99 + "</p></section></article>", "Title Lead it is " + "long " * 98 + "long"),
+        ("<body><nav>x</nav><article><h1>T</h1><div class=lead>L</div><div class=body>" + "b " * 200 + "</div></article><footer>f</footer></body>", "T L " + "b " * 199 + "b"),
+        ("<div class=post><p>before</p><blockquote>" + "quoted " * 50 + "</blockquote><p>after</p></div>", "before " + "quoted " * 50 + "after"),
+        ("<p>x<p>y<table><tr><td>cell and more<td>z</table>", "x y cell and more z"),
+        ("<div class='side-by-side'><article><p>kept</p><div class='share-price'>12.50</div><div class='social-share'>tweet</div></article></div>", "kept 12.50"),
+        ("<div class='content with-sidebar'><p aria-hidden='false'>all of it</p><p hidden>no</p></div>", "all of it"),
+        ("plain <div></div>", "plain"),
+        ("<a href=x>only a link</a>", "only a link"),
+        ("<article><header><h1>Head</h1></header><p>text</p><footer>tags</footer></article>", "Head text"),
+        ("<div class=x><ul><li><a>one</a><li><a>two</a></ul></div><div class=y><p>An article without a name for itself.</p></div>", "An article without a name for itself."),
+        ("<div class=comments>" + "shouting " * 300 + "</div><div class=text>quiet text</div>", "quiet text"),
+        ("<nav>menu</nav><script>x</script>", ""),
+    ],
+)
+def test_whole_articles(source, want):
+    assert html_extract.extract(source, []) == want
+
+
+def test_host_votes(spark):
+    # three pages agree on div.main; in the fourth an unmarked box is longer, but not twice as long
+    rows = [(i, "http://h.org/a", f"<body><div class=box7>{'b' * 30}</div><div class=main><p>{'text ' * 20}{i}</p></div>{'<div class=q><a>links links links links</a></div>' * 2}</body>") for i in range(3)]
+    rows.append((3, "http://www.h.org/b", f"<body><div class=box8><p>{'b' * 120}</p></div><div class=main><p>{'text ' * 19}3</p></div>{'<div class=q><a>links links links links links</a></div>' * 8}</body>"))
+    # tied votes go by the order of paths; a null page_id, a repeated row, a clashing column and a very long page
+    rows += [(None, "http://t.org", "<div class=b>bb</div><a>links</a>"), (None, "http://t.org", "<div class=b>bb</div><a>links</a>"), (9, "http://t.org", "<div class=a>aa</div><a>links</a>"), (9, "http://t.org", "<div class=a>aa</div><a>links</a>")]
+    rows.append((10, "http://long.org", "<article>" + "<p>some words</p>" * 60_000 + "</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("paths", F.lit(1))
+    got = Counter((r.page_id, r.text) for r in html_extract.extract_pages(pages).collect())
+    assert got[3, "text " * 19 + "3"] == 1 and all(got[i, "text " * 20 + str(i)] == 1 for i in range(3))
+    assert got[None, "bb"] == 2 and got[9, "aa"] == 2 and got[10, " ".join(["some words"] * 60_000)] == 1 and sum(got.values()) == 9
+    voted = {r.host: r.paths for r in html_extract.host_paths(pages).collect()}
+    assert voted == {"h.org": ["/body/div.main"], "t.org": ["/div.a", "/div.b"]}
+
+
 # 10
 
 
