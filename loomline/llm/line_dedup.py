@@ -1,15 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a Parquet table (h1, h2, n) sorted by the 128-bit hash of the line's key; n is the number
-of documents that hold the line. A batch of documents is merge-anti-joined with the runs' settled
-keys (those already known to be common), and what is left is added as a run of level 0. When a
-level has `fanout` runs they are merged into one run of the next level, and keys that have reached
-the threshold move to a settled run.
+A run is a bucketed and sorted table (h1, h2, n, total) of 128-bit hashes of line keys: n is the number
+of documents of the run that hold the line, total that of all documents when the run was made. A key is
+settled once its total is at the threshold. A new batch of documents is merged with all runs, bucket by
+bucket without a shuffle of theirs: keys that one of them has settled are left out (an anti-join), the
+others add up their total, and are a run of level 0. When a level has two runs they are merged, again
+bucket by bucket, into one run of the next level.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,56 +39,77 @@ def line_hash(line: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder. The driver holds paths only."""
+    """Levelled sorted runs in the shared folder. The driver holds names only."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int):
+        self.spark, self.min_docs = spark, min_docs
+        self.name = f"line_run_{uuid.uuid4().hex}"
         self.root = storage.new_path(spark, "line-runs")
+        # what a grouping by the hashes makes: it is written as it is
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.settled: list[str] = []
         self.made = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(f"{HASHES}, n long").parquet(*paths)
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
 
-    def _write(self, run: DataFrame) -> str:
+    def _read(self, run: str, i: int) -> DataFrame:
+        return self.spark.table(run).select("h1", "h2", F.col("n").alias(f"n_{i}"), F.col("total").alias(f"total_{i}"))
+
+    def _write(self, rows: DataFrame) -> str:
         self.made += 1
-        path = f"{self.root}/run-{self.made}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        run = f"{self.name}_{self.made}"
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{self.made}").saveAsTable(run)
+        return run
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        storage.drop(self.spark, f"{self.root}/{run.rsplit('_', 1)[1]}")
+
+    def with_runs(self, counts: DataFrame) -> DataFrame:
+        """counts (h1, h2, n) with `total`, without what a run has settled."""
+        total, open_ = F.col("n"), F.lit(True)
+        for i, run in enumerate(self.runs()):
+            counts = counts.join(self._read(run, i), ["h1", "h2"], "left")
+            total = total + F.coalesce(f"n_{i}", F.lit(0))
+            open_ = open_ & (F.coalesce(f"total_{i}", F.lit(0)) < self.min_docs)
+        return counts.where(open_).select("h1", "h2", "n", total.alias("total"))
 
     def add(self, lines: DataFrame) -> None:
         """lines: (h1, h2), one row for each document and key of the batch."""
         counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        if self.settled:
-            counts = counts.join(self._read(self.settled).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._write(counts))
+        self.levels[0].append(self._write(self.with_runs(counts)))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while len(self.levels[level]) > 1:
             self._compact(level)
             level += 1
 
+    def merged(self, older: str, newer: str) -> DataFrame:
+        both = self._read(older, 0).join(self._read(newer, 1), ["h1", "h2"], "full_outer")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return both.select("h1", "h2", (zero("n_0") + zero("n_1")).alias("n"), F.greatest(zero("total_0"), zero("total_1")).alias("total"))
+
     def _compact(self, level: int) -> None:
         runs = self.levels[level]
-        merged = storage.write(self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")), f"{self.root}/merge-{self.made}")
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._write(merged.where(F.col("n") < self.min_docs)))
-        self.settled.append(self._write(merged.where(F.col("n") >= self.min_docs)))
+        self.levels[level + 1].append(self._write(self.merged(*runs)))
         self.levels[level] = []
-        for path in [*runs, f"{self.root}/merge-{self.made - 2}"]:
-            storage.drop(self.spark, path)
+        for run in runs:
+            self._drop(run)
 
     def common(self) -> DataFrame:
-        """Distinct (h1, h2) of the keys in at least min_docs documents of all batches."""
-        open_runs = [p for level in self.levels for p in level]
-        parts = []
-        if open_runs:
-            parts.append(self._read(open_runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2"))
-        if self.settled:
-            parts.append(self._read(self.settled).select("h1", "h2"))
-        # a settled key is never added to an open run again, so the parts are disjoint
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        """Distinct (h1, h2) of the keys in at least min_docs documents of all batches: a settled key has one run that says so."""
+        found = self.spark.createDataFrame([], HASHES)
+        for run in self.runs():
+            found = found.unionByName(self.spark.table(run).where(F.col("total") >= self.min_docs).select("h1", "h2"))
+        return found
+
+    def close(self) -> None:
+        for run in self.runs():
+            self._drop(run)
+        self.levels = [[]]
+        storage.drop(self.spark, self.root)
 
 
 def without_positions(lines: Column, dropped: Column) -> Column:
@@ -107,7 +130,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_docs: int = 10, min_
     Returns one row per input row: `row` (the input row as a struct, so no column can clash),
     `n_lines`, `n_dropped`, `kept` (the other lines joined by \\n). A null text counts as empty: one
     empty line. Keys shorter than min_chars are never dropped. Each input row is a document of its
-    own: repeated rows count as often as they occur. An empty table gives an empty result.
+    own: repeated rows count as often as they occur. A text of any length is one row throughout.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -115,15 +139,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_docs: int = 10, min_
     ids = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind)), F.lit(1024)).alias("t3")]
     hashed = docs.select(*ids, F.transform(F.split(body, "\n"), lambda x: line_hash(x, min_chars)).alias("keys"))
     hashed = hashed.withColumn("batch", F.pmod(F.col("t1"), F.lit(batches)).cast("int"))
-    hashed = storage.write(hashed, path := storage.new_path(spark, "line-keys"), "batch")
-
-    runs = LineRuns(spark, min_docs)
-    for batch in range(batches):
-        keys = hashed.where(F.col("batch") == batch).select(F.explode(F.array_distinct("keys")).alias("k"))
-        runs.add(keys.where("k is not null").select("k.*"))
-
-    at = hashed.select("t1", "t2", "t3", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("t1", "t2", "t3", "pos", "k.*")
-    drops = at.join(runs.common(), ["h1", "h2"], "left_semi").groupBy("t1", "t2", "t3").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    with storage.Scratch(spark, "line-dedup") as scratch:
+        hashed = scratch.write(hashed, "keys", "batch")
+        runs = LineRuns(spark, min_docs)
+        for batch in range(batches):
+            keys = hashed.where(F.col("batch") == batch).select(F.explode(F.array_distinct("keys")).alias("k"))
+            runs.add(keys.where("k is not null").select("k.*"))
+        common = scratch.write(runs.common(), "common")
+        runs.close()
+        at = hashed.select("t1", "t2", "t3", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("t1", "t2", "t3", "pos", "k.*")
+        drops = at.join(common, ["h1", "h2"], "left_semi").groupBy("t1", "t2", "t3").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+        drops = scratch.keep(drops, "line-drops")
     rows = docs.select(F.struct("*").alias("row"), *ids).join(drops, ["t1", "t2", "t3"], "left")
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
     lines = F.split(body, "\n")
