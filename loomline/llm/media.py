@@ -13,7 +13,7 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ FRAME, HOP, BANDS, CLIP_FRAMES = 256, 128, 24, 64
 HOP_SOURCE, GROUP = HOP * DOWN // UP, 64
 SCALE = 64
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-STORED = ", media binary, tensors binary, spans array<struct<start_ms: long, end_ms: long>>"
+MEDIA = "doc_id long, n_bytes long, media binary, tensors binary, spans array<struct<start_ms: long, end_ms: long>>"
+SPANS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 
 
 def resampler() -> np.ndarray:
@@ -113,51 +114,66 @@ def from_tensors(tensors: bytes) -> Iterator[np.ndarray]:
         yield frames[(np.arange(CLIP_FRAMES) < lengths[:, None]).reshape(-1)]
 
 
-def describe(tensors: bytes) -> tuple[str, list[dict]]:
-    """The feature string (mean of each band, number and length of the spans, check sum) and the spans."""
-    sums, n, check, energy = np.zeros(BANDS, np.int64), 0, 0, []
+def spans_of(tensors: bytes) -> list[dict]:
+    """Time spans of the frames' energy."""
+    energy = np.concatenate([frames.sum(1, dtype=np.int64) for frames in from_tensors(tensors)])
+    return [{"start_ms": a, "end_ms": b} for a, b in (segments(energy) * HOP_SOURCE * 1000 // RATE).tolist()]
+
+
+def feature_of(tensors: bytes, spans: list[dict]) -> str:
+    """Mean of each band, number and length of the spans, check sum of the frames."""
+    sums, n, check = np.zeros(BANDS, np.int64), 0, 0
     for frames in from_tensors(tensors):
         sums += frames.sum(0, dtype=np.int64)
         n += len(frames)
         check = zlib.crc32(frames.tobytes(), check)
-        energy.append(frames.sum(1, dtype=np.int64))
-    spans = segments(np.concatenate(energy)) * HOP_SOURCE * 1000 // RATE
     means = ",".join(str(x) for x in (sums // n).tolist())
-    return f"{means};{len(spans)};{int((spans[:, 1] - spans[:, 0]).sum())};{check:08x}", [{"start_ms": a, "end_ms": b} for a, b in spans.tolist()]
+    return f"{means};{len(spans)};{sum(x['end_ms'] - x['start_ms'] for x in spans)};{check:08x}"
 
 
-def media_row(text: str | None) -> tuple:
+def encode_row(text: str | None) -> tuple:
+    """n_bytes, media, tensors, spans: what is stored of a text."""
     data = (text or "").encode("utf-8", "surrogatepass")
     media = to_wav(data + b" " * (-len(data) % UNIT or (0 if data else UNIT)))
-    payload = from_wav(media)
-    tensors = to_tensors(np.frombuffer(payload, np.uint8))
-    feature, spans = describe(tensors)
-    digest = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-    return digest, (media, tensors, spans)
+    tensors = to_tensors(np.frombuffer(from_wav(media), np.uint8))
+    return len(data), media, tensors, spans_of(tensors)
 
 
-def media_columns(docs: DataFrame, *, stored: bool = True, rows_at_once: int = 64) -> DataFrame:
-    """The media and its features for each row of docs (doc_id, text).
+def digest_row(media: bytes, tensors: bytes, spans: list[dict]) -> tuple:
+    """The digests of what was stored, from the stored bytes alone."""
+    payload = from_wav(media)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(tensors, spans)
 
-    stored=False leaves out the media, tensors and spans, and returns their digests only. A null
-    text counts as empty, and an empty text is one unit of spaces. Equal texts have equal values.
-    Other columns of docs are not read; no row is dropped; an empty table gives an empty result.
-    """
-    schema = DIGEST + STORED * stored
+
+def _mapped(rows: DataFrame, columns: list[str], schema: str, kinds: list[pa.DataType], row: Callable[..., tuple], rows_at_once: int) -> DataFrame:
+    """rows (doc_id, *columns, the rest of schema's first ones kept) -> schema, `row` of the columns behind what is kept."""
+    names = [x.split()[0] for x in schema.split(", ")][: len(kinds)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-        if stored:
-            span = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
-            for name, kind in (("media", pa.binary()), ("tensors", pa.binary()), ("spans", pa.list_(span))):
-                kinds = kinds.append(pa.field(name, kind))
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(at, rows_at_once)
-                rows = []
-                for doc_id, text in zip(part.column(0), part.column(1)):
-                    digest, kept = media_row(text.as_py())
-                    rows.append((doc_id.as_py(), *digest, *(kept if stored else ())))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+                kept = part.num_columns - len(columns)
+                found = zip(*(row(*(x.as_py() for x in given)) for given in zip(*part.columns[kept:])))
+                made = [pa.array(x, kind) for x, kind in zip(found, kinds[kept:])]
+                yield pa.record_batch([*part.columns[:kept], *made], names=names)
+
+    return rows.mapInArrow(work, schema)
+
+
+def media_columns(docs: DataFrame, *, rows_at_once: int = 64) -> DataFrame:
+    """doc_id, n_bytes, media, tensors and spans for each row of docs (doc_id, text).
+
+    A null text counts as empty, and an empty text is one unit of spaces. Equal texts have equal
+    values; repeated rows have a row each, in no set order. A very long text is one media file; its
+    frames are worked out a group of clips at a time. Other columns of docs are not read; no row is
+    dropped; an empty table gives an empty result.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), SPANS]
+    return _mapped(docs.select("doc_id", "text"), ["text"], MEDIA, kinds, encode_row, rows_at_once)
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+def describe_media(stored: DataFrame, *, rows_at_once: int = 64) -> DataFrame:
+    """The digests of rows that media_columns() made, once they are stored: read back, nothing else is known of them."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _mapped(stored.select("doc_id", "n_bytes", "media", "tensors", "spans"), ["media", "tensors", "spans"], DIGEST, kinds, digest_row, rows_at_once)

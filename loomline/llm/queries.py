@@ -24,7 +24,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), stored=False)
+    stored = storage.materialize(media.media_columns(table(spark, sf_dir, "documents")), "media")
+    return media.describe_media(stored)
 
 
 #: Target weights of the documents' tree; a source's domain is the last character of its name.
