@@ -33,6 +33,9 @@ ANCHOR_SHARE, PIECE = 9, 1_000_000
 STEPS = (1, 13, 117)
 #: A probe's place: check token, anchor, distance, level, from the highest bits down.
 CHECK_AT, ANCHOR_AT, DISTANCE_AT = 42, 11, 2
+DISTANCE_BITS = ANCHOR_AT - DISTANCE_AT
+#: Windows of which the distances fit: a larger one has anchors too far from its start.
+LARGEST = 657
 
 
 def _odd(n: int, name: bytes) -> np.ndarray:
@@ -83,6 +86,8 @@ class Shape:
         self.window = window
         self.anchor = window - (window - max(1, window // ANCHOR_SHARE)) // STEPS[2] * STEPS[2]
         self.far = window - self.anchor
+        if window < 1 or self.far >= 1 << DISTANCE_BITS:
+            raise ValueError(f"window must be from 1 to {LARGEST}, not {window}")
 
 
 def _probe(tokens: tuple[Tokens, Tokens], shape: Shape, shift: np.ndarray, anchor: np.ndarray, distance: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +102,7 @@ def _probe(tokens: tuple[Tokens, Tokens], shape: Shape, shift: np.ndarray, ancho
 
 
 def _fields(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> ANCHOR_AT & 0x7FFFFFFF, place >> DISTANCE_AT & 0x1FF, place & 3
+    return place >> ANCHOR_AT & 0x7FFFFFFF, place >> DISTANCE_AT & (1 << DISTANCE_BITS) - 1, place & 3
 
 
 class Piece:
@@ -257,6 +262,19 @@ def repeated(probes: DataFrame) -> DataFrame:
     return found.where("sure").select("h", "doc", "place").unionByName(late.select("h", "doc", "place"))
 
 
+def document_keys(docs: DataFrame) -> DataFrame:
+    """docs with `doc`: a 64-bit hash of doc_id and text. Where documents of different 128-bit hashes share one, which a
+    table of billions of rows is to expect, all 128 bits are hashed anew."""
+    keyed = docs.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("_second", F.xxhash64(F.lit("second"), "doc_id", "text"))
+    groups = keyed.groupBy("doc").agg(F.min("_second").alias("least"), F.max("_second").alias("most"))
+    # a row for some billions of documents: usually none
+    shared = storage.materialize(groups.where("least <> most").select("doc", F.lit(True).alias("_shared")), "shared")
+    if shared.isEmpty():
+        return keyed.drop("_second")
+    found = keyed.join(shared, "doc", "left")
+    return found.withColumn("doc", F.when(F.col("_shared").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "_second"))).drop("_second", "_shared")
+
+
 def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -> DataFrame:
     """Remove every byte covered by a `window`-byte string of UTF-8 that also starts anywhere else.
 
@@ -264,10 +282,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, stored: bool = True) -
     (maximal removed runs), kept_sha256 and, if `stored`, kept (binary) and removed (array of struct
     start, end); otherwise `row` has doc_id only. Matches never cross rows; overlapping ones and
     those within a row count. A null text counts as empty. A row that occurs twice repeats itself.
-    Texts of one doc_id are told apart by a 64-bit hash. An empty table gives an empty result.
+    Texts of one doc_id are told apart by a 128-bit hash. An empty table gives an empty result. A window
+    is known by 85 bits of hashes: two different ones of 100 TB of text pass for one with a chance of
+    about a third. Windows of more than LARGEST bytes are an error.
     """
     spark, shape = docs.sparkSession, Shape(window)
-    keyed = docs.select(F.struct("*" if stored else "doc_id").alias("row"), F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("binary").alias("bytes"))
+    keyed = document_keys(docs.select(F.struct("*" if stored else "doc_id").alias("row"), "doc_id", "text"))
+    keyed = keyed.select("row", "doc", F.col("text").cast("binary").alias("bytes"))
     texts = keyed.select("doc", "bytes").where(F.octet_length("bytes") >= window)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
