@@ -23,6 +23,11 @@ CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 NUMBER, TEACHING_NUMBER = r"(?U)\d+(?:\.\d+)?", r"(?iU)(?:第\s*\d+|\d+\s*例|用法\s*\d+|例\s*\d+)"
 TEMPORAL_MARKERS = ("然后", "接着", "随后", "之后", "step", "then", "after", "before", "next")
 STEP = r"(?iU)(?:步骤\s*|step\s+)(\d+)"
+PATH = r"""(?iU)(?:^|[\s"'])(?:[A-Za-z]:\\|\\\\|/|\./|\.\./)[^\s"']+\.(?:jpg|jpeg|png|webp|gif|mp4|mkv|mov|webm)"""
+SAFE_TIME_LINK, SAFE_LOCAL_LINK = r"^https://www\.youtube\.com/watch\?v=[A-Za-z0-9_-]{1,64}&t=\d+s$", r"^t=\d+s$"
+SAFE_ASSET_PATH = r"(?i)^(?!/)(?!.*[:\\])(?!.*(?:^|/)\.\.(?:/|$))[A-Za-z0-9._/-]+\.(?:jpg|jpeg|png|webp)$"
+QUALITY_MARKERS = {"draft": "[DRAFT] 待核对，不能当作已核验结论。", "evidence-only": "[EVIDENCE-ONLY] 仅证据索引，不是语义摘要，不能当作已核验结论。"}
+QUALITY_PREFIXES = ("[DRAFT]", "[EVIDENCE-ONLY]")
 IMAGE_TOKENS, CHARS_PER_TOKEN = 1500, 4
 
 
@@ -97,8 +102,33 @@ def sentences(text: Column) -> Column:
 
 
 def is_path(text: Column) -> Column:
-    """Ends like an image or video file, with a slash or backslash somewhere."""
-    return text.rlike(r"[/\\]") & F.lower(text).rlike(r"\.(?:jpg|jpeg|png|webp|gif|mp4)$")
+    """Ends like an image or video file, with a slash or backslash somewhere, or has a path to one within."""
+    return text.rlike(r"[/\\]") & (text.rlike(PATH) | F.lower(text).rlike(r"\.(?:jpg|jpeg|png|webp|gif|mp4)$"))
+
+
+def is_safe_time_link(link: Column) -> Column:
+    return link.rlike(SAFE_TIME_LINK) | link.rlike(SAFE_LOCAL_LINK)
+
+
+def is_safe_asset_path(path: Column) -> Column:
+    return path.rlike(SAFE_ASSET_PATH)
+
+
+def marked_notes(label: Column, notes: Column) -> Column:
+    """Notes with the marker of their quality label in front, unless they have it; verified ones as they are."""
+    found = notes
+    for name, marker in QUALITY_MARKERS.items():
+        has = notes.contains(marker) | notes.startswith(marker.split("，")[0])
+        found = F.when((label == name) & ~has, strip(F.concat(F.lit(marker + " "), notes))).otherwise(found)
+    return found
+
+
+def bare_notes(notes: Column) -> Column:
+    """Notes without the first marker or prefix of a quality label."""
+    found = notes
+    for mark in reversed([*QUALITY_MARKERS.values(), *QUALITY_PREFIXES]):
+        found = F.when(notes.startswith(mark), strip(F.substr(notes, F.lit(len(mark) + 1)))).otherwise(found)
+    return found
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -205,3 +235,17 @@ def distinct_lines(text: Column) -> Column:
     keys = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+", ""))
     firsts = F.filter(F.transform(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda x: x), lambda x, i: F.array_position(keys, x["key"]) == i + 1)
     return F.array_join(F.transform(firsts, lambda x: x["line"]), "\n")
+
+
+#: Markers of a unit's kind, the first that is found decides.
+KIND_MARKERS = {"recap": ("回顾", "复习", "recap"), "example": ("例如", "比如", "example"), "procedure": ("步骤", "首先", "step"), "comparison": ("对比", "versus", "vs"), "warning": ("注意", "警告", "warning")}
+
+
+def kind_of(text: Column) -> Column:
+    low, found = F.lower(text), F.lit("concept")
+    for name, markers in reversed(KIND_MARKERS.items()):
+        hit = F.lit(False)
+        for marker in markers:
+            hit = hit | low.contains(marker)
+        found = F.when(hit, name).otherwise(found)
+    return found

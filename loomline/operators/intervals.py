@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .steps import Steps
+
 TILING, COVERAGE = 1e-9, 1e-6
 
 
@@ -135,13 +137,27 @@ def out_of_bounds(rows: DataFrame, start: str, end: str | None, duration: str) -
 def source_maps(spark: SparkSession, clips: DataFrame) -> DataFrame:
     """clips (id, parent, offset, speed) -> (id, scale, shift): source time = scale * local + shift.
 
-    A clip's time is offset + speed * local in its parent, up to the root (parent null).
+    A clip's time is offset + speed * local in its parent, up to the root (parent null). Each step joins every map with
+    that of where it has got to, so chains of n clips take log2(n) steps. A clip whose parent is missing has no map; nor
+    have clips in a cycle.
     """
-    clips.createOrReplaceTempView("_clips")
-    return spark.sql("""
-        WITH RECURSIVE up AS (
-          SELECT id, parent, CAST(speed AS DOUBLE) AS scale, CAST(offset AS DOUBLE) AS shift FROM _clips
-          UNION ALL
-          SELECT up.id, c.parent, c.speed * up.scale, c.offset + c.speed * up.shift
-          FROM up JOIN _clips c ON up.parent = c.id)
-        SELECT id, scale, shift FROM up WHERE parent IS NULL""")
+    steps = Steps(spark, "maps")
+    now = steps.write(clips.select("id", F.col("parent").alias("up"), F.col("speed").cast("double").alias("scale"), F.col("offset").cast("double").alias("shift")))
+    count = now.count()
+    while count and not now.where("up is not null").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("scale").alias("_scale"), F.col("shift").alias("_shift"))
+        moved = now.where("up is not null").join(above, "up").select("id", F.col("_up").alias("up"), (F.col("_scale") * F.col("scale")).alias("scale"), (F.col("_scale") * F.col("shift") + F.col("_shift")).alias("shift"))
+        now = steps.write(now.where("up is null").unionByName(moved))
+        # chains twice as long each time: what is not at a root by then goes in a circle
+        count //= 2
+    return now.where("up is null").select("id", "scale", "shift")
+
+
+def inverse_map(local: Column, scale: Column, shift: Column) -> Column:
+    """Local time of a source time; null for a map without length."""
+    return F.try_divide(local - shift, scale)
+
+
+def mapped_range(start: Column, end: Column, scale: Column, shift: Column) -> Column:
+    """A local range in source time."""
+    return F.struct((start * scale + shift).alias("start"), (end * scale + shift).alias("end"))

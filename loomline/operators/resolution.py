@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def qualifier_key(qualifiers: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.transform(qualifiers, lambda q: F.lower(T.strip(q))), lambda q: q != "")), ",")
+
+
 def concept_key(text: Column, qualifiers: Column) -> Column:
-    """Concept, sorted lower-case qualifiers and polarity, joined by bars."""
-    marks = F.array_join(F.array_sort(F.transform(qualifiers, F.lower)), ",")
+    """Concept, sorted lower-case qualifiers (stripped, without blank ones) and polarity, joined by bars."""
+    marks = qualifier_key(qualifiers)
     return F.concat_ws("|", T.normalize_concept(text), marks, T.polarity(text))
 
 
@@ -81,7 +85,7 @@ def merge_units(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     meet, so a fold has those of one kind of one key (a source).
     """
     schema = ", ".join(f"{c} {t}" for c, t in units.select(*keys).dtypes) + ", id string, members array<string>, kind string, start double, end double, n_claims int"
-    keyed = units.withColumn("claims", F.transform("claims", lambda c: F.struct(T.normalize_concept(c["text"]).alias("concept"), T.polarity(c["text"]).alias("polarity"), F.array_join(F.array_sort(F.transform(c["qualifiers"], F.lower)), ",").alias("qualifiers"))))
+    keyed = units.withColumn("claims", F.transform("claims", lambda c: F.struct(T.normalize_concept(c["text"]).alias("concept"), T.polarity(c["text"]).alias("polarity"), qualifier_key(c["qualifiers"]).alias("qualifiers"))))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "id"])

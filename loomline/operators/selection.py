@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import reachable
+
 #: The weights of a unit's and of a frame's score.
 UNIT_WEIGHTS = {"topic": 0.35, "importance": 0.25, "evidence": 0.20, "novelty": 0.20}
 FRAME_WEIGHTS = {"relevance": 0.45, "legibility": 0.30, "completeness": 0.15, "closeness": 0.10}
@@ -62,23 +62,91 @@ def omissions(candidates: DataFrame, selected: DataFrame, key: str, reasons: Map
 
 
 def prerequisites_closed(selected: DataFrame, edges: DataFrame) -> DataFrame:
-    """Selected ids and all that they need: edges (id, needs). Stops when a step adds nothing.
+    """Selected ids and all that they need: edges (id, needs). Stops when a step adds nothing."""
+    return reachable(selected, edges.select("id", F.col("needs").alias("next")))
+
+
+def pedagogical(rows: DataFrame, keys: Sequence[str], group: Column) -> DataFrame:
+    """rows (id, start) with `position` from 1: by group, then (start, id)."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(group, "start", "id")))
+
 
-    What each step adds is a Parquet table in the folder of spark.checkpoint.dir, so that no step
-    works out the ones before it again.
+def representatives(rows: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    """The one row of each key whose kind comes first in classes (other kinds last), then with the highest score, then by (start, id)."""
+    rank = F.lit(len(classes))
+    for i, name in reversed(list(enumerate(classes))):
+        rank = F.when(F.col("kind") == name, F.lit(i)).otherwise(rank)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(rank, F.desc("score"), "start", "id"))
+    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def grouped_pages(rows: DataFrame, keys: Sequence[str], *, size: int = 2, most: int = 2) -> DataFrame:
+    """rows (id, kind, position) with `page_id`: examples of a key in groups of `size`, at most `most` groups, each
+    named by its first; if there are none, the first `size` others are one group. Rows beyond are dropped; keys with one row stay as they are."""
+    w = Window.partitionBy(*keys)
+    example = F.col("kind") == "example"
+    n = F.row_number().over(Window.partitionBy(*keys, example).orderBy("position", "id")) - 1
+    found = rows.withColumn("_all", F.count(F.lit(1)).over(w)).withColumn("_any", F.sum(example.cast("int")).over(w)).withColumn("_g", F.floor(n / size))
+    grouped = F.when(F.col("_any") > 0, example & (F.col("_g") < most)).otherwise(F.col("_g") < 1)
+    found = found.where((F.col("_all") < 2) | grouped)
+    first = F.first("id").over(Window.partitionBy(*keys, "_g").orderBy("position", "id"))
+    return found.withColumn("page_id", F.when(F.col("_all") < 2, F.col("id")).otherwise(first)).drop("_all", "_any", "_g")
+
+
+def demoted_duplicates(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Losers (keys, id) of duplicate pairs (left_id, right_id, left_score, right_score, left_example, right_example,
+    left_start, right_start), in the order of (left_id, right_id): a pair with a loser is left out. The lower score
+    loses, of equal ones the example, then the later start, then the right one. The pairs of a key are folded in one row."""
+    left = F.col("left_score") < F.col("right_score")
+    same = F.col("left_score") == F.col("right_score")
+    left = left | (same & F.col("left_example") & ~F.col("right_example"))
+    alike = same & (F.col("left_example") == F.col("right_example"))
+    left = left | (alike & (F.col("left_start") > F.col("right_start")))
+    rows = pairs.select(*keys, F.struct("left_id", "right_id", F.when(left, F.col("left_id")).otherwise(F.col("right_id")).alias("loser")).alias("p"))
+    kind = f"array<{dict(pairs.dtypes)['left_id']}>"
+
+    def step(lost: Column, p: Column) -> Column:
+        seen = F.array_contains(lost, p["left_id"]) | F.array_contains(lost, p["right_id"])
+        return F.when(seen, lost).otherwise(F.concat(lost, F.array(p["loser"])))
+
+    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return folded.select(*keys, F.explode(F.aggregate("ps", F.array().cast(kind), step)).alias("id"))
+
+
+def budgeted(candidates: DataFrame, edges: DataFrame, keys: Sequence[str], *, target: int, most: int, caps: Mapping[str, int]) -> DataFrame:
+    """Candidates (id, topic, kind, score, mandatory) chosen for a budget, with `reason`.
+
+    Taken are, by rank of score: mandatory ones, the best one of each topic while there is room (a reserve for every
+    topic), then others up to `target`, never more of a kind than caps allows (mandatory ones count, but stay); then
+    what those need (edges: keys, id, needs), which may go over the target, up to `most`. All steps are ranks over a key.
     """
-    spark = selected.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
-    path = f"{root.rstrip('/')}/prerequisites-{uuid.uuid4().hex}"
-    frontier, paths = selected.select("id").distinct(), []
-    schema = frontier.schema
-    while True:
-        paths.append(f"{path}/{len(paths)}")
-        frontier.write.parquet(paths[-1])
-        last, found = (spark.read.schema(schema).parquet(*x) for x in (paths[-1:], paths))
-        if last.isEmpty():
-            return found.distinct()
-        frontier = last.join(edges, "id").select(F.col("needs").cast(schema["id"].dataType).alias("id")).distinct().join(found, "id", "left_anti")
+    order = [F.desc("score"), F.col("id")]
+    own = candidates.withColumn("_top", F.row_number().over(Window.partitionBy(*keys, "topic").orderBy(*order)) == 1)
+    first = F.when(F.col("mandatory"), 0).when(F.col("_top"), 1).otherwise(2)
+    own = own.withColumn("_class", first)
+    of_kind = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("_class", *order))
+    cap = F.lit(1 << 30)
+    for name, n in caps.items():
+        cap = F.when(F.col("kind") == name, F.lit(n)).otherwise(cap)
+    fits = own.withColumn("_k", of_kind).where((F.col("_class") == 0) | (F.col("_k") <= cap))
+    taken = fits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_class", *order))).where((F.col("_class") == 0) | (F.col("_n") <= target))
+    reason = F.when(F.col("_class") == 0, "mandatory").when(F.col("_class") == 1, "topic reserve").otherwise("score")
+    taken = taken.select(*candidates.columns, reason.alias("reason"), F.col("_n"))
+    joined = F.struct(*keys, "id").alias("id")
+    needed = reachable(taken.select(joined), edges.select(joined, F.struct(*keys, F.col("needs").alias("id")).alias("next"))).select("id.*")
+    more = candidates.join(needed, [*keys, "id"], "left_semi").join(taken.select(*keys, "id"), [*keys, "id"], "left_anti")
+    room = taken.groupBy(*keys).agg((F.lit(most) - F.count(F.lit(1))).alias("_room"))
+    more = more.join(room, list(keys)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= F.col("_room"))
+    return taken.drop("_n").unionByName(more.select(*candidates.columns, F.lit("prerequisite").alias("reason")))
+
+
+def trimmed(pages: DataFrame, keys: Sequence[str], classes: Sequence[str], most: int) -> DataFrame:
+    """pages (id, class, score, protected): protected ones, and others by class, score and id while `most` has room."""
+    rank = F.lit(len(classes))
+    for i, name in reversed(list(enumerate(classes))):
+        rank = F.when(F.col("class") == name, F.lit(i)).otherwise(rank)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("protected"), 0).otherwise(1), rank, F.desc("score"), "id"))
+    return pages.withColumn("_n", n).where(F.col("protected") | (F.col("_n") <= most)).drop("_n")
 
 
 def teaching_order(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .steps import Steps
+
 #: The lengths of a core, and the text that ends a sentence.
 CORE_SECONDS, MAX_CORE_SECONDS, CONTEXT_SECONDS = 120.0, 180.0, 10.0
 SENTENCE_END = r"""[.!?。！？]["'”’)\]]*\s*$"""
@@ -54,10 +56,11 @@ def choose_cut(cursor: Column, duration: Column, boundaries: Column, core: float
 def tile(timelines: DataFrame, key: str, *, core: float = CORE_SECONDS, most: float = MAX_CORE_SECONDS, context: float = CONTEXT_SECONDS) -> DataFrame:
     """timelines (key, duration, boundaries array<double>) -> cores that tile [0, duration).
 
-    Returns key, n (from 1), core_start, core_end, context_start, context_end. The fold runs over as
-    many steps as the shortest possible cores could take, inside one row.
+    Returns key, n (from 1), core_start, core_end, context_start, context_end. Two cuts always advance
+    by more than `core`, as the last boundary before it was taken by the first one: the fold inside one
+    row has twice as many steps as cores of that length.
     """
-    steps = F.sequence(F.lit(1), (F.ceil(F.col("duration") / F.lit(1e-6 + 1.0)) + 1).cast("int"))
+    steps = F.sequence(F.lit(1), (2 * F.ceil(F.col("duration") / F.lit(core)) + 2).cast("int"))
     start = F.struct(F.lit(0.0).alias("cursor"), F.array().cast("array<struct<s: double, e: double>>").alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -173,3 +176,59 @@ def evenly_spaced(rows: DataFrame, keys: Sequence[str], order: Sequence[str], mo
         return ranked.where(F.col("_i") < most).drop("_i", "_n")
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(most - 1)).cast("int"))
     return ranked.where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i"))).drop("_i", "_n")
+
+
+def halved_until_fit(cores: DataFrame, keys: Sequence[str], cost: Callable[[DataFrame], DataFrame], boundaries: DataFrame, *, least: float = 1.0) -> DataFrame:
+    """cores (keys, start, end) -> the same cut until they fit, with `status`.
+
+    cost(cores) returns them with `fits`. A core that does not fit is cut at the boundary (keys, at) nearest to its
+    middle that leaves `least` on both sides, else in the middle; one of at most `least` seconds has status failed.
+    Each round is a table, works on all cores that are left, and its cores are shorter: the rounds end.
+    """
+    steps, done = Steps(cores.sparkSession, "halves"), None
+    now = steps.write(cores.select(*keys, "start", "end"))
+    while not now.isEmpty():
+        costed = steps.write(cost(now).select(*keys, "start", "end", "fits"))
+        small = F.col("end") - F.col("start") <= least + 1e-9
+        kept = costed.where(F.col("fits") | small).select(*keys, "start", "end", F.when(F.col("fits"), "scheduled").otherwise("failed").alias("status"))
+        done = kept if done is None else done.unionByName(kept)
+        cut = costed.where(~F.col("fits") & ~small).select(*keys, "start", "end")
+        near = cut.join(boundaries.select(*keys, "at"), list(keys)).where((F.col("at") >= F.col("start") + least) & (F.col("at") <= F.col("end") - least))
+        middle = F.col("start") + (F.col("end") - F.col("start")) / 2
+        near = near.groupBy(*keys, "start", "end").agg(F.min_by("at", F.struct(F.abs(F.col("at") - middle), F.col("at"))).alias("at"))
+        at = F.coalesce(F.col("at"), middle)
+        cut = cut.join(near, [*keys, "start", "end"], "left").select(*keys, F.explode(F.array(F.struct(F.col("start"), at.alias("end")), F.struct(at.alias("start"), F.col("end")))).alias("c"))
+        now = steps.write(cut.select(*keys, "c.start", "c.end"))
+    return now.withColumn("status", F.lit("")) if done is None else done
+
+
+def refinement_times(start: Column, end: Column, existing: Column, most: int) -> Column:
+    """At most `most` times in [start, end) to look at: the middle, both quarters, the start, just before the end, then the
+    existing ones; each at least a millisecond from those before it."""
+    span = end - start
+    candidates = F.concat(F.array(start + span / 2, start + span * 0.25, start + span * 0.75, start, F.greatest(start, end - 1e-3)), existing)
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (x >= start) & (x < end) & ~F.exists(acc, lambda y: F.abs(x - y) < 1e-3) & (F.size(acc) < most)
+        return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return F.aggregate(candidates, F.array().cast("array<double>"), step)
+
+
+def scene_samples(scenes: DataFrame, timelines: DataFrame, keys: Sequence[str], *, every: float = 90.0) -> DataFrame:
+    """Distinct (keys, t), to 3 places: starts of scenes (keys, start) over 0.1 s after the last one kept, 0 if the first is
+    later than 0.1 s (or there is none), and every `every` seconds up to 0.1 s before the next scene or the timeline's end."""
+    starts = scenes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("start").cast("double"))).alias("s"))
+    rows = timelines.join(starts, list(keys), "left").withColumn("s", F.coalesce("s", F.array().cast("array<double>")))
+    rows = rows.withColumn("s", F.when((F.size("s") == 0) | (F.get("s", F.lit(0)) > 0.1), F.concat(F.array(F.lit(0.0)), "s")).otherwise(F.col("s")))
+    following = F.concat(F.slice("s", 2, F.size("s")), F.array(F.col("duration").cast("double")))
+    rows = rows.withColumn("x", F.arrays_zip(F.col("s").alias("at"), following.alias("next")))
+
+    def step(acc: Column, x: Column) -> Column:
+        kept = F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1) > 0.1), F.concat(acc, F.array(x["at"]))).otherwise(acc)
+        n = F.greatest(F.ceil((x["next"] - 0.1 - x["at"]) / every) - 1, F.lit(0)).cast("int")
+        more = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: x["at"] + k * every)).otherwise(F.array().cast("array<double>"))
+        return F.concat(kept, more)
+
+    times = F.aggregate("x", F.array().cast("array<double>"), step)
+    return rows.select(*keys, F.explode(F.array_distinct(F.transform(times, lambda t: F.round(t, 3)))).alias("t")).where("t >= 0")

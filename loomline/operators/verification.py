@@ -33,8 +33,8 @@ def severity(verdict: Column) -> Column:
 
 
 def worst_verdict(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """checks (keys, kind, verdict, reason) -> the worst verdict and its reasons. A claim is supported
-    only if all checks are, and a `grounding` check is among them."""
+    """checks (keys, kind, verdict) -> the worst verdict, whether it is grounded, and the number of checks.
+    A claim is supported only if all checks are, and a `grounding` check is among them. Reasons are in verdict_reasons()."""
     worst = checks.groupBy(*keys).agg(
         F.min(severity(F.col("verdict"))).alias("_s"),
         F.coalesce(F.bool_or((F.col("kind") == "grounding") & (F.col("verdict") == "supported")), F.lit(False)).alias("grounded"),
@@ -45,6 +45,43 @@ def worst_verdict(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return worst.withColumn("verdict", verdict).drop("_s")
 
 
+def verdict_reasons(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, reasons: the distinct reasons of the checks (keys, order, verdict, reason) that did not pass, in order."""
+    failed = checks.where("verdict <> 'supported' and reason is not null").groupBy(*keys, "reason").agg(F.min("order").alias("order"))
+    ordered = F.array_sort(F.collect_list(F.struct("order", "reason")))
+    return failed.groupBy(*keys).agg(F.transform(ordered, lambda x: x["reason"]).alias("reasons"))
+
+
+def closure_problems(claims: DataFrame, verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, problem, ids): why verdicts (keys, claim, verdict, n_supporting) are no strict set for claims (keys, claim):
+    missing and unknown claims, verdicts that are not supported, and ones without supporting evidence."""
+    own = claims.select(*keys, "claim").distinct()
+    parts = {
+        "missing": own.join(verdicts.select(*keys, "claim"), [*keys, "claim"], "left_anti"),
+        "unknown": verdicts.select(*keys, "claim").join(own, [*keys, "claim"], "left_anti"),
+        "unresolved": verdicts.where("verdict <> 'supported'").select(*keys, "claim"),
+        "ungrounded": verdicts.where("n_supporting = 0").select(*keys, "claim"),
+    }
+    found = None
+    for name, part in parts.items():
+        part = part.withColumn("problem", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy(*keys, "problem").agg(F.array_sort(F.collect_set("claim")).alias("ids"))
+
+
+def kept_examples(claims: DataFrame, verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Claims (keys, topic, kind, claim) of examples that are not supported, in topics where a claim of another kind is."""
+    judged = claims.join(verdicts.select(*keys, "claim", "verdict"), [*keys, "claim"], "left")
+    sure = judged.where("kind <> 'example' and verdict = 'supported'").select(*keys, "topic").distinct()
+    return judged.where("kind = 'example' and (verdict is null or verdict <> 'supported')").join(sure, [*keys, "topic"], "left_semi").drop("verdict")
+
+
+def grounded_pages(strings: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, grounded: whether all non-empty strings (keys, text) of a page are among the known texts (keys, text)."""
+    own = strings.where("trim(text) <> ''").join(known.select(*keys, "text").distinct().withColumn("_known", F.lit(True)), [*keys, "text"], "left")
+    return own.groupBy(*keys).agg(F.every(F.col("_known").isNotNull()).alias("grounded"))
+
+
 def step_order_faults(edges: DataFrame, times: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges (keys, before_id, after_id) whose earlier step has its first evidence later; times: (keys, id, t)."""
     first = times.groupBy(*keys, "id").agg(F.min("t").alias("t"))
@@ -88,3 +125,20 @@ def constraint_faults(rows: DataFrame, id_columns: Sequence[str], rules: Mapping
     """(id columns, rule) for each rule that a row does not meet; a null result counts as not met."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return rows.select(*id_columns, F.explode(failed).alias("rule"))
+
+
+def references_by_type(pages: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, claim, content, summary, other): sorted pages (page, type, claim) of each type that name a known claim."""
+    kind = F.when(F.col("type").isin("content", "summary"), F.col("type")).otherwise("other")
+    rows = pages.withColumn("_t", kind).join(known.select(*keys, "claim").distinct(), [*keys, "claim"])
+    return rows.groupBy(*keys, "claim").agg(*(F.array_sort(F.collect_list(F.when(F.col("_t") == t, F.col("page")))).alias(t) for t in ("content", "summary", "other")))
+
+
+def topic_coverage(references: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, topic, body, summaries, missing) from references (claim, content, summary) and topics (claim, topic): claims of a
+    topic on content pages, on summary pages, and whether none is on one. Only for keys that have a summary page."""
+    rows = references.join(topics, [*keys, "claim"])
+    has = rows.where(F.size("summary") > 0).select(*keys).distinct()
+    on = lambda c: F.array_sort(F.collect_list(F.when(F.size(c) > 0, F.col("claim"))))
+    found = rows.join(has, list(keys), "left_semi").groupBy(*keys, "topic").agg(on("content").alias("body"), on("summary").alias("summaries"))
+    return found.where(F.size("body") > 0).withColumn("missing", F.size("summaries") == 0)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.steps import reachable
+
 #: Limits of a run, in the order in which a breach is reported.
 LIMITS = {"calls": 100, "input_tokens": 2_000_000, "output_tokens": 500_000, "images": 500, "seconds": 3600.0, "cost": 5.0}
 RETRY_BASE, RETRY_MOST = 0.25, 8.0
+#: Seconds for each minute of a lecture by stage, and model calls.
+SECONDS_A_MINUTE = {"ingest": 0.15, "extract_evidence": 0.35, "analyze": 1.2, "editorial": 0.25, "bind_render": 0.4}
+CALLS_A_MINUTE = 1.8
 STAGES = ("ingest", "evidence", "analyze", "plan", "verify", "review", "bind", "render")
 
 
@@ -46,16 +51,29 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *parts), 256)
 
 
-def invalidated(spark: SparkSession, edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(stage) start (stage) and all stages downstream of it over edges (stage, next)."""
-    edges.createOrReplaceTempView("_stage_edges")
-    start.createOrReplaceTempView("_stage_start")
-    return spark.sql("""
-        WITH RECURSIVE down AS (
-          SELECT stage FROM _stage_start
-          UNION ALL
-          SELECT e.next AS stage FROM down JOIN _stage_edges e ON down.stage = e.stage)
-        SELECT DISTINCT stage FROM down""")
+def invalidated(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(stage) start (stage) and all stages downstream of it over edges (stage, next), however many there are."""
+    found = reachable(start.select(F.col("stage").alias("id")), edges.select(F.col("stage").alias("id"), "next"))
+    return found.withColumnRenamed("id", "stage")
+
+
+def stage_update(ledger: DataFrame, updates: DataFrame) -> DataFrame:
+    """ledger (run, name, status, cache_key, error) with updates (run, name, status, cache_key, error): a null cache key keeps the old one, the error is replaced."""
+    new = updates.select("run", "name", *(F.col(c).alias(f"_{c}") for c in ("status", "cache_key", "error")))
+    found, hit = ledger.join(new, ["run", "name"], "left"), F.col("_status").isNotNull()
+    return found.select("run", "name", F.coalesce("_status", "status").alias("status"), F.coalesce("_cache_key", "cache_key").alias("cache_key"), F.when(hit, F.col("_error")).otherwise(F.col("error")).alias("error"))
+
+
+def stages_reset(ledger: DataFrame, names: DataFrame) -> DataFrame:
+    """ledger with the stages in names (run, name) pending again, without cache key and error."""
+    found, hit = ledger.join(names.select("run", "name").distinct().withColumn("_hit", F.lit(True)), ["run", "name"], "left"), F.col("_hit").isNotNull()
+    return found.select("run", "name", F.when(hit, "pending").otherwise(F.col("status")).alias("status"), F.when(~hit, F.col("cache_key")).alias("cache_key"), F.when(~hit, F.col("error")).alias("error"))
+
+
+def timeline_estimate(minutes: Column) -> Column:
+    """Struct of seconds, calls, memory_mb and headroom_usd of a lecture, by the fixed linear model."""
+    calls = F.floor(CALLS_A_MINUTE * minutes).cast("int")
+    return F.struct((sum(SECONDS_A_MINUTE.values()) * 60 * minutes).alias("seconds"), calls.alias("calls"), F.least(F.lit(512.0), 8.0 * minutes).alias("memory_mb"), F.greatest(F.lit(0.0), F.greatest(F.lit(2.0), 0.08 * minutes) - 0.01 * calls).alias("headroom_usd"))
 
 
 def resumed(stored: DataFrame, given: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
@@ -114,11 +114,11 @@ def i14_minimal_clip(spark, d):
     return events(spark, d).select("event_id", clip.alias("c")).where("c is not null").select("event_id", F.col("c.start").alias("clip_start"), F.col("c.end").alias("clip_end"))
 
 
-@query("""WITH RECURSIVE up AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent, 1.0 + p_size / 64.0 AS scale, CAST(p_size AS DOUBLE) AS shift FROM part WHERE p_partkey < 256
+@query("""WITH RECURSIVE up AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent, 1.0 + p_size / 64.0 AS scale, CAST(p_size AS DOUBLE) AS shift FROM part
   UNION ALL SELECT up.id, CASE WHEN p.p_partkey > 0 THEN p.p_partkey // 2 END, (1.0 + p.p_size / 64.0) * up.scale, p.p_size + (1.0 + p.p_size / 64.0) * up.shift FROM up JOIN part p ON up.parent = p.p_partkey)
   SELECT id, round(scale, 6) AS scale, round(shift, 4) AS shift FROM up WHERE parent IS NULL""")
 def i15_source_maps(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 256")
+    p = table(spark, d, "part")
     clips = p.select(F.col("p_partkey").alias("id"), F.expr("if(p_partkey > 0, p_partkey div 2, null)").alias("parent"), F.col("p_size").cast("double").alias("offset"), (1.0 + F.col("p_size") / 64.0).alias("speed"))
     return intervals.source_maps(spark, clips).select("id", F.round("scale", 6).alias("scale"), F.round("shift", 4).alias("shift"))
 
@@ -272,7 +272,7 @@ def w1_scroll_dedup(spark, d):
     words = F.split("text", " ")
     cues = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 3).alias("end"), words.alias("w"))
     # each turn rolls in over three cues
-    cues = cues.select("conv_id", F.explode(F.array(*[F.struct((F.col("start") + k * 0.5).alias("start"), F.col("end").alias("end"), F.array_join(F.slice("w", 1, 2 + 2 * k), " ").alias("text")) for k in range(3)])).alias("c"))
+    cues = cues.select("conv_id", F.explode(F.array(*[F.struct((F.col("start") + k * 0.5).alias("start"), F.col("end").alias("end"), F.array_join(F.slice("w", F.lit(1), F.ceil(F.size("w") * (k + 1) / 3).cast("int")), " ").alias("text")) for k in range(3)])).alias("c"))
     return sequence.scroll_dedup(cues.select("conv_id", "c.*"), ["conv_id"])
 
 
@@ -324,8 +324,9 @@ def o14_prerequisites(spark, d):
 def o13_teaching_order(spark, d):
     part = table(spark, d, "part")
     rows = part.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("start"))
-    other = rows.select("p_brand", F.col("id").alias("needs"))
-    edges = rows.join(other, "p_brand").where("needs < id and pmod(needs, 7) = pmod(id, 7)").select("p_brand", "id", "needs")
+    # each needs the one before it of its remainder, and so all of those
+    before = F.lag("id").over(Window.partitionBy("p_brand", F.pmod("id", F.lit(7))).orderBy("id"))
+    edges = rows.select("p_brand", "id", before.alias("needs")).where("needs is not null")
     return selection.teaching_order(rows, "p_brand", edges)
 
 
@@ -352,7 +353,9 @@ def d2_first_of_content(spark, d):
 
 @query()
 def d3_leaders(spark, d):
-    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    # the signs of 64 sums, each of every 64th dimension
+    sums = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate(F.filter("embedding", lambda _, i: i % 64 == k), F.lit(0.0), lambda acc, x: acc + x))
+    bits = F.aggregate(sums, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
     return resolution.leaders(table(spark, d, "embeddings").select("label", "vec_id", bits.alias("bits")), ["label"], "vec_id", "bits", 24)
 
 
@@ -444,10 +447,13 @@ def p19_token_estimate(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(?:not|never|no)\\b|\\b(?:can|do|does|did|is|are|was|were|will|would|should|could|have|has|had)n''t') AS negated,
-  regexp_matches(text, '(?i)\\d+(?:\\.\\d+)?\\s*(?:cm|mm|kg|m/s|%)') AS has_units FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')""".replace("\\\\", "\\"))
+ANY_OF = lambda names: " OR ".join(f"contains(text, '{x}')" for x in names)
+
+
+@query(rf"""SELECT conv_id, turn, regexp_matches(text, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}])(?:(?:not|never|no)(?:$|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}])|(?:can|do|does|did|is|are|was|were|will|would|should|could|have|has|had)n''t)') OR {ANY_OF(T.CJK_NEGATIONS)} AS negated,
+  regexp_matches(text, '(?i)\d+(?:\.\d+)?\s*(?:cm|mm|kg|m/s|%)') OR {ANY_OF(T.UNIT_SIGNS)} AS has_units FROM conversations""")
 def t3_negation_units(spark, d):
-    rows = table(spark, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", T.has_negation(F.col("text")).alias("negated"), T.has_units(F.col("text")).alias("has_units"))
 
 
@@ -495,9 +501,9 @@ def b1_budget_replay(spark, d):
     return found.select("o_orderkey", "total_calls", F.round("total_cost", 2).alias("total_cost"), "breach", "paused")
 
 
-@query("""SELECT event_id, least(8.0, 0.25 * pow(2.0, event_id % 9)) AS delay FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id % 30 + 0.5 ELSE least(8.0, 0.25 * pow(2.0, event_id % 9)) END AS delay FROM events""")
 def b2_retry_delay(spark, d):
-    return table(spark, d, "events").select("event_id", budget.retry_delay(F.col("event_id") % 9 + 1, F.lit(None).cast("double")).alias("delay"))
+    return table(spark, d, "events").select("event_id", budget.retry_delay(F.col("event_id") % 9 + 1, F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 30 + 0.5).cast("double")).alias("delay"))
 
 
 @query("""SELECT arg_min(event_id, event_id) AS event_id, min(event_type) <> max(event_type) AS conflict FROM events GROUP BY user_id, floor(value)""")
@@ -506,11 +512,12 @@ def b4_idempotent(spark, d):
     return budget.idempotent(rows, ["user_id", "request"], ["event_id"], "event_type").select("event_id", "conflict")
 
 
-@query("""SELECT unnest(['plan', 'verify', 'review', 'bind', 'render']) AS stage FROM region WHERE r_regionkey = 0""")
+@query("""WITH RECURSIVE down AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT p.p_partkey FROM down JOIN part p ON p.p_partkey // 2 = down.p_partkey AND p.p_partkey > 1)
+  SELECT p_partkey AS stage FROM down""")
 def b6_invalidated(spark, d):
-    order = F.array(*map(F.lit, budget.STAGES))
-    stages = table(spark, d, "region").where("r_regionkey = 0").select(F.explode(F.sequence(F.lit(0), F.lit(len(budget.STAGES) - 2))).alias("i"))
-    return budget.invalidated(spark, stages.select(F.get(order, "i").alias("stage"), F.get(order, F.col("i") + 1).alias("next")), stages.limit(1).select(F.lit("plan").alias("stage")))
+    part = table(spark, d, "part")
+    edges = part.where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("stage"), F.col("p_partkey").alias("next"))
+    return budget.invalidated(edges, part.where("p_size = 50").select(F.col("p_partkey").alias("stage")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_mktsegment IS NOT NULL THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_nationkey, c_custkey % 2 = 0 AS changed FROM customer""")

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from loomline.functions import coerce
 from loomline.functions import text as T
-from loomline.operators import intervals, joins, resolution, selection, sequence, verification
+from loomline.operators import intervals, joins, reduction, resolution, selection, sequence, verification
 from loomline.plans import budget
-from loomline.sources import artifacts, captions
+from loomline.sources import artifacts, captions, listings
 
 
 def spans(spark, rows):
@@ -170,3 +170,62 @@ def test_unique_ids_skip_those_that_are_taken(spark):
     rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     found = [x[1] for x in got(sequence.unique_ids(rows, [], ["i"], "name"), "i", "unique_id")]
     assert found == want and found[:4] == ["x", "x-2", "x-2-2", "x-3"] and len(set(found)) == len(names)
+
+
+def test_paths_within_sentences(spark):
+    texts = ["see ./clips/a.MKV now", "C:\\x\\b.webm", "no/path.txt", "a.mp4", "dir/a.mp4", "from '/tmp/x.png'", "x/y.mov z"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_path(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, True, True, False]
+
+
+def test_concept_keys_strip_qualifiers(spark):
+    row = spark.createDataFrame([("Not a Big Cat", [" B ", "", " ", "a"])], "t string, q array<string>")
+    assert row.select(resolution.concept_key(F.col("t"), F.col("q"))).first()[0] == "abigcat|a,b|neg"
+
+
+def test_maps_of_deep_chains(spark):
+    # 200 clips in each other, two times the speed every tenth; a lost parent and a circle have no map
+    rows = [(0, None, 0.0, 1.0)] + [(i, i - 1, 1.0, 2.0 if i % 10 == 0 else 1.0) for i in range(1, 200)] + [(500, 499, 0.0, 1.0), (600, 601, 0.0, 1.0), (601, 600, 0.0, 1.0)]
+    found = {r.id: (r.scale, r.shift) for r in intervals.source_maps(spark, spark.createDataFrame(rows, "id int, parent int, offset double, speed double")).collect()}
+    want, last = {0: (1.0, 0.0)}, (1.0, 0.0)
+    for i in range(1, 200):
+        last = want[i] = (last[0] * (2.0 if i % 10 == 0 else 1.0), last[0] * 1.0 + last[1])
+    assert found == want
+
+
+def test_prerequisites_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(3, 7)], "id long, needs long")
+    assert sorted(r.id for r in selection.prerequisites_closed(spark.createDataFrame([(40,), (99,)], "id long"), edges).collect()) == [*range(41), 99]
+
+
+def test_halving_prefers_boundaries(spark):
+    cores = spark.createDataFrame([("a", 0.0, 100.0), ("b", 0.0, 1.5), ("c", 0.0, 10.0)], "k string, start double, end double")
+    bounds = spark.createDataFrame([("a", 45.0), ("a", 58.0), ("a", 0.4)], "k string, at double")
+    limit = F.when(F.col("k") == "b", 0.1).otherwise(60.0)
+    found = sequence.halved_until_fit(cores, ["k"], lambda x: x.withColumn("fits", F.col("end") - F.col("start") <= limit), bounds)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 0.0, 45.0, "scheduled"), ("a", 45.0, 100.0, "scheduled"), ("b", 0.0, 0.75, "failed"), ("b", 0.75, 1.5, "failed"), ("c", 0.0, 10.0, "scheduled")]
+
+
+def test_negation_and_units_of_any_script(spark):
+    texts = {"é not à": (True, False), "notó": (False, False), "这不是": (True, False), "5 秒": (False, True), "don't": (True, False), "12kg": (False, True), "knot": (False, False), "élan no.": (True, False)}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.has_negation(F.col("t")).alias("n"), T.has_units(F.col("t")).alias("u"))
+    assert {r.t: (r.n, r.u) for r in rows.collect()} == texts
+
+
+def test_validated_artifacts(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "x", "n": 1}\n{"id": "y", "n": -1}\n')
+    rules = {"n": F.col("n") >= 0}
+    with pytest.raises(Exception, match="corrupt artifact: n"):
+        listings.validated(spark, str(tmp_path), "id string, n int", rules).collect()
+    assert listings.validated(spark, str(tmp_path), "id string, n int", {"id": F.col("id") != ""}).count() == 2
+    with pytest.raises(Exception, match="."):
+        listings.validated(spark, str(tmp_path), "id int, n int", {}).collect()
+
+
+def test_outline_keeps_what_conflicts_with_nothing_kept(spark):
+    rows = [("s", 1, "a", "A", 0.0, 10.0), ("s", 2, "b", "B", 4.0, 12.0), ("s", 3, "c", "C", 9.0, 30.0), ("s", 4, "a", "A", 0.0, 10.0), ("s", 5, "d", "B", 11.0, 13.0)]
+    topics = spark.createDataFrame(rows, "k string, n int, id string, title string, start double, end double")
+    found = reduction.outline(topics, spark.createDataFrame([("s", 30.0), ("t", 5.0)], "k string, duration double"), "k")
+    got = {(r.k, r.id, r.follows) for r in found.collect()}
+    # b conflicts with a, which is kept; d with c only
+    assert got == {("s", "a", None), ("s", "a-2", "a"), ("s", "c", "a-2"), ("t", "topic-unverified", None)}
