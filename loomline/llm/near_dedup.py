@@ -4,8 +4,8 @@ Equal sets are one class, and only one document of each class is joined. In each
 independent trees, a node picks two minwise tokens and its classes go on to the children that their
 own values of these name; from level TWOFOLD on a second token is picked by a quarter of the nodes
 only, 1 / 0.8 tokens on average. A node is compared exhaustively, and branches no further, as soon
-as it is small. Levels are worked off for all trees at once: one shuffle by ranges of nodes, so that
-a node of any size is spread over as many tasks as its rows fill.
+as it is small. Levels are worked off for all trees at once, in one shuffle by nodes; a node of over
+HELD classes is dealt in parts of about that many.
 
 Near copies do not get apart by branching. So each level also links a class with the likest of some
 random classes of its large nodes, and nodes whose classes are in one component already are done.
@@ -39,7 +39,7 @@ TREES, TWOFOLD, LEVELS = 6, 4, 6
 COORDINATES = 128
 #: Classes of a node (outside its main component) that are compared exhaustively; random classes of a large one that each of its classes meets.
 LIMIT, NEIGHBOURS = 32, 16
-#: Rows of one node that a task holds back; shingles of one side of a block.
+#: Classes of one node, or part of it, in a task; shingles of one side of a block.
 HELD, BLOCK = 4096, 1 << 19
 MISSED = 1e-7
 
@@ -183,36 +183,36 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return COORDINATES - np.bitwise_count(differ).sum(-1, dtype=np.int64)
 
 
-#: kind PAIR, NEIGHBOUR: a, b and how much they agree. MEMBER of a large node: a. EDGE: a class (a, with its component b and set size) of a node that another task may have more of.
-SCANNED = "kind byte, node long, a long, b long, agree long, bits binary"
-PAIR, NEIGHBOUR, MEMBER, EDGE = range(4)
+#: kind PAIR, NEIGHBOUR: a, b and how much they agree. MEMBER of a large node: a.
+SCANNED = "kind byte, node long, a long, b long, agree long"
+PAIR, NEIGHBOUR, MEMBER = range(3)
 
 
-def scan(rows: DataFrame, share: int, *, whole: bool) -> DataFrame:
-    """One pass over rows (node, id, n, component, bits) in the order of nodes.
+def dealt_by_node(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows (node, id, n, component, bits) in the order of nodes; those in large (node, size) in parts, in random order."""
+    part = F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / HELD))).otherwise(0)
+    rows = rows.join(large, "node", "left").select("node", part.alias("part"), F.xxhash64("node", "id").alias("order"), "id", "n", "component", F.col("size").isNotNull().alias("large"), "bits")
+    return rows.repartition("node", "part").sortWithinPartitions("node", "part", "order")
+
+
+def scan(rows: DataFrame, share: int) -> DataFrame:
+    """One pass over rows as dealt_by_node() gives them.
 
     Small nodes give the pairs that agree and are in different components, large ones their members,
-    and for each the likest of NEIGHBOURS classes before and after it. Unless nodes are whole in their
-    task, the first and last node of a task, where they have few rows, are handed on.
+    and for each the likest of NEIGHBOURS classes before and after it.
     """
     least = least_agreeing(share)
 
-    def out(kind: int, node, a, b, agree, bits=None) -> pa.RecordBatch:
+    def out(kind: int, node, a, b, agree) -> pa.RecordBatch:
         n = len(a)
         fill = lambda x: np.zeros(n, np.int64) if x is None else x
-        columns = [pa.array(np.full(n, kind, np.int8)), *(pa.array(fill(x)) for x in (node, a, b, agree)), pa.nulls(n, pa.binary()) if bits is None else pa.array([x.tobytes() for x in bits], pa.binary())]
-        return pa.record_batch(columns, names=["kind", "node", "a", "b", "agree", "bits"])
+        return pa.record_batch([pa.array(np.full(n, kind, np.int8)), *(pa.array(fill(x)) for x in (node, a, b, agree))], names=["kind", "node", "a", "b", "agree"])
 
-    def handle(rows: list[np.ndarray], large_one: int | None, at_edge: set[int]) -> Iterator[pa.RecordBatch]:
-        node, ids, n, component, bits = rows
-        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    def handle(node, part, ids, n, component, large, bits) -> Iterator[pa.RecordBatch]:
+        begins = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (part[1:] != part[:-1])))
         sizes = np.diff(np.append(begins, len(node)))
         size, place = np.repeat(sizes, sizes), np.arange(len(node)) - np.repeat(begins, sizes)
-        large = size > LIMIT
-        if large_one is not None:
-            large |= node == large_one
-        edge = ~large & np.isin(node, list(at_edge))
-        small = ~large & ~edge
+        large = large | (size > LIMIT)
 
         def near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
             """How much they agree, or 0 where sizes or components rule out a new link."""
@@ -223,7 +223,7 @@ def scan(rows: DataFrame, share: int, *, whole: bool) -> DataFrame:
             return found
 
         for d in range(1, LIMIT):
-            right = np.flatnonzero(small & (place >= d))
+            right = np.flatnonzero(~large & (place >= d))
             if not len(right):
                 break
             found = near(right - d, right)
@@ -241,31 +241,25 @@ def scan(rows: DataFrame, share: int, *, whole: bool) -> DataFrame:
             own = best > 0
             yield out(NEIGHBOUR, None, ids[own], with_one[own], best[own])
             yield out(MEMBER, node[large], ids[large], None, None)
-        if edge.any():
-            yield out(EDGE, node[edge], ids[edge], component[edge], n[edge], bits[edge])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, large_one = None, None, None
+        held: list[np.ndarray] | None = None
         for batch in batches:
             for at in range(0, batch.num_rows, 65_536):
-                part = batch.slice(at, 65_536)
-                rows = [*(np.asarray(part.column(i)) for i in range(4)), _matrix(part.column(4))]
+                some = batch.slice(at, 65_536)
+                rows = [*(np.asarray(some.column(i)) for i in range(5)), some.column(5).to_numpy(zero_copy_only=False), _matrix(some.column(6))]
                 if held is not None:
                     rows = [np.concatenate(x) for x in zip(held, rows)]
-                node = rows[0]
-                first = node[0] if first is None else first
-                # the last node waits for its other rows, unless it is sure to be a large one
-                cut = int(np.flatnonzero(node == node[-1])[0])
-                long = len(node) - cut > HELD
-                held = None if long else [x[cut:] for x in rows]
-                if long or cut:
-                    yield from handle(rows if long else [x[:cut] for x in rows], large_one, set() if whole else {first})
-                if long or cut:
-                    large_one = node[-1] if long else large_one if node[-1] == large_one else None
+                # the last node, or part of one, waits for its other rows
+                last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+                cut = int(np.flatnonzero(last)[0])
+                if cut:
+                    yield from handle(*(x[:cut] for x in rows))
+                held = [x[cut:] for x in rows]
         if held is not None:
-            yield from handle(held, large_one, set() if whole else {first, held[0][-1]})
+            yield from handle(*held)
 
-    return rows.select("node", "id", "n", "component", "bits").mapInArrow(work, SCANNED)
+    return rows.select("node", F.col("part").cast("long"), "id", "n", "component", "large", "bits").mapInArrow(work, SCANNED)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -363,6 +357,8 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, share: int, scratch: storage.Scratch):
         self.docs, self.classes, self.words, self.share, self.scratch = docs, classes, words, share, scratch
         self.parts: DataFrame | None = None
+        #: Links that are not in the components yet, and groups to compare in blocks.
+        self.links: list[DataFrame] = []
         self.settle: list[DataFrame] = []
 
     def with_component(self, rows: DataFrame) -> DataFrame:
@@ -370,51 +366,38 @@ class Join:
             return rows.withColumn("component", F.col("id"))
         return rows.join(self.parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    def add(self, links: DataFrame) -> None:
-        links = self.scratch.write(links, "links")
-        if links.isEmpty():
+    def merge(self) -> None:
+        """Work the links found so far into the components."""
+        links, self.links = self.links, []
+        if not links:
             return
-        found = connected_components(links, self.scratch) if self.parts is None else extend_components(self.parts, links, self.scratch)
+        found = functools.reduce(DataFrame.unionByName, links)
+        found = connected_components(found, self.scratch) if self.parts is None else extend_components(self.parts, found, self.scratch)
         self.parts = self.scratch.write(found, "parts")
 
-    def different(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not in one component yet."""
-        if self.parts is None:
-            return pairs
-        a, b = (self.parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-        own = pairs.join(a, "a", "left").join(b, "b", "left")
-        return own.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
     def sets(self, ids: DataFrame) -> DataFrame:
+        # written first: Spark then knows how few they may be, and needs not deal out the texts
         ids = self.scratch.write(ids.distinct(), "ids")
         return self.scratch.write(sets_of(self.docs, ids, self.words), "sets")
 
     def try_pairs(self, pairs: DataFrame) -> None:
-        """First each class with the one that is likest to it, then what that left apart."""
-        pairs = self.scratch.write(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")), "pairs")
-        if pairs.isEmpty():
-            return
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "agree"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "agree"))).alias("x")).select("x.*")
-        best = sides.groupBy("id").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
-        best = best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        self.add(confirm(best, sets, self.share))
-        self.add(confirm(self.different(pairs), sets, self.share))
+        pairs = self.scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+            self.links.append(self.scratch.write(confirm(pairs, sets, self.share), "links"))
 
     def level(self, frontier: DataFrame | None, level: int) -> DataFrame | None:
         """Works off one level; the nodes to branch on, or None."""
-        rows = self.with_component(branch(frontier, self.classes, level)).withColumn("order", F.xxhash64("node", "id"))
-        rows = rows.repartitionByRange("node", "order").sortWithinPartitions("node", "order")
-        scanned = self.scratch.write(scan(rows, self.share, whole=False), "scanned")
-        # few rows: of two nodes a task at most, and LIMIT of each
-        edges = scanned.where(F.col("kind") == EDGE)
-        known = scanned.where(F.col("kind") == MEMBER).select("node").distinct()
-        rest = edges.join(known, "node", "left_anti").select("node", F.col("a").alias("id"), F.col("agree").alias("n"), F.col("b").alias("component"), "bits")
-        again = self.scratch.write(scan(rest.repartition("node").sortWithinPartitions("node"), self.share, whole=True), "scanned")
-        both = scanned.unionByName(again)
-        self.try_pairs(both.where(F.col("kind") <= NEIGHBOUR))
-        members = both.where(F.col("kind") == MEMBER).unionByName(edges.join(known, "node", "left_semi").select(both.columns))
-        members = self.scratch.write(self.with_component(members.select("node", F.col("a").alias("id"))), "members")
+        rows = self.with_component(branch(frontier, self.classes, level))
+        if level > 1:
+            rows = self.scratch.write(rows, "rows")
+        large = self.scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HELD), "large")
+        scanned = self.scratch.write(scan(dealt_by_node(rows, large), self.share), "scanned")
+        self.try_pairs(scanned.where(F.col("kind") <= NEIGHBOUR))
+        # components for the levels below; those hardly add to them
+        if level <= 2:
+            self.merge()
+        members = self.scratch.write(self.with_component(scanned.where(F.col("kind") == MEMBER).select("node", F.col("a").alias("id"))), "members")
         counts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
         nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"))
         nodes = self.scratch.write(nodes.where("all > most"), "apart")
@@ -422,23 +405,19 @@ class Join:
             return None
         members = members.join(nodes, "node").withColumn("outside", F.col("component") != F.col("main"))
         if level == LEVELS:
-            g = F.xxhash64(F.lit("node"), "node")
-            whole = members.select(g.alias("g"), F.lit(1).alias("side"), "id", F.lit(None).cast("long").alias("of"))
-            self.settle += [whole, members.where("outside").select(g.alias("g"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("of"))]
+            sides = F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+            self.settle.append(members.select(F.xxhash64(F.lit("node"), "node").alias("g"), F.explode(sides).alias("side"), "id", F.lit(None).cast("long").alias("of")))
             return None
         few = (F.col("all") - F.col("most") <= LIMIT) | (2 * F.col("most") >= F.col("all"))
         members = self.scratch.write(members.withColumn("few", few), "apart")
-        self.settle.append(members.where("few").select(F.xxhash64(F.lit("component"), "main").alias("g"), F.when(F.col("outside"), 0).otherwise(1).alias("side"), "id", F.col("main").alias("of")).distinct())
+        self.settle.append(members.where("few").select(F.xxhash64(F.lit("component"), "main").alias("g"), F.when(F.col("outside"), 0).otherwise(1).alias("side"), "id", F.col("main").alias("of")))
         rest = members.where("few and outside and all - most > 1").select(F.xxhash64(F.lit("apart"), "node").alias("node"), "id", F.lit(True).alias("whole"))
         return rest.unionByName(members.where("not few").select("node", "id", F.lit(False).alias("whole")))
 
     def settle_groups(self) -> None:
         if not self.settle:
             return
-        rows = self.settle[0]
-        for more in self.settle[1:]:
-            rows = rows.unionByName(more)
-        rows = self.with_component(rows.distinct())
+        rows = self.with_component(functools.reduce(DataFrame.unionByName, self.settle).distinct())
         if self.parts is not None:
             now = self.parts.select(F.col("id").alias("of"), F.col("component").alias("now"))
             rows = rows.join(now, "of", "left")
@@ -451,7 +430,8 @@ class Join:
         if open_groups.isEmpty():
             return
         rows = self.scratch.write(rows.join(open_groups, "g"), "groups")
-        self.add(compare_blocks(rows, self.classes, self.sets(rows.select("id")), self.share))
+        self.links.append(self.scratch.write(compare_blocks(rows, self.classes, self.sets(rows.select("id")), self.share), "links"))
+        self.merge()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int = 80) -> DataFrame:
@@ -476,6 +456,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity_percent: int
             frontier = join.level(frontier, level)
             if frontier is None or frontier.isEmpty():
                 break
+        join.merge()
         join.settle_groups()
 
         of_class = join.with_component(classes.select("s1", "s2", "id")).select("s1", "s2", F.col("id").alias("class_id"), "component")
