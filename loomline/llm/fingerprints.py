@@ -7,6 +7,8 @@ shingles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .columns import let
 WORDS, SIZE = 5, 64
 #: White space between words.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-#: doc_ids of one group of neighbours, and groups of one group above.
-NEAR, ABOVE = 512, 4096
+#: Low bits of doc_ids of one group of neighbours, and groups of one group above.
+NEAR_BITS, ABOVE = 9, 4096
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -89,25 +91,30 @@ def next_below(groups: DataFrame, least: int, largest: int) -> DataFrame:
     return found.join(tops_below, "over", "left").select("g", F.coalesce("below", "g_below").alias("below"))
 
 
-def with_next(docs: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
-    """docs with `next`: a struct of columns of the row that follows by descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, doc_id: str, column: str, derived: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """docs with the derived columns and `next`: a struct of column and the derived ones of the row that follows by
+    descending doc_id; after the last comes the first.
 
-    Rows are dealt by ranges of NEAR doc_ids, whatever their number; a range's last row takes the
-    first one of the next range that has any. Equal doc_ids follow each other by `columns`, rows
-    without one come last.
+    Rows are dealt by ranges of 2^NEAR_BITS doc_ids, whatever their number; a range's last row takes the
+    first one of the next range that has any. Equal doc_ids follow each other by `column`, rows
+    without one come last. What is derived is worked out once a row, and once more for a range's first row.
     """
     least, largest = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    least, largest = (0, 0) if least is None else (least - 1, largest)
+    least, largest = (0, 0) if least is None else (max(least - 1, -(1 << 63)), largest)
+    top = (largest >> NEAR_BITS) - (least >> NEAR_BITS)
     place = F.coalesce(F.col(doc_id).cast("long"), F.lit(least))
-    docs = docs.withColumn("_place", place).withColumn("_g", F.expr(f"(_place - ({least})) div {NEAR}"))
-    order = [F.col("_place").desc(), *(F.col(c) for c in columns)]
-    firsts = docs.groupBy("_g").agg(F.max_by(F.struct(*columns), F.struct("_place")).alias("first"), F.max("_place").alias("_p"))
-    groups = firsts.select(F.col("_g").alias("g"))
-    below = next_below(groups, 0, (largest - least) // NEAR).select(F.col("g").alias("_g"), F.coalesce("below", F.lit((largest - least) // NEAR)).alias("_below"))
-    following = below.join(firsts.select(F.col("_g").alias("_below"), "first"), "_below").select("_g", "first")
-    w = Window.partitionBy("_g").orderBy(*order)
-    led = docs.withColumn("next", F.lead(F.struct(*columns)).over(w))
-    return led.join(following, "_g").withColumn("next", F.coalesce("next", "first")).drop("_place", "_g", "first")
+    docs = docs.withColumn("_place", place).withColumn("_bare", F.col(doc_id).isNull()).withColumn("_g", F.shiftright("_place", NEAR_BITS) - F.lit(least >> NEAR_BITS))
+    # the first of the rows of a range, found in the tasks before it is dealt out: the order is that of the window below
+    order = F.struct(F.bitwise_not("_place").alias("p"), "_bare", column)
+    firsts = docs.groupBy("_g").agg(F.min(order).alias("m")).select("_g", F.col(f"m.{column}").alias(column))
+    groups = docs.select(F.col("_g").alias("g")).distinct()
+    below = next_below(groups, 0, top).select(F.col("g").alias("_g"), F.coalesce("below", F.lit(top)).alias("_below"))
+    made = lambda rows: rows.select("*", *(f(F.col(column)).alias(name) for name, f in derived.items()))
+    following = below.join(firsts.withColumnRenamed("_g", "_below"), "_below")
+    following = made(following).select("_g", F.struct(column, *derived).alias("first"))
+    w = Window.partitionBy("_g").orderBy(F.col("_place").desc(), "_bare", column)
+    led = made(docs).withColumn("next", F.lead(F.struct(column, *derived)).over(w))
+    return led.join(following, "_g").withColumn("next", F.coalesce("next", "first")).drop("_place", "_bare", "_g", "first")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -116,11 +123,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by as much of the next document's start. Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     n_shingles (estimated), contained_in_edited. A null text counts as empty; two texts without
-    words are alike (1), one with and one without are not (0). Other columns are not read.
+    words are alike (1), one with and one without are not (0). Rows of one doc_id follow each other by
+    text, those without one come last. Texts of any length are whole. Other columns are not read; an
+    empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("sketch", bottom(shingle_hashes(F.col("text"))))
-    rows = with_next(rows, "doc_id", ["text", "sketch"])
+    rows = with_next(rows, "doc_id", "text", {"sketch": lambda text: bottom(shingle_hashes(text))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), (n - third).cast("int")), F.substr("next.text", F.lit(1), third))
