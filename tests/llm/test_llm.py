@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomline.llm import components, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, queries, suffix_dedup, token_files
 
+HASHES = "h1 long, h2 long"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null and empty texts, null ids, repeated rows, ties, and a long text.
 ODD = [
@@ -76,27 +77,120 @@ def test_line_dedup(spark, least):
     assert got == {i: x for (i, _), x in zip(rows, lines_by_force([t for _, t in rows], least))}
 
 
-def test_line_runs_keep_level_invariant(spark):
-    runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
-    batch = spark.createDataFrame([(1, 1), (2, 2)], "h1 long, h2 long")
-    for _ in range(4):
+def test_line_runs_keep_their_levels(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=4)
+    seen = Counter()
+    for batch in range(5):
+        keys = [(i, -i) for i in range(20) if (i + batch) % 3]
+        seen.update(keys)
+        runs.add(spark.createDataFrame(keys, HASHES))
+        assert all(len(level) < 2 for level in runs.levels)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert sorted(tuple(r) for r in runs.common().collect()) == sorted(k for k, n in seen.items() if n >= 4)
+    # a settled key is in no later run
+    runs.add(spark.createDataFrame([(1, -1), (50, 50)], HASHES))
+    assert [tuple(r)[:3] for r in spark.table(runs.levels[1][0]).where("h1 in (1, 50)").collect()].count((50, 50, 1)) == 1
+    runs.close()
+
+
+def test_line_runs_are_merged_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = spark.createDataFrame([(i, i) for i in range(100)], HASHES)
         runs.add(batch)
-    assert all(len(level) < 2 for level in runs.levels) and runs.common().count() == 2
+        counts = batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        # only the counts of the batch are dealt out
+        assert runs.with_runs(counts)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        other = runs._write(runs.with_runs(counts))
+        assert runs.merged(runs.levels[0][0], other)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+        runs._drop(other)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        runs.close()
 
 
 # 2
 
 
+def mel_by_force(samples):
+    """Log-mel frames one by one: each output sample of the resampler, then a transform of each frame by its definition."""
+    reach, up, down = media.REACH, media.UP, media.DOWN
+    x = (samples.astype(np.float64) - 128) / 128
+
+    def output(j):
+        # the source place of output j, and the windowed sinc around it; r is its phase
+        block, r = divmod(j, up)
+        total = 0.0
+        for k in range(-reach, reach + down):
+            at = block * down + k
+            distance = k - r * down / up
+            if 0 <= at < len(x) and abs(distance) < reach:
+                total += x[at] * up / down * np.sinc(distance * up / down) * (0.5 + 0.5 * np.cos(np.pi * distance / reach))
+        return total
+
+    n = len(samples) // media.HOP_SOURCE
+    y = np.array([output(j) for j in range(n * media.HOP + media.FRAME - media.HOP)])
+    bins = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    rate = media.RATE * up / down
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (media.BANDS + 1) / 2595) - 1) for i in range(media.BANDS + 2)]
+    out = []
+    for i in range(n):
+        power = np.abs(bins @ (y[i * media.HOP : i * media.HOP + media.FRAME] * taper)) ** 2
+        row = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:]):
+            total = 0.0
+            for k, p in enumerate(power):
+                f = k * rate / media.FRAME
+                total += p * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))
+            row.append(np.log(total + 1e-6) * media.SCALE)
+        out.append(row)
+    return np.array(out)
+
+
+def spans_by_force(frames):
+    energy = [int(x) for x in frames.sum(1)]
+    mean = sum(energy) / len(energy)
+    dev = (sum((x - mean) ** 2 for x in energy) / len(energy)) ** 0.5
+    on, spans = False, []
+    for i, x in enumerate([*energy, None]):
+        if not on and x is not None and x > mean + dev / 2:
+            on, start = True, i
+        elif on and (x is None or x < mean - dev / 2):
+            on = False
+            spans.append((start * 24, i * 24))
+    return spans
+
+
 def test_media(spark, docs, odd):
     for frame in (docs.limit(30), odd):
-        for r in media.media_columns(frame).collect():
-            text = {(x.doc_id): x.text for x in frame.collect()}[r.doc_id] or ""
-            data = text.encode()
+        stored = corpus_pipeline.storage.materialize(media.media_columns(frame), "media")
+        texts = {x.doc_id: x.text for x in frame.collect()}
+        digests = Counter(tuple(r) for r in media.describe_media(stored).collect())
+        rows = stored.collect()
+        assert len(rows) == frame.count() == sum(digests.values())
+        for r in rows:
+            data = (texts[r.doc_id] or "").encode()
             payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
-            assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
-            assert media.from_wav(bytes(r.media)) == payload
-            assert sum(len(x) for x in media.from_tensors(bytes(r.tensors))) == len(payload) // 192
+            assert media.from_wav(bytes(r.media)) == payload and r.n_bytes == len(data)
+            frames = np.concatenate(list(media.from_tensors(bytes(r.tensors))))
+            assert len(frames) == len(payload) // 192
+            spans = [(x.start_ms, x.end_ms) for x in r.spans]
+            assert spans == spans_by_force(frames.astype(np.int64))
+            means = ",".join(str(int(x) // len(frames)) for x in frames.sum(0, dtype=np.int64))
+            feature = f"{means};{len(spans)};{sum(b - a for a, b in spans)};{zlib.crc32(frames.tobytes()):08x}"
+            want = (r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(r.media), hashlib.sha256(r.media).hexdigest(), feature)
+            assert digests[want] >= 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 70])
+def test_log_mel_by_its_definition(size):
+    samples = np.random.default_rng(size).integers(0, 256, 192 * size, np.uint8)
+    found = np.concatenate(list(media.from_tensors(media.to_tensors(samples))))
+    assert np.abs(found - mel_by_force(samples)).max() <= 1.0
 
 
 def test_resampler_keeps_a_tone():
@@ -228,28 +322,29 @@ def test_near_duplicates_of_very_long_documents(spark):
     of = np.array([np.frombuffer(row[2], np.uint16) for row in rows])
     assert max((of[i] == of[j]).mean() for i in range(100, 200) for j in range(i)) < 0.05
     classes = spark.createDataFrame(rows, "id long, n long, sig binary, bits binary")
-    nodes = near_dedup.branch(None, classes, 1).withColumn("component", F.col("id")).repartition(3, "node").sortWithinPartitions("node")
-    found = near_dedup.scan(nodes, 80, whole=True).collect()
+    nodes = near_dedup.branch(None, classes, 1).withColumn("component", F.col("id"))
+    large = spark.createDataFrame([], "node long, size long")
+    found = near_dedup.scan(near_dedup.dealt_by_node(nodes, large), 80).collect()
     assert {r.kind for r in found} == {near_dedup.PAIR}
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == want
 
 
-def test_scan_by_ranges_loses_no_pair(spark):
-    # more tasks than nodes: small nodes are cut between tasks, large ones fill several
+def test_scan_compares_small_nodes_whole(spark):
     rng = random.Random(8)
     sigs = [near_dedup.signature(np.unique(np.random.default_rng(i).integers(0, 1 << 63, 50, np.uint64))) for i in range(6)]
-    rows = [(node, i, 50, i, near_dedup.bits_of(sigs[rng.randrange(6)])) for i, node in enumerate([1] * 3 + [2] * 31 + [3] * 400 + [4] * 2 + [5] + [6] * 33 + [7] * 20)]
+    nodes_of = [1] * 3 + [2] * 31 + [3] * 400 + [4] * 2 + [5] + [6] * 33 + [7] * 20 + [8] * 9000
+    rows = [(node, i, 50, i, near_dedup.bits_of(sigs[rng.randrange(6)])) for i, node in enumerate(nodes_of)]
     nodes = spark.createDataFrame(rows, "node long, id long, n long, component long, bits binary")
-    same = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] == b[4]}
-    whole = near_dedup.scan(nodes.repartition(2, "node").sortWithinPartitions("node"), 80, whole=True).collect()
-    small = {1, 2, 4, 5, 7}
+    same = {(a[1], b[1]) for a in rows[:500] for b in rows[:500] if a[0] == b[0] and a[1] < b[1] and a[4] == b[4]}
+    large = spark.createDataFrame([(8, 9000)], "node long, size long")
+    dealt = near_dedup.dealt_by_node(nodes, large)
+    assert dealt.where("node = 8").select("part").distinct().count() == 3
+    found = near_dedup.scan(dealt, 80).collect()
     of = {r[1]: r[0] for r in rows}
-    assert {(min(r.a, r.b), max(r.a, r.b)) for r in whole if r.kind == near_dedup.PAIR} == {x for x in same if of[x[0]] in small}
-    assert Counter(r.node for r in whole if r.kind == near_dedup.MEMBER) == {3: 400, 6: 33}
-    cut = near_dedup.scan(nodes.repartitionByRange(40, "node", "id").sortWithinPartitions("node", "id"), 80, whole=False).collect()
-    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in cut if r.kind == near_dedup.PAIR}
-    handed_on = {r.a for r in cut if r.kind != near_dedup.PAIR}
-    assert all(x in pairs or of[x[0]] == 5 or set(x) <= handed_on for x in same)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found if r.kind == near_dedup.PAIR} == {x for x in same if of[x[0]] in {1, 2, 4, 5, 7}}
+    assert Counter(r.node for r in found if r.kind == near_dedup.MEMBER) == {3: 400, 6: 33, 8: 9000}
+    # with several of its kind around, a class of a large node meets one of them
+    assert len({r.a for r in found if r.kind == near_dedup.NEIGHBOUR}) > 9300
 
 
 def edited(rng, words, n):
@@ -520,6 +615,20 @@ def test_fingerprints(spark, texts, sparse):
         assert got[doc_id] == (len(text), hashlib.sha256(edited.encode()).hexdigest(), spelt(a), spelt(b), alike(a, b), alike(a, c))
 
 
+def test_fingerprints_of_tied_and_extreme_ids(spark):
+    rows = [(5, "b c d"), (5, "a b c"), (None, "x y"), (-(1 << 63), "least one"), ((1 << 63) - 1, "most of all"), (None, None), (5, "a b c"), (4, "z " * 30)]
+    # by descending doc_id; equal ones by text, those without one last
+    ordered = sorted(rows, key=lambda r: (-r[0] if r[0] is not None else 1 << 64, r[1] or ""))
+    want = Counter()
+    for i, (doc_id, text) in enumerate(ordered):
+        text, after = text or "", ordered[(i + 1) % len(rows)][1] or ""
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), alike(sketch_by_force(text), sketch_by_force(after))] += 1
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in found) == want
+
+
 def test_sketches_merge(spark):
     rows = [("a", " ".join(f"w{i}" for i in range(k, k + 60))) for k in range(0, 300, 30)]
     sketches = spark.createDataFrame(rows, "k string, text string").select("k", fingerprints.bottom(fingerprints.shingle_hashes(F.col("text"))).alias("sketch"))
@@ -550,15 +659,64 @@ def test_empty_tables(spark, none, data):
 
 
 def test_odd_rows(odd):
-    for found in (
-        line_dedup.dedup_lines(odd),
-        mixing.mix(odd, queries.mix_levels(), queries.MIX_WEIGHTS),
-        language.identify(odd),
-        near_dedup.near_duplicates(odd),
-        suffix_dedup.remove_repeats(odd),
-        fingerprints.fingerprints(odd),
-    ):
-        assert found.count() > 0
+    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=str)
+    texts = [t for _, t in rows]
+    key = lambda found: sorted(found, key=str)
+    lines = key((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(odd).select("row.doc_id", "kept", "n_lines", "n_dropped").collect())
+    assert lines == key((i, t, t.count("\n") + 1, 0) for i, t in rows)
+    # the same words on three lines: with two rows of one id and one of another, three documents
+    found = line_dedup.dedup_lines(odd, min_docs=3).select("row.doc_id", "kept", "n_dropped").collect()
+    assert key((r.doc_id, r.n_dropped) for r in found if r.n_dropped) == [(3, 1), (3, 1), (4, 1)] and not any(r.kept for r in found if r.n_dropped)
+    mixed = Counter(r.doc_id for r in mixing.mix(odd, queries.mix_levels(), queries.MIX_WEIGHTS, budget_percent=100, max_epochs=1).select("row.doc_id").collect())
+    assert mixed == Counter(i for i, t in rows if t.split())
+    near = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()}
+    assert {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (3, 2, 3, True), (4, 2, 3, False), (5, 1, 5, True)} <= near and len(near) == 8
+    cut = suffix_dedup.remove_repeats(odd, window=30)
+    got = key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == key((i, *x) for (i, _), x in zip(rows, repeats_by_force([t.encode() for t in texts], 30)))
+    prints = fingerprints.fingerprints(odd).collect()
+    assert key((r.doc_id, r.n_chars, r.fingerprint) for r in prints) == key((i, len(t), "".join("%016X" % (h % (1 << 64)) for h in sketch_by_force(t))) for i, t in rows)
+
+
+@pytest.mark.parametrize("window", [1, 7, 116, 657])
+def test_repeats_of_other_windows(spark, window):
+    rng = random.Random(window)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(window + 20)) for _ in range(3)]
+    rows = [(i, "".join(rng.choice(base)[rng.randint(0, 3) :] + rng.choice("xyz") * rng.randint(0, 2) for _ in range(2))) for i in range(12)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    assert got == {i: x for (i, _), x in zip(rows, repeats_by_force([t.encode() for _, t in rows], window))}
+
+
+def test_windows_that_do_not_fit():
+    for window in (0, 658, 5000):
+        with pytest.raises(ValueError):
+            suffix_dedup.Shape(window)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda frame: sorted((r.doc_id for r in frame.collect()), key=str)
+    # no text, or none with a letter
+    assert ids(stages["language"](spark, odd, "")) == sorted([None, 3, 3, 4, 5, 7], key=str)
+    lines = stages["lines"](spark, odd, "")
+    assert sorted(((r.doc_id, r.text) for r in lines.collect()), key=str) == sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=str)
+    # both rows of the least id of a group stay, and rows without an id
+    assert ids(stages["near_duplicates"](spark, odd, "")) == sorted([None, 1, 2, 3, 3, 5, 6, 7], key=str)
+    mixed = ids(stages["mixing"](spark, odd, ""))
+    assert set(mixed) <= {None, 3, 4, 5, 6, 7} and all(mixed.count(i) <= 1 + (i == 3) for i in mixed)
+    last = stages["pieces"](spark, odd, "").collect()
+    assert len(last) == odd.count() and all(r.lossless for r in last)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, none, "")
+        assert found.count() == 0 and (name == "pieces" or found.columns == none.columns)
+
+
+def test_pipeline_drops_lines_of_ten_documents(spark):
+    rows = [(i, f"own line {i}\nShared line \n", "en", "src1", 3) for i in range(10)]
+    found = corpus_pipeline.drop_common_lines(spark, spark.createDataFrame(rows, KIND), "").collect()
+    # the empty last line has no key
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in found) == [(i, f"own line {i}\n", 11) for i in range(10)]
 
 
 def test_pipeline_stages(spark, docs, data):
