@@ -59,7 +59,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=400, stored=False)
-    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = F.col("n_bytes") - F.col("n_removed")
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept.alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
