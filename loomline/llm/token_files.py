@@ -88,7 +88,10 @@ def unpack_blocks(p: dict[str, np.ndarray], n_ids: int) -> np.ndarray:
 
 class WordEncoder:
     """Ids of texts. The vocabulary's pre-tokenizer never joins over white space, so each different
-    run of other characters is encoded once and its ids are kept, up to a fixed number of runs."""
+    run of other characters is encoded once and its ids are kept, up to a fixed number of runs. That
+    and its lower-casing are tried on PROBES at the start: another vocabulary is used on whole texts."""
+
+    PROBES = ("Hello, World!", "it's  a-b\tc\n d", "na\u00efve \u0152uvre \u00c9T\u00c9", "x1y2 ... !! a,b", "don't CAN'T |", "\u6f22\u5b57 mixed\u0130", "")
 
     #: A word of plain letters with a tail of plain marks: its ids are those of both parts.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
@@ -108,7 +111,9 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
         self.marks = {"": b""}
-        self.keep = keep
+        self.keep, self.by_words = keep, True
+        whole = self._other(list(self.PROBES))
+        self.by_words = self([x.encode() for x in self.PROBES]) == whole
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
@@ -124,6 +129,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return self._other([x.decode() for x in texts])
         split = [x.split() for x in texts]
         if len(self.runs) > self.keep:
             self.runs.clear()
@@ -156,8 +163,10 @@ def encoder(path: str) -> WordEncoder:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, docs_at_once: int = 256) -> DataFrame:
     """Encode docs (doc_id, text) and write segments under `path` in ascending doc_id order.
 
-    A null text has no ids but the end id. Rows of one doc_id stay together; rows without one come
-    first. Each task's range of doc_id is one shard; `first` is a segment's place in its shard.
+    A null text has no ids but the end id. Rows of one doc_id stay together, by a hash of their text;
+    rows without one come first. Each task's range of them is one shard; `first` is a segment's place
+    in its shard. A very long text is a segment of its own length; other columns are not read; an
+    empty table has no segments.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +183,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: in
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, kinds)], schema=kinds)
                 segment, first = segment + 1, first + len(ids)
 
-    ordered = docs.select("doc_id", F.col("text").cast("binary")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # many rows without doc_id, or of one, are spread by their texts
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(work, SEGMENT).write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.schema(SEGMENT).parquet(path)
 
