@@ -253,6 +253,25 @@ def test_token_files(spark, docs, odd):
         assert got == want
 
 
+def test_word_encoder_tries_its_assumptions(texts):
+    from tokenizers import Tokenizer
+
+    some = [t for t in texts.values() if t][:40] + ["A  b\tC", "", "x"]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encode = token_files.WordEncoder(queries.vocabulary(name))
+        assert encode.by_words == by_words
+        whole = Tokenizer.from_file(queries.vocabulary(name))
+        assert encode([t.encode() for t in some]) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
+def test_token_files_of_many_rows_of_one_id(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, f"word {i}") for i in range(300)] + [(8, None)]
+    found = token_files.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), queries.vocabulary("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None] * 300 + [7] * 300 + [8] and found[-1].n_tokens == 1
+    ends = [r.start + r.n_tokens for r in found]
+    assert [r.start for r in found] == [0, *ends[:-1]]
+
+
 # 5
 
 
@@ -270,6 +289,46 @@ def test_language_mixture_finds_both(docs):
     assert set(found) == {"en", "fr"} and abs(found["en"] - 0.5) < 0.15
 
 
+def test_language_sets_by_force(docs):
+    import itertools
+
+    names, p = language.learn(docs)
+    texts = {r.lang: r.text for r in docs.where("n_chars > 4000").collect()}
+    rng = random.Random(4)
+    for parts in (1, 1, 2, 2, 3):
+        langs = rng.sample(sorted(texts), parts)
+        text = " ".join(texts[x][: rng.randint(600, 3000)] for x in langs)
+        counts = language.grams(text)
+        at = np.flatnonzero(counts)
+        n, own = counts[at].astype(float), p[at]
+        best = None
+        for size in range(1, len(names) + 1):
+            for chosen in itertools.combinations(range(len(names)), size):
+                share = np.full(size, 1 / size)
+                for _ in range(language.ROUNDS):
+                    dealt = own[:, chosen] * share
+                    share = (n[:, None] * dealt / dealt.sum(1, keepdims=True)).sum(0) / n.sum()
+                score = (n * np.log((own[:, chosen] * share).sum(1))).sum() - language.PENALTY * np.log(n.sum() + 1) / 2 * (size - 1)
+                if best is None or score > best[0]:
+                    best = score, {names[k]: x for k, x in zip(chosen, share)}
+        found = dict(language.languages_of(text, names, p))
+        assert set(found) == set(best[1]) == set(langs) and all(abs(found[k] - x) < 1e-9 for k, x in best[1].items())
+
+
+def test_language_with_nothing_to_learn(spark):
+    rows = [(1, "some words", None, "s", 1), (None, "other words", "en", "s", 1), (3, None, "en", "s", 1)]
+    found = language.identify(spark.createDataFrame(rows, KIND)).collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("und", 0.0)} and len(found) == 3
+
+
+def test_language_of_very_long_texts(spark, docs):
+    names, p = language.learn(docs)
+    text = next(r.text for r in docs.where("lang = 'fr' and n_chars > 2000").collect())
+    long = (text + " ") * (9_000_000 // len(text))
+    assert np.array_equal(language.grams(long), (language.grams(text + " " + text) - language.grams(text)) * (9_000_000 // len(text) - 1) + language.grams(text + " "))
+    assert language.languages_of(long, names, p)[0][0] == "fr"
+
+
 def test_language_without_letters(odd):
     found = {r.doc_id: r.lang_pred for r in language.identify(odd).select("row.doc_id", "lang_pred").collect()}
     assert found[1] == found[2] == found[6] == "und" and found[3] == "en"
