@@ -82,7 +82,8 @@ def merge_units(units: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Two units merge if neither is a recap, they are of one kind, their times overlap, no claims of
     theirs contradict and some are equal; the grown unit is tested again. Only units of one kind can
-    meet, so a fold has those of one kind of one key (a source).
+    meet, and only those of one stretch of time without a gap: a fold has those of one key (a source),
+    kind and stretch.
     """
     schema = ", ".join(f"{c} {t}" for c, t in units.select(*keys).dtypes) + ", id string, members array<string>, kind string, start double, end double, n_claims int"
     keyed = units.withColumn("claims", F.transform("claims", lambda c: F.struct(T.normalize_concept(c["text"]).alias("concept"), T.polarity(c["text"]).alias("polarity"), qualifier_key(c["qualifiers"]).alias("qualifiers"))))
@@ -109,4 +110,7 @@ def merge_units(units: DataFrame, keys: Sequence[str]) -> DataFrame:
                     break
         return pd.DataFrame([{**{k: m[k] for k in keys}, "id": m["id"], "members": m["members"], "kind": m["kind"], "start": m["start"], "end": m["end"], "n_claims": len(m["claims"])} for m in merged])
 
-    return keyed.groupBy(*keys, "kind").applyInPandas(fold, schema)
+    w = Window.partitionBy(*keys, "kind").orderBy("start", "end", "id")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    keyed = keyed.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(w)).drop("_new")
+    return keyed.groupBy(*keys, "kind", "_stretch").applyInPandas(fold, schema)
