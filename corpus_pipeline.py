@@ -19,13 +19,15 @@ BUDGET_PERCENT = 90
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (or text), and those without a main language."""
+    """Rejects documents without a letter (or text), and those without a main language. A row counts by itself:
+    repeated rows and rows without doc_id stay or go by their text. An empty table gives an empty one."""
     found = language.identify(docs)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that ten documents or more hold; n_chars is that of what is left."""
+    """Drops the lines that ten documents or more hold; n_chars is that of what is left. Every row is a document of
+    its own, no row goes; a null text becomes an empty one."""
     found = line_dedup.dedup_lines(docs).select("row.*", F.col("kept").alias("_kept_text"))
     new = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
@@ -39,12 +41,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each leaf's token prefix, in one epoch; the one in which the budget ends stays whole."""
+    """Documents of each leaf's token prefix, in one epoch; the one in which the budget ends stays whole. Rows without
+    tokens (null, empty or blank texts) go; null names are a node of their own; rows of one doc_id have one place in the
+    order, so that repeated rows stay or go together, but for the place where a budget ends."""
     return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, budget_percent=BUDGET_PERCENT, max_epochs=1).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of a sampled segmentation, and whether they decode to the text."""
+    """doc_id, ids of a sampled segmentation, and whether they decode to the text; a row for each row, a null text as
+    an empty one. Rows of one doc_id and text have equal ids."""
     return pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
@@ -61,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; a stage's table goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = storage.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = storage.new_path(spark, f"stage-{name}")
+        docs = storage.write(stage(spark, docs, sf_dir), path)
+        if before is not None:
+            storage.drop(spark, before)
+        before = path
     return docs
