@@ -193,11 +193,6 @@ def test_maps_of_deep_chains(spark):
     assert found == want
 
 
-def test_prerequisites_of_long_chains(spark):
-    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(3, 7)], "id long, needs long")
-    assert sorted(r.id for r in selection.prerequisites_closed(spark.createDataFrame([(40,), (99,)], "id long"), edges).collect()) == [*range(41), 99]
-
-
 def test_halving_prefers_boundaries(spark):
     cores = spark.createDataFrame([("a", 0.0, 100.0), ("b", 0.0, 1.5), ("c", 0.0, 10.0)], "k string, start double, end double")
     bounds = spark.createDataFrame([("a", 45.0), ("a", 58.0), ("a", 0.4)], "k string, at double")
@@ -229,3 +224,30 @@ def test_outline_keeps_what_conflicts_with_nothing_kept(spark):
     got = {(r.k, r.id, r.follows) for r in found.collect()}
     # b conflicts with a, which is kept; d with c only
     assert got == {("s", "a", None), ("s", "a-2", "a"), ("s", "c", "a-2"), ("t", "topic-unverified", None)}
+
+
+def run_stream(spark, tmp_path, rows, schema, make):
+    """Two batches of rows as two files of a stream; what it has put out by the end."""
+    for i, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        made = make(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_ledger_of_a_stream_goes_on_over_batches(spark, tmp_path):
+    from loomline.streaming import live
+
+    rows = [[("a", 2, 1, 1.0), ("a", 1, 1, 1.0), ("b", 1, 5, 0.0)], [("a", 3, 1, 9.0), ("a", 4, 0, 0.0)]]
+    found = run_stream(spark, tmp_path, rows, "run string, seq long, calls long, cost double", lambda s: live.ledger(s, calls=3, cost=10.0))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 1, 1.0, None, False), ("a", 2, 2, 2.0, None, False), ("a", 3, 3, 11.0, "cost", True), ("a", 4, 3, 11.0, "cost", True), ("b", 1, 5, 0.0, "calls", True)]
+
+
+def test_rolling_cues_of_a_stream(spark, tmp_path):
+    from loomline.streaming import live
+
+    rows = [[("v", 0.0, 3.0, "one two"), ("v", 1.0, 3.5, "one two"), ("v", 1.5, 4.0, "one two three")], [("v", 2.0, 5.0, "one two three four"), ("v", 6.0, 7.0, "one two three four")]]
+    found = run_stream(spark, tmp_path, rows, "source string, start double, end double, text string", live.rolled_up)
+    got = sorted((r.start, r.end, r.text, r.replaces) for r in found.collect())
+    assert got == [(0.0, 3.0, "one two", False), (1.5, 4.0, "one two three", True), (2.0, 5.0, "one two three four", True), (6.0, 7.0, "one two three four", False)]
