@@ -87,7 +87,7 @@ class Trie:
 
 
 class Pieces:
-    def __init__(self, path: str, alpha: float, keep: int = 3_000_000):
+    def __init__(self, path: str, alpha: float, keep: int = 1_000_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -215,7 +215,7 @@ class Pieces:
         for name, new in (("cum", edges["cum"]), ("back", edges["prev"] + self.n_nodes), ("of", edges["piece"]), ("into", into), ("ends", ends - 1), ("begins", ends - 1 - sizes)):
             old, n = self.arrays[name], self.used[name]
             if n + len(new) > len(old):
-                self.arrays[name] = np.empty(2 * (n + len(new)), old.dtype)
+                self.arrays[name] = np.empty((n + len(new)) * 5 // 4, old.dtype)
                 self.arrays[name][:n] = old[:n]
             self.arrays[name][n : n + len(new)] = new
             self.used[name] = n + len(new)
@@ -265,9 +265,9 @@ class Pieces:
         return np.split(out, np.append(0, ends)[np.cumsum(counts)][:-1])
 
     def forget(self) -> None:
-        """Drop the lattices that are kept: `keep` edges of 20 bytes, besides those of one batch."""
+        """Drop the lattices that are kept: `keep` edges of 16 bytes, besides those of one batch."""
         self.kept: dict[str, int] = {}
-        kinds = {"cum": np.float64, "back": np.int64, "of": np.int32, "into": np.int64, "ends": np.int64, "begins": np.int64}
+        kinds = {"cum": np.float64, "back": np.int32, "of": np.int32, "into": np.int32, "ends": np.int32, "begins": np.int32}
         self.arrays = {x: np.empty(0, kind) for x, kind in kinds.items()}
         self.used = dict.fromkeys(kinds, 0)
 
@@ -293,7 +293,7 @@ def pieces(path: str, alpha: float) -> Pieces:
     return _loaded[path, alpha]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: float = 0.001, with_ids: bool = True, chars_at_once: int = 200_000) -> DataFrame:
     """A sampled segmentation of each row of docs (doc_id, text), and what it decodes to.
 
     Returns doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256,
