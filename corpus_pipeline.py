@@ -6,6 +6,9 @@ Parquet that the next one reads. All but the last return the columns of docs, ex
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,20 @@ from loomline.llm.queries import MIX_WEIGHTS, mix_levels, vocabulary
 LEAST_SHARE = 0.35
 #: Of the tokens that reach the mixing stage, the percentage that its budget is.
 BUDGET_PERCENT = 90
+#: Rows of an Arrow batch: documents are long, and executors and their Python workers hold several batches at once.
+ARROW_ROWS = 512
+
+
+def short_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@short_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter (or text), and those without a main language. A row counts by itself:
     repeated rows and rows without doc_id stay or go by their text. An empty table gives an empty one."""
@@ -25,6 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
+@short_batches
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that ten documents or more hold; n_chars is that of what is left. Every row is a document of
     its own, no row goes; a null text becomes an empty one."""
@@ -33,6 +49,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
+@short_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least doc_id of each group of near duplicates (five words, similarity 0.8). Rows
     of one doc_id are one document; rows without one stay."""
@@ -40,6 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(storage.materialize(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
 
 
+@short_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of each leaf's token prefix, in one epoch; the one in which the budget ends stays whole. Rows without
     tokens (null, empty or blank texts) go; null names are a node of their own; rows of one doc_id have one place in the
@@ -47,6 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, budget_percent=BUDGET_PERCENT, max_epochs=1).select("row.*")
 
 
+@short_batches
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of a sampled segmentation, and whether they decode to the text; a row for each row, a null text as
     an empty one. Rows of one doc_id and text have equal ids."""
