@@ -9,13 +9,13 @@ HELD classes is dealt in parts of about that many.
 
 Near copies do not get apart by branching. So each level also links a class with the likest of some
 random classes of its large nodes, and nodes whose classes are in one component already are done.
-Where most of a node is in one component (or all but LIMIT classes), the classes outside are
+Where a quarter of a node is in one component (or all but LIMIT classes), the classes outside are
 compared with that component in blocks, on full sets, and go on among themselves. What is still
 large and apart at the last level is compared with the whole node in the same way. Thus any two
 classes of a node end in one component if they are linked, whatever the node's size.
 
-A pair at exactly 0.8 meets in no node that is compared with a chance of at most 1.5e-7 (6e-8 where
-its nodes get small within four levels). Pairs whose sketches agree enough are confirmed on the full
+A pair at exactly 0.8 meets in no node that is compared with a chance of at most 1.3e-6 (6e-8 where
+its nodes get small within three levels). Pairs whose sketches agree enough are confirmed on the full
 sets: least_agreeing() drops a pair at the threshold with a chance of at most MISSED.
 """
 
@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from . import storage
 from .components import connected_components, extend_components
 
-TREES, TWOFOLD, LEVELS = 6, 4, 6
+TREES, TWOFOLD, LEVELS = 6, 3, 6
 #: Minwise values of 16 bits; sketches hold the two low bits of each.
 COORDINATES = 128
 #: Classes of a node (outside its main component) that are compared exhaustively; random classes of a large one that each of its classes meets.
 LIMIT, NEIGHBOURS = 32, 16
+#: A component with one in so many classes of a node is compared with the others of it at once.
+MAIN = 4
 #: Classes of one node, or part of it, in a task; shingles of one side of a block.
 HELD, BLOCK = 4096, 1 << 19
 MISSED = 1e-7
@@ -243,21 +245,24 @@ def scan(rows: DataFrame, share: int) -> DataFrame:
             yield out(MEMBER, node[large], ids[large], None, None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        waiting: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 65_536):
                 some = batch.slice(at, 65_536)
-                rows = [*(np.asarray(some.column(i)) for i in range(5)), some.column(5).to_numpy(zero_copy_only=False), _matrix(some.column(6))]
-                if held is not None:
-                    rows = [np.concatenate(x) for x in zip(held, rows)]
+                waiting.append([*(np.array(some.column(i)) for i in range(5)), some.column(5).to_numpy(zero_copy_only=False), np.array(_matrix(some.column(6)))])
+                n += some.num_rows
+                if n < 32_768:
+                    continue
+                rows = [np.concatenate(x) for x in zip(*waiting)]
                 # the last node, or part of one, waits for its other rows
                 last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
                 cut = int(np.flatnonzero(last)[0])
                 if cut:
                     yield from handle(*(x[:cut] for x in rows))
-                held = [x[cut:] for x in rows]
-        if held is not None:
-            yield from handle(*held)
+                waiting, n = [[x[cut:] for x in rows]], 0
+        if waiting:
+            yield from handle(*(np.concatenate(x) for x in zip(*waiting)))
 
     return rows.select("node", F.col("part").cast("long"), "id", "n", "component", "large", "bits").mapInArrow(work, SCANNED)
 
@@ -357,7 +362,8 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, share: int, scratch: storage.Scratch):
         self.docs, self.classes, self.words, self.share, self.scratch = docs, classes, words, share, scratch
         self.parts: DataFrame | None = None
-        #: Links that are not in the components yet, and groups to compare in blocks.
+        #: Pairs that are not tried and links that are not in the components yet, and groups to compare in blocks.
+        self.pairs: list[DataFrame] = []
         self.links: list[DataFrame] = []
         self.settle: list[DataFrame] = []
 
@@ -367,7 +373,10 @@ class Join:
         return rows.join(self.parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def merge(self) -> None:
-        """Work the links found so far into the components."""
+        """Try the pairs found so far, and work their links into the components."""
+        pairs, self.pairs = self.pairs, []
+        if pairs:
+            self.try_pairs(functools.reduce(DataFrame.unionByName, pairs))
         links, self.links = self.links, []
         if not links:
             return
@@ -393,8 +402,8 @@ class Join:
             rows = self.scratch.write(rows, "rows")
         large = self.scratch.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HELD), "large")
         scanned = self.scratch.write(scan(dealt_by_node(rows, large), self.share), "scanned")
-        self.try_pairs(scanned.where(F.col("kind") <= NEIGHBOUR))
-        # components for the levels below; those hardly add to them
+        self.pairs.append(scanned.where(F.col("kind") <= NEIGHBOUR).select("a", "b"))
+        # components for the levels below; those hardly add to them, and their pairs are tried at once
         if level <= 2:
             self.merge()
         members = self.scratch.write(self.with_component(scanned.where(F.col("kind") == MEMBER).select("node", F.col("a").alias("id"))), "members")
@@ -408,7 +417,7 @@ class Join:
             sides = F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
             self.settle.append(members.select(F.xxhash64(F.lit("node"), "node").alias("g"), F.explode(sides).alias("side"), "id", F.lit(None).cast("long").alias("of")))
             return None
-        few = (F.col("all") - F.col("most") <= LIMIT) | (2 * F.col("most") >= F.col("all"))
+        few = (F.col("all") - F.col("most") <= LIMIT) | (MAIN * F.col("most") >= F.col("all"))
         members = self.scratch.write(members.withColumn("few", few), "apart")
         self.settle.append(members.where("few").select(F.xxhash64(F.lit("component"), "main").alias("g"), F.when(F.col("outside"), 0).otherwise(1).alias("side"), "id", F.col("main").alias("of")))
         rest = members.where("few and outside and all - most > 1").select(F.xxhash64(F.lit("apart"), "node").alias("node"), "id", F.lit(True).alias("whole"))
