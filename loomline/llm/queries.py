@@ -24,7 +24,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = storage.materialize(media.media_columns(table(spark, sf_dir, "documents")), "media")
+    stored = storage.materialize(media.media_columns(table(spark, sf_dir, "documents")), "media", compression="zstd")
     return media.describe_media(stored)
 
 

@@ -28,14 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+def write(df: DataFrame, path: str, *partition_by: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet and read it again: cuts the lineage, and survives lost executors."""
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return write(df, new_path(df.sparkSession, name))
+def materialize(df: DataFrame, name: str, *, compression: str | None = None) -> DataFrame:
+    return write(df, new_path(df.sparkSession, name), compression=compression)
 
 
 def drop(spark: SparkSession, path: str) -> None:
