@@ -2,7 +2,7 @@
 
 Equal sets are one class, and only one document of each class is joined. In each of TREES
 independent trees, a node picks two minwise tokens and its classes go on to the children that their
-own values of these name; from level TWOFOLD on a second token is picked by a quarter of the nodes
+own values of these name; beyond level TWOFOLD a second token is picked by a quarter of the nodes
 only, 1 / 0.8 tokens on average. A node is compared exhaustively, and branches no further, as soon
 as it is small. Levels are worked off for all trees at once, in one shuffle by nodes; a node of over
 HELD classes is dealt in parts of about that many.
