@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, storage, suffix_dedup, token_files
+from . import align, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, storage, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_html_extract": op9_html_extract,
     "op10_fingerprints": op10_fingerprints,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 SQL = {

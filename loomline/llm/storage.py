@@ -59,9 +59,9 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         drop(self.spark, self.path)
 
-    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *partition_by: str, compression: str | None = None) -> DataFrame:
         self.made += 1
-        return write(df, f"{self.path}/{self.made}-{name}", *partition_by)
+        return write(df, f"{self.path}/{self.made}-{name}", *partition_by, compression=compression)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
