@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, storage, suffix_dedup, token_files
+from . import align, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, prefix_trie, storage, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_fingerprints": op10_fingerprints,
     "op11_token_alignment": op11_token_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 SQL = {
@@ -168,5 +173,48 @@ placed AS (
   FROM epochs)
 SELECT doc_id, domain, language, source, epoch, n_tokens, CAST(least(n_tokens, leaf_tokens - before) AS BIGINT) AS take_tokens
 FROM placed WHERE before < leaf_tokens
+""",
+    "op12_prefix_trie": r"""
+WITH steps AS (  -- what a byte does to a cyclic redundancy check
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS after
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM numbered GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda c, b: xor(c // 256, after[xor(c % 256, b) + 1])), 4294967295) % 4 AS h
+  FROM sizes, steps),
+convs AS (
+  SELECT c.conv_id, base, h, least(h, coalesce(s.n, 0)) AS opening, least(h, coalesce(s.n, 0)) + greatest(c.n - h, 0) AS length
+  FROM hashed c LEFT JOIN sizes s ON s.conv_id = c.base),
+turns AS (
+  SELECT c.conv_id, t.at AS depth, role, text FROM convs c JOIN numbered t ON t.conv_id = c.base WHERE t.at <= opening
+  UNION ALL
+  SELECT c.conv_id, t.at - h + opening, role, text FROM convs c JOIN numbered t USING (conv_id) WHERE t.at > h),
+prefixes AS (
+  SELECT conv_id, depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (
+  SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, any_value(words) AS words FROM prefixes GROUP BY depth, prefix),
+members AS (SELECT p.conv_id, p.depth, n.node, n.n_convs, n.words FROM prefixes p JOIN nodes n USING (depth, prefix)),
+tops AS (  -- each node by its smallest member, with the node above it
+  SELECT m.conv_id, m.depth, m.n_convs, m.words, u.node AS parent FROM members m LEFT JOIN members u ON u.conv_id = m.conv_id AND u.depth = m.depth - 1 WHERE m.node = m.conv_id),
+children AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n FROM tops WHERE depth > 0 GROUP BY ALL),
+ends AS (
+  SELECT m.node AS conv_id, m.depth, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) AS ids
+  FROM members m JOIN convs c ON c.conv_id = m.conv_id AND c.length = m.depth GROUP BY ALL),
+below AS (
+  SELECT m.node AS conv_id, m.depth, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((t.n_convs - 1) * t.words) AS saved
+  FROM tops t LEFT JOIN children c ON c.conv_id = t.conv_id AND c.depth = t.depth
+  JOIN members m ON m.conv_id = t.conv_id AND m.depth <= t.depth GROUP BY ALL)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, t.parent AS parent_conv_id, t.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM tops t LEFT JOIN children c USING (conv_id, depth) LEFT JOIN ends e USING (conv_id, depth) JOIN below b USING (conv_id, depth)
 """,
 }
