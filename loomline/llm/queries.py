@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, prefix_trie, storage, suffix_dedup, token_files
+from . import align, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, prefix_trie, storage, suffix_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
@@ -96,6 +101,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 SQL = {
