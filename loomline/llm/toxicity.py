@@ -3,7 +3,7 @@
 A lexicon is learned first: whole words and beginnings of words, each with the lower bound of its log-odds of
 standing in a toxic document, counted by Spark over all rows that may be learned from. Rows are dealt into
 folds, and a row's features take the lexicon of the other folds, so that trees see what a lexicon is worth on
-texts that it was not made of. Words are looked up as they stand, and with digits, signs and repeated letters undone.
+texts that it was not made of. Texts are searched as they stand, and with digits, signs and repeated letters undone.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,13 +24,13 @@ from .language import held_out_of
 #: Folds of the rows learned from; the last of them calibrates.
 FOLDS = 4
 #: Entries of a lexicon, the least documents of one, and the longest beginning of a word that is one.
-ENTRIES, LEAST_DOCS, LONGEST = 16_384, 2, 8
+ENTRIES, LEAST_DOCS, LONGEST = 16_384, 2, 6
 #: Rows that the trees and the calibration are fitted on at most, by the hash of their doc_id and text: a bound on the classifier's sample.
 FIT_ROWS = 32_768
-#: Entries counted in a task before they are sent; words whose weights a task keeps.
-COUNTED, KNOWN = 400_000, 200_000
-#: Words from a second person within which an entry of the lexicon is near it.
-NEAR = 6
+#: Entries counted in a task before they are sent.
+COUNTED = 400_000
+#: Characters from a second person within which an entry of the lexicon is near it.
+NEAR = 40
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 64, 8
 
 #: Words of the second person in English, French, German and Spanish.
@@ -38,54 +39,70 @@ SECOND_PERSON = frozenset(
 )
 #: Signs and digits that stand for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
-EDGES = "\"'`´.,;:!?()[]{}<>«»„“”‘’¡¿…-–—*_~#"
-WORD, LETTERS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\W\d_]+")
-INSIDE, REPEATED = re.compile(r"(?<=[^\W\d_])[^\w\s'’-]+(?=[^\W\d_])"), re.compile(r"(.)\1{2,}")
-RUNS = re.compile(r"[!?]{2,}")
+LETTER = r"[^\W\d_]"
+OTHER, SIGNS = re.compile(r"[\W\d_]+"), re.compile(rf"[013457@$!|]+(?={LETTER})")
+INSIDE, STRETCHED = re.compile(rf"[^\w\s'’-]+(?={LETTER})"), re.compile(rf"({LETTER})\1\1+")
+RUNS, CAPITALS = re.compile(r"[!?]{2,}"), re.compile("[A-ZÀ-ÖØ-ÞŒ]{3,}")
 
 FEATURES = [
     "words", "top", "second", "third", "hits_1", "hits_2", "hits_3", "density_1", "density_2", "density_3", "mean_positive",
-    "hidden_hits", "hidden_density", "near_you", "nearest_you", "you_density",
+    "hidden_hits", "hidden_density", "hidden_top", "near_you", "nearest_you", "you_density",
     "capital_letters", "capital_words", "exclamations", "questions", "runs", "mixed_words", "stretched_words",
 ]
 
 
-def entries_of(word: str) -> list[str]:
-    """What the lexicon may have of a word of letters: its beginnings, and the whole word after an equals sign."""
-    return [*(word[:n] for n in range(2, min(len(word), LONGEST) + 1)), f"={word}"]
+def plain(text: str) -> str:
+    """The lower-case words of letters of a text, with a space before and after each."""
+    return f" {OTHER.sub(' ', text.lower())} "
 
 
-def plain(token: str) -> str:
-    """The letters at the start of a token without the signs around it."""
-    found = LETTERS.match(token.strip(EDGES).lower())
-    return found[0] if found else ""
+def undone(text: str) -> tuple[str, int, int]:
+    """A text with letters for the digits and signs that stand before or in words, other signs in words dropped and
+    repeated letters once; and how many places of either kind there were."""
+    after_letter = lambda m: m.start() and m.string[m.start() - 1].isalpha()
+    starts = lambda m: not m.start() or m.string[m.start() - 1].isspace()
+    mixed = 0
 
+    def letters(m: re.Match) -> str:
+        nonlocal mixed
+        if after_letter(m) or starts(m):
+            mixed += 1
+            return m[0].translate(LOOKALIKES)
+        return m[0]
 
-def undone(token: str) -> str:
-    """A token with signs between letters dropped, letters for digits and signs, and repeated letters once."""
-    bare = token.strip(EDGES).lower().translate(LOOKALIKES)
-    return plain(REPEATED.sub(r"\1", INSIDE.sub("", bare)))
+    def nothing(m: re.Match) -> str:
+        nonlocal mixed
+        if after_letter(m):
+            mixed += 1
+            return ""
+        return m[0]
+
+    found, stretched = STRETCHED.subn(r"\1", INSIDE.sub(nothing, SIGNS.sub(letters, text)))
+    return found, mixed, stretched
 
 
 def count_entries(rows: DataFrame) -> DataFrame:
-    """(entry, fold, toxic, n): documents of rows (text, fold, toxic) that have an entry. A null text has none."""
+    """(entry, fold, toxic, n): documents of rows (text, fold, toxic) that have an entry: a beginning of a word after a
+    space, or a whole word between two. A null text has none."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = {(k, t): Counter() for k in range(FOLDS) for t in (0, 1)}
 
-        def out() -> pa.RecordBatch:
-            found = list(counts.items())
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([(*x, n)[i] for x, n in found], t) for i, t in enumerate(kinds)], names=["entry", "fold", "toxic", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (fold, toxic), own in counts.items():
+                yield pa.RecordBatch.from_pydict({"entry": pa.array(own.keys(), pa.string()), "fold": pa.array([fold] * len(own), pa.int32()), "toxic": pa.array([toxic] * len(own), pa.int32()), "n": pa.array(own.values(), pa.int64())})
+                own.clear()
 
         for batch in batches:
             for text, fold, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = {plain(x) for x in set(WORD.findall(text or ""))}
-                counts.update((e, fold, toxic) for e in {e for w in words if w for e in entries_of(w)})
-                if len(counts) > COUNTED:
-                    yield out()
-                    counts.clear()
-        yield out()
+                words = set(plain(text or "").split())
+                own = counts[fold, toxic]
+                own.update([f" {w} " for w in words])
+                for n in range(2, LONGEST + 1):
+                    own.update({f" {w[:n]}" for w in words if len(w) >= n})
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from out()
+        yield from out()
 
     sent = rows.select("text", "fold", "toxic").mapInArrow(work, "entry string, fold int, toxic int, n long")
     return sent.groupBy("entry", "fold", "toxic").agg(F.sum("n").alias("n"))
@@ -115,45 +132,53 @@ def lexicons(rows: DataFrame, scratch: storage.Scratch) -> list[dict[str, float]
 
 
 class Describer:
-    """Features of texts by one lexicon; what is known of a word is kept for the next text that has it."""
+    """Features of texts by one lexicon, whose entries are found in one pass over a text."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
-
-    def word(self, token: str) -> tuple[float, float, bool, bool, bool, bool]:
-        """Weight, weight once undone, second person, capitals, letters mixed with other signs, stretched."""
-        if (found := self.known.get(token)) is None:
-            bare = token.strip(EDGES)
-            own, other = plain(token), undone(token)
-            weigh = lambda w: max((self.lexicon.get(e, 0.0) for e in entries_of(w)), default=0.0) if w else 0.0
-            mixed = bool(LETTERS.search(bare)) and (bool(INSIDE.search(bare)) or any(c.isdigit() or c in "@$|" for c in bare))
-            found = (weigh(own), weigh(other), own in SECOND_PERSON, len(bare) > 2 and bare.isupper(), mixed, bool(REPEATED.search(own)))
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        self.entries = ahocorasick.Automaton()
+        for word in SECOND_PERSON:
+            self.entries.add_word(f" {word} ", (len(word) + 1, 0.0, True))
+        for entry, weight in lexicon.items():
+            you = self.entries.get(entry, (0, 0.0, False))[2]
+            self.entries.add_word(entry, (len(entry) - 1, weight, you))
+        self.entries.make_automaton()
+
+    def found(self, words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words with an entry start, the highest weight of each, and where second persons start."""
+        weights, you = {}, []
+        for end, (back, weight, is_you) in self.entries.iter(words):
+            at = end - back
+            if weight > weights.get(at, 0.0):
+                weights[at] = weight
+            if is_you:
+                you.append(at)
+        order = sorted(weights)
+        return np.array(order, np.int64), np.array([weights[x] for x in order]), np.array(you, np.int64)
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        words = [self.word(x) for x in WORD.findall(text)]
-        if not words:
+        words = plain(text)
+        if not (n := len(words.split())):
             return [0.0] * len(FEATURES)
-        table = np.array(words, np.float64)
-        n, weight = len(words), np.maximum(table[:, 0], table[:, 1])
-        top = np.sort(weight)[::-1][:3].tolist() + [0.0, 0.0]
+        places, weight, you = self.found(words)
+        bare, mixed, stretched = undone(text)
+        hidden, hidden_top = 0, 0.0
+        top = np.sort(weight)[::-1][:3].tolist() + [0.0] * 3
+        if mixed or stretched:
+            other = self.found(plain(bare))[1]
+            hidden = max(0, int((other > 1).sum()) - int((weight > 1).sum()))
+            hidden_top = max(0.0, float(other.max(initial=0.0)) - top[0])
         hits = [int((weight > x).sum()) for x in (1, 2, 3)]
-        hidden = int(((table[:, 1] > 1) & (table[:, 1] > table[:, 0] + 0.5)).sum())
-        strong, you = np.flatnonzero(weight > 1), np.flatnonzero(table[:, 2])
-        gap = np.full(0, 0.0)
+        strong, gap = places[weight > 1], np.zeros(0)
         if len(strong) and len(you):
             at = np.searchsorted(you, strong)
             gap = np.minimum(np.abs(strong - you[np.minimum(at, len(you) - 1)]), np.abs(strong - you[np.maximum(at - 1, 0)]))
-        letters = sum(map(len, LETTERS.findall(text))) or 1
+        capitals = CAPITALS.findall(text)
         return [
-            np.log1p(n), *top[:3], *np.log1p(hits), *(x / n for x in hits), float(weight[weight > 0].mean()) if (weight > 0).any() else 0.0,
-            np.log1p(hidden), hidden / n, float((gap <= NEAR).sum()) / n, 1 / (1 + gap.min()) if len(gap) else 0.0, len(you) / n,
-            sum(map(str.isupper, text)) / letters, table[:, 3].mean(), text.count("!") / n, text.count("?") / n, len(RUNS.findall(text)) / n,
-            table[:, 4].mean(), table[:, 5].mean(),
+            np.log1p(n), *top[:3], *np.log1p(hits), *(x / n for x in hits), float(weight.mean()) if len(weight) else 0.0,
+            np.log1p(hidden), hidden / n, hidden_top, float((gap <= NEAR).sum()) / n, 1 / (1 + gap.min()) if len(gap) else 0.0, len(you) / n,
+            sum(map(len, capitals)) / len(text), len(capitals) / n, text.count("!") / n, text.count("?") / n, len(RUNS.findall(text)) / n,
+            mixed / n, stretched / n,
         ]
 
 
