@@ -25,7 +25,7 @@ from .language import held_out_of
 FOLDS = 4
 #: Entries of a lexicon, the least documents of one, and the longest beginning of a word that is one.
 ENTRIES, LEAST_DOCS, LONGEST = 16_384, 2, 6
-#: Rows that the trees and the calibration are fitted on at most, by the hash of their doc_id and text: a bound on the classifier's sample.
+#: Rows that the trees and the calibration are fitted on: all, or about so many by the hash of their doc_id and text. It bounds the classifier's sample.
 FIT_ROWS = 32_768
 #: Entries counted in a task before they are sent.
 COUNTED = 400_000
@@ -186,7 +186,7 @@ class Trees:
     """Boosted trees of DEPTH over binned features, for the logistic loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else c for c in x.T]
         binned, rate = self.binned(x), (y.sum() + 0.5) / (len(y) + 1)
         self.start, self.trees = float(np.log(rate / (1 - rate))), []
         score = np.full(len(y), self.start)
@@ -238,11 +238,12 @@ class Isotonic:
     """The non-decreasing step function nearest to y over x, by pooling neighbours; between steps it is a straight line."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        order = np.argsort(x, kind="stable")
+        at, own = np.unique(x, return_inverse=True)
+        sums, counts = np.bincount(own, y, len(at)), np.bincount(own, minlength=len(at))
         pools: list[list[float]] = []  # sum, count, least x, greatest x
-        for a, b in zip(x[order].tolist(), y[order].tolist()):
-            pools.append([b, 1.0, a, a])
-            while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+        for v, s, n in zip(at.tolist(), sums.tolist(), counts.tolist()):
+            pools.append([s, n, v, v])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 s, n, _, most = pools.pop()
                 pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], most]
         # a pool is drawn to the middle by half a row of either kind, so that few rows make no certainty
@@ -269,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From the rows of docs (doc_id, text) that have a label in labels (doc_id, toxic), none held out.
 
     A doc_id with several labels is toxic if one of them says so; null labels, and rows without doc_id, are not learned
-    from. The lexicon is counted over all rows; trees and calibration are fitted on at most FIT_ROWS of them.
+    from. The lexicon is counted over all rows; trees and calibration are fitted on all, or about FIT_ROWS of them.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     rows = docs.where(~held_out_of(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
@@ -286,7 +287,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 texts, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([by[k].features(x) for x, k in zip(texts, folds)], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["features", "fold", "toxic"])
 
-        sample = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(FIT_ROWS).select("text", "fold", "toxic")
+        share = min(1.0, FIT_ROWS / max(1, rows.count()))
+        sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "fold", "toxic")
         got = sample.mapInArrow(described, "features array<double>, fold int, toxic int").toPandas()
     # rows come in any order
     x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
