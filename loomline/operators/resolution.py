@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .steps import Steps
 
 
 def qualifier_key(qualifiers: Column) -> Column:
@@ -34,20 +36,64 @@ def first_of_content(rows: DataFrame, content: str, order: Sequence[str]) -> Dat
     return hashed.withColumn("_n", first).where("_n = 1").withColumn("asset_id", F.substring("_sha", 1, 16)).drop("_n", "_sha")
 
 
+#: Bits of a band below which bands tell too little apart, and pairs in common bands that a prefix may have, for each row.
+LEAST_BITS, PAIRS = 6, 16
+
+
+def _bands(rows: DataFrame, distance: int) -> DataFrame:
+    """rows (b: 64 bits) once for each of distance + 1 bands, with `band`: two values that differ in at most `distance` bits
+    have a band in common. One band for all where bands would be too narrow."""
+    n = distance + 1
+    if n == 1:
+        return rows.withColumn("band", F.col("b"))
+    if 64 // n < LEAST_BITS:
+        return rows.withColumn("band", F.lit(0).cast("long"))
+    cuts = [64 * k // n for k in range(n + 1)]
+    parts = [F.shiftrightunsigned("b", at).bitwiseAND(F.lit((1 << (to - at)) - 1)) * n + k for k, (at, to) in enumerate(zip(cuts, cuts[1:]))]
+    return rows.withColumn("band", F.explode(F.array(*parts)))
+
+
 def leaders(rows: DataFrame, keys: Sequence[str], order: str, bits: str, distance: int = 8) -> DataFrame:
-    """keys, order, leader: the first leader whose 64 bits differ in at most `distance` places, or the row
-    itself as a new one. The leaders of a key are folded in one row of its own."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(bits).cast("long").alias("b"))))
-    kind = "struct<leaders: array<struct<o: bigint, b: bigint>>, out: array<struct<o: bigint, leader: bigint>>>"
-    start = F.struct(F.array().cast("array<struct<o: bigint, b: bigint>>").alias("leaders"), F.array().cast("array<struct<o: bigint, leader: bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.get(F.filter(acc["leaders"], lambda y: F.bit_count(y["b"].bitwiseXOR(x["b"])) <= distance), F.lit(0))["o"]
-        more = F.when(near.isNull(), F.concat(acc["leaders"], F.array(x))).otherwise(acc["leaders"])
-        return F.struct(more.alias("leaders"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), F.coalesce(near, x["o"]).alias("leader")))).alias("out")).cast(kind)
-
-    folded = rows.groupBy(*keys).agg(items.alias("items")).select(*keys, F.explode(F.aggregate("items", start.cast(kind), step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(*keys, F.col("x.o").alias(order), F.col("x.leader").alias("leader"))
+    """keys, order, leader: the first leader of the key whose 64 bits differ in at most `distance` places, or the row itself
+    as a new one, as if the rows were taken in order. order is a whole number that no two rows of a key share.
+
+    A prefix of the order is settled by itself: in rounds, a row is a leader once no earlier row near it is open. All
+    other rows near its leaders then leave, so that a large group is compared with its leader and not with itself. The
+    prefix is as long as its rows' pairs in common bands stay in proportion to all rows. Rows without bits lead nothing.
+    """
+    steps = Steps(rows.sparkSession, "leaders")
+    named = rows.select(*keys, F.col(order).cast("long").alias("o"), F.col(bits).cast("long").alias("b")).where("o is not null and b is not null")
+    named = steps.write(named)
+    group = [*keys, "b"]
+    rest = steps.write(named.groupBy(*group).agg(F.min("o").alias("o")))
+    near = F.bit_count(F.col("b").bitwiseXOR(F.col("_b"))) <= distance
+    share, found = 1.0, []
+    while n := rest.count():
+        share = min(1.0, 2 * share)
+        while True:
+            cut = rest.agg(F.percentile_approx("o", F.lit(share), F.lit(10_000))).first()[0] if share < 1 else None
+            head = rest if cut is None else rest.where(F.col("o") <= cut)
+            pairs = _bands(head, distance).groupBy(*keys, "band").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+            if pairs <= PAIRS * (n + 1000) or share * n < 2:
+                break
+            share /= 4
+        head = steps.write(head)
+        later = _bands(head, distance).withColumnsRenamed({"b": "_b", "o": "_o"})
+        edges = steps.write(_bands(head, distance).join(later, [*keys, "band"]).where((F.col("o") < F.col("_o")) & near).select(*keys, "o", "_o").distinct())
+        open_, made = head.select(*keys, "o"), []
+        while not open_.isEmpty():
+            held = edges.join(open_, [*keys, "o"], "left_semi").select(*keys, F.col("_o").alias("o")).distinct()
+            lead = steps.write(open_.join(held, [*keys, "o"], "left_anti"))
+            made.append(lead)
+            led = edges.join(lead, [*keys, "o"], "left_semi").select(*keys, F.col("_o").alias("o"))
+            open_ = steps.write(open_.join(lead.unionByName(led).distinct(), [*keys, "o"], "left_anti"))
+        new = head.join(functools.reduce(DataFrame.unionByName, made), [*keys, "o"], "left_semi").withColumnsRenamed({"b": "_b", "o": "_o"})
+        joined = _bands(rest, distance).join(_bands(new.withColumn("b", F.col("_b")), distance).drop("b"), [*keys, "band"]).where((F.col("_o") <= F.col("o")) & near)
+        found.append(steps.write(joined.groupBy(*group).agg(F.min("_o").alias("leader"))))
+        rest = steps.write(rest.join(found[-1], group, "left_anti"))
+    if not found:
+        return named.select(*keys, F.col("o").alias(order), F.col("o").alias("leader"))
+    return named.join(functools.reduce(DataFrame.unionByName, found), group).select(*keys, F.col("o").alias(order), "leader")
 
 
 def conflicting_claims(claims: DataFrame, keys: Sequence[str]) -> DataFrame:

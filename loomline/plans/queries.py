@@ -351,7 +351,13 @@ def d2_first_of_content(spark, d):
     return resolution.first_of_content(table(spark, d, "documents").where("text is not null"), "text", ["doc_id"]).select("doc_id", "asset_id")
 
 
-@query()
+@query("""WITH RECURSIVE sums AS (SELECT label, vec_id, list_transform(range(64), lambda k: list_reduce(list_prepend(CAST(0 AS DOUBLE), [CAST(embedding[i] AS DOUBLE) FOR i IN range(1, len(embedding) + 1) IF (i - 1) % 64 = k]), lambda a, x: a + x)) AS s FROM embeddings),
+  bits AS (SELECT label, vec_id, list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(s, lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS HUGEINT))), lambda a, x: a * 2 + x) AS b FROM sums),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM bits),
+  walk AS (SELECT label, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS leader, CAST([] AS STRUCT(o BIGINT, b HUGEINT)[]) AS leaders FROM (SELECT DISTINCT label FROM embeddings)
+    UNION ALL SELECT label, n, vec_id, coalesce(near, vec_id), CASE WHEN near IS NULL THEN list_append(leaders, {'o': vec_id, 'b': b}) ELSE leaders END
+    FROM (SELECT w.label, t.n, t.vec_id, t.b, w.leaders, list_filter(w.leaders, lambda l: bit_count(xor(l.b, t.b)) <= 24)[1].o AS near FROM walk w JOIN turns t ON t.label = w.label AND t.n = w.n + 1))
+  SELECT label, vec_id, leader FROM walk WHERE vec_id IS NOT NULL""")
 def d3_leaders(spark, d):
     # the signs of 64 sums, each of every 64th dimension
     sums = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate(F.filter("embedding", lambda _, i: i % 64 == k), F.lit(0.0), lambda acc, x: acc + x))
