@@ -24,8 +24,8 @@ NUMBER, TEACHING_NUMBER = r"(?U)\d+(?:\.\d+)?", r"(?iU)(?:第\s*\d+|\d+\s*例|
 TEMPORAL_MARKERS = ("然后", "接着", "随后", "之后", "step", "then", "after", "before", "next")
 STEP = r"(?iU)(?:步骤\s*|step\s+)(\d+)"
 PATH = r"""(?iU)(?:^|[\s"'])(?:[A-Za-z]:\\|\\\\|/|\./|\.\./)[^\s"']+\.(?:jpg|jpeg|png|webp|gif|mp4|mkv|mov|webm)"""
-SAFE_TIME_LINK, SAFE_LOCAL_LINK = r"^https://www\.youtube\.com/watch\?v=[A-Za-z0-9_-]{1,64}&t=\d+s$", r"^t=\d+s$"
-SAFE_ASSET_PATH = r"(?i)^(?!/)(?!.*[:\\])(?!.*(?:^|/)\.\.(?:/|$))[A-Za-z0-9._/-]+\.(?:jpg|jpeg|png|webp)$"
+SAFE_TIME_LINK, SAFE_LOCAL_LINK = r"^https://www\.youtube\.com/watch\?v=[A-Za-z0-9_-]{1,64}&t=\d+s\z", r"^t=\d+s\z"
+SAFE_ASSET_PATH = r"(?i)^(?!/)(?!.*[:\\])(?!.*(?:^|/)\.\.(?:/|$))[A-Za-z0-9._/-]+\.(?:jpg|jpeg|png|webp)\z"
 QUALITY_MARKERS = {"draft": "[DRAFT] 待核对，不能当作已核验结论。", "evidence-only": "[EVIDENCE-ONLY] 仅证据索引，不是语义摘要，不能当作已核验结论。"}
 QUALITY_PREFIXES = ("[DRAFT]", "[EVIDENCE-ONLY]")
 IMAGE_TOKENS, CHARS_PER_TOKEN = 1500, 4
@@ -179,11 +179,18 @@ def seek_link(url: Column, seconds: Column) -> Column:
     return F.concat(F.lit("https://www.youtube.com/watch?v="), video_id(url), F.lit("&t="), F.floor(seconds).cast("string"), F.lit("s"))
 
 
-def language_of_name(name: Column, otherwise: str = "und") -> Column:
-    """The last part of a file's stem, if it looks like a language."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"\.[^.]*$", "")
-    found = F.regexp_extract(stem, r"(?:^|[._ -])([a-z]{2,3}(?:-[A-Za-z]{2,4})?)$", 1)
-    return F.when(found != "", found).otherwise(F.lit(otherwise))
+def language_of_name(name: Column, given: str = "und") -> Column:
+    """The language that is given, if it is one; else the last part between the dots of a file's stem that looks like
+    a language (with a dash for an underscore), else its last part of two or three letters; `und` without any."""
+    if given and given != "und":
+        return F.lit(given)
+    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*\z", "")
+
+    def last(parts: Column, pattern: str) -> Column:
+        return F.try_element_at(F.filter(parts, lambda x: x.rlike(pattern)), F.lit(-1))
+
+    dotted = F.replace(last(F.split(stem, r"\."), r"^[A-Za-z]{2,3}(?:[-_][A-Za-z]{2,4})?\z"), F.lit("_"), F.lit("-"))
+    return F.coalesce(dotted, last(F.split(stem, r"[._-]"), r"^\p{L}{2,3}\z"), F.lit("und"))
 
 
 def digest(*parts: Column) -> Column:

@@ -160,7 +160,7 @@ def labelled_gaps(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 def page_seek(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, seek) of pages (type, time): the least time; of a summary page only if all its times are one."""
-    w = pages.groupBy(*keys).agg(F.first("type").alias("_type"), F.min("time").alias("_t"), F.count_distinct("time").alias("_n"))
+    w = pages.groupBy(*keys).agg(F.min("type").alias("_type"), F.min("time").alias("_t"), F.count_distinct("time").alias("_n"))
     return w.select(*keys, F.when((F.col("_type") != "summary") | (F.col("_n") == 1), F.col("_t")).alias("seek"))
 
 

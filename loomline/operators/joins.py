@@ -22,9 +22,11 @@ def _buckets(start: Column, end: Column, width: float, closed: bool = False) ->
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, width: float) -> DataFrame:
-    """Pairs of left (start, end) and right (r_start, r_end) of one key that strictly overlap."""
-    a = left.where("start < end").withColumn("_b", _buckets(F.col("start"), F.col("end"), width))
-    b = right.where("r_start < r_end").withColumn("_b", _buckets(F.col("r_start"), F.col("r_end"), width))
+    """Pairs of left (start, end) and right (r_start, r_end) of one key that strictly overlap. Intervals that are
+    empty or not finite overlap nothing. width: seconds of a bucket, of the size of the intervals: an interval is in each that it touches."""
+    finite = lambda a, b: (F.col(a) > float("-inf")) & (F.col(b) < float("inf")) & (F.col(a) < F.col(b))
+    a = left.where(finite("start", "end")).withColumn("_b", _buckets(F.col("start"), F.col("end"), width))
+    b = right.where(finite("r_start", "r_end")).withColumn("_b", _buckets(F.col("r_start"), F.col("r_end"), width))
     own = F.floor(F.greatest("start", "r_start") / width) == F.col("_b")
     return a.join(b, [*keys, "_b"]).where(own & (F.col("end") > F.col("r_start")) & (F.col("r_end") > F.col("start"))).drop("_b")
 

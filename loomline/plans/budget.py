@@ -31,12 +31,13 @@ def replay(requests: DataFrame, keys: Sequence[str], order: Sequence[str], limit
 
 
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
-    """Seconds before an attempt (from 1), without jitter: doubling up to a cap, or what the server asks for."""
-    return F.coalesce(retry_after, F.least(F.lit(RETRY_MOST), RETRY_BASE * F.pow(F.lit(2.0), attempt - 1)))
+    """Seconds before an attempt (from 1), without jitter: doubling up to a cap, or what the server asks for if that is over 0."""
+    return F.coalesce(F.when(retry_after > 0, retry_after), F.least(F.lit(RETRY_MOST), RETRY_BASE * F.pow(F.lit(2.0), attempt - 1)))
 
 
 def status_class(code: Column) -> Column:
-    return F.when(code == 429, "rate_limited").when(code.isin(401, 403), "auth").when(code >= 500, "transient").when(code >= 400, "invalid").otherwise("ok")
+    """What an error's code says: of the codes that are none of these, those below 400 too, any may be tried again."""
+    return F.when(code == 429, "rate_limited").when(code.isin(401, 403), "auth").when(code >= 500, "transient").when(code >= 400, "invalid").otherwise("transient")
 
 
 def idempotent(requests: DataFrame, keys: Sequence[str], order: Sequence[str], fingerprint: str) -> DataFrame:

@@ -73,14 +73,17 @@ def distinct_links(lines: DataFrame) -> DataFrame:
 def parse_asr(payloads: DataFrame) -> DataFrame:
     """payloads (path, content, offset) of JSON with segments and words -> one row a segment, times moved by offset.
 
-    alignment is word if all segments have words, else sentence; one bad word drops a segment's words and flags it.
+    aligned says whether a segment has words; one bad word drops a segment's words and flags it. alignment is that of the
+    file: word if a segment has words, else sentence; none of a file without segments, which has one row of nulls.
     """
     schema = "struct<segments: array<struct<start: double, end: double, text: string, words: array<struct<word: string, start: double, end: double>>>>>"
-    rows = payloads.select("path", "offset", F.posexplode(F.from_json("content", schema)["segments"]).alias("n", "s"))
+    rows = payloads.select("path", "offset", F.posexplode_outer(F.from_json("content", schema)["segments"]).alias("n", "s"))
     good = F.forall(F.coalesce(F.col("s.words"), F.array().cast("array<struct<word: string, start: double, end: double>>")), lambda w: F.coalesce((w["start"] < w["end"]) & (w["word"] != ""), F.lit(False)))
     n_words = F.when(good, F.size(F.coalesce(F.col("s.words"), F.array().cast("array<struct<word: string, start: double, end: double>>")))).otherwise(0)
     found = rows.select("path", "n", (F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), T.strip(F.col("s.text")).alias("text"), n_words.alias("n_words"), (~good).alias("bad_words"))
-    return found.withColumn("alignment", F.when(F.col("n_words") > 0, "word").otherwise("sentence"))
+    whole = Window.partitionBy("path")
+    alignment = F.when(F.max("n_words").over(whole) > 0, "word").when(F.max("n").over(whole).isNotNull(), "sentence").otherwise("none")
+    return found.withColumn("aligned", F.col("n_words") > 0).withColumn("alignment", alignment)
 
 
 def parse_ocr_tsv(lines: DataFrame) -> DataFrame:
