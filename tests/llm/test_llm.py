@@ -283,16 +283,17 @@ def test_language(spark, docs):
 
 
 def test_language_mixture_finds_both(docs):
-    names, p = language.learn(docs)
+    model = language.learn(docs)
     text = {r.lang: r.text for r in docs.where("n_chars > 2000").collect()}
-    found = dict(language.languages_of(text["en"][:2000] + " " + text["fr"][:2000], names, p))
+    found = dict(language.languages_of(text["en"][:2000] + " " + text["fr"][:2000], model))
     assert set(found) == {"en", "fr"} and abs(found["en"] - 0.5) < 0.15
 
 
 def test_language_sets_by_force(docs):
     import itertools
 
-    names, p = language.learn(docs)
+    model = language.learn(docs)
+    names = model.names
     texts = {r.lang: r.text for r in docs.where("n_chars > 4000").collect()}
     rng = random.Random(4)
     for parts in (1, 1, 2, 2, 3):
@@ -300,7 +301,9 @@ def test_language_sets_by_force(docs):
         text = " ".join(texts[x][: rng.randint(600, 3000)] for x in langs)
         counts = language.grams(text)
         at = np.flatnonzero(counts)
-        n, own = counts[at].astype(float), p[at]
+        n = counts[at].astype(float)
+        chosen, own = model.tried(n, at)
+        assert chosen.tolist() == list(range(len(names)))
         best = None
         for size in range(1, len(names) + 1):
             for chosen in itertools.combinations(range(len(names)), size):
@@ -311,7 +314,7 @@ def test_language_sets_by_force(docs):
                 score = (n * np.log((own[:, chosen] * share).sum(1))).sum() - language.PENALTY * np.log(n.sum() + 1) / 2 * (size - 1)
                 if best is None or score > best[0]:
                     best = score, {names[k]: x for k, x in zip(chosen, share)}
-        found = dict(language.languages_of(text, names, p))
+        found = dict(language.languages_of(text, model))
         assert set(found) == set(best[1]) == set(langs) and all(abs(found[k] - x) < 1e-9 for k, x in best[1].items())
 
 
@@ -322,11 +325,32 @@ def test_language_with_nothing_to_learn(spark):
 
 
 def test_language_of_very_long_texts(spark, docs):
-    names, p = language.learn(docs)
+    model = language.learn(docs)
     text = next(r.text for r in docs.where("lang = 'fr' and n_chars > 2000").collect())
     long = (text + " ") * (9_000_000 // len(text))
     assert np.array_equal(language.grams(long), (language.grams(text + " " + text) - language.grams(text)) * (9_000_000 // len(text) - 1) + language.grams(text + " "))
-    assert language.languages_of(long, names, p)[0][0] == "fr"
+    assert language.languages_of(long, model)[0][0] == "fr"
+
+
+def syllables(seed):
+    """A language: words of syllables of its own, with those of all others in between."""
+    rng = random.Random(seed)
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)]
+    return lambda n, r: " ".join("".join(r.choices(own if r.random() < 0.9 else ["the", "and"], k=r.randint(1, 3))) for _ in range(n))
+
+
+@pytest.mark.parametrize("room, least", [(language.MOST_COUNTS, 0.9), (150_000, 0.0)])
+def test_many_languages(spark, room, least):
+    """5000 languages with a text or two each, all in the model; and a model with room for some of them only."""
+    rng = random.Random(2)
+    rows = [(i, syllables(i % 5000)(30 if i % 5000 > 20 else 300, rng), f"l{i % 5000:04}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.learn(docs, most_counts=room)
+    known = set(model.names) - {language.OTHER}
+    assert len(model.n) <= room and (len(known) == 5000 if least else {f"l{k:04}" for k in range(20)} <= known and language.OTHER in model.names)
+    some = [(i, syllables(i % 25)(40, rng)) for i in range(100)]
+    got = [language.languages_of(text, model)[0][0] for _, text in some]
+    assert np.mean([a == f"l{i % 25:04}" for a, (i, _) in zip(got, some) if f"l{i % 25:04}" in known]) >= 0.9
 
 
 def test_language_without_letters(odd):
