@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 A lexicon is learned first: whole words and beginnings of words, each with the lower bound of its log-odds of
-standing in a toxic document, counted by Spark over all rows that may be learned from. Rows are dealt into
+standing in a toxic document, counted by Spark over a bounded sample of labelled rows. Rows are dealt into
 folds, and a row's features take the lexicon of the other folds, so that trees see what a lexicon is worth on
 texts that it was not made of. Texts are searched as they stand, and with digits, signs and repeated letters undone.
 """
@@ -25,7 +25,7 @@ from .language import held_out_of
 FOLDS = 4
 #: Entries of a lexicon, the least documents of one, and the longest beginning of a word that is one.
 ENTRIES, LEAST_DOCS, LONGEST = 16_384, 2, 6
-#: Rows that the trees and the calibration are fitted on: all, or about so many by the hash of their doc_id and text. It bounds the classifier's sample.
+#: Labelled documents that the classifier (lexicon, trees, calibration) is fitted on: all, or about so many by the hash of their doc_id.
 FIT_ROWS = 32_768
 #: Entries counted in a task before they are sent.
 COUNTED = 400_000
@@ -270,14 +270,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From the rows of docs (doc_id, text) that have a label in labels (doc_id, toxic), none held out.
 
     A doc_id with several labels is toxic if one of them says so; null labels, and rows without doc_id, are not learned
-    from. The lexicon is counted over all rows; trees and calibration are fitted on all, or about FIT_ROWS of them.
+    from. About FIT_ROWS documents are, or all if there are fewer: their ids are few enough to go to every task, so that
+    no text is dealt out.
     """
-    labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    rows = docs.where(~held_out_of(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
-    # equal texts are in one fold
-    rows = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold"))
     with storage.Scratch(docs.sparkSession, "toxicity") as scratch:
-        rows = scratch.write(rows, "rows")
+        known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_of(F.col("doc_id")))
+        known = scratch.write(known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")), "labels")
+        share = min(1.0, FIT_ROWS / max(1, known.count()))
+        sample = scratch.write(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "sample")
+        rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+        # equal texts are in one fold
+        rows = scratch.write(rows.select("text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")), "rows")
         found = lexicons(rows, scratch)
         lexicon, others = found[-1], found[:-1]
 
@@ -287,9 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 texts, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([by[k].features(x) for x, k in zip(texts, folds)], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["features", "fold", "toxic"])
 
-        share = min(1.0, FIT_ROWS / max(1, rows.count()))
-        sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "fold", "toxic")
-        got = sample.mapInArrow(described, "features array<double>, fold int, toxic int").toPandas()
+        got = rows.select("text", "fold", "toxic").mapInArrow(described, "features array<double>, fold int, toxic int").toPandas()
     # rows come in any order
     x = np.array(got["features"].tolist()).reshape(-1, len(FEATURES))
     y, fold = got["toxic"].to_numpy(np.float64), got["fold"].to_numpy()
