@@ -140,6 +140,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch(columns, names=["doc_id", "n", "s1", "s2", "sig", "bits"])
         finally:
             WORDS.clear()
+            storage.release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sig binary, bits binary")
 
@@ -300,6 +301,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch([batch.column(0), pa.array([shingles(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "hashes"])
         finally:
             WORDS.clear()
+            storage.release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     return rows.mapInArrow(work, "id long, hashes binary")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 #: Units: spaces with letters or with other characters behind them, or alone.
 UNIT = re.compile(r" *(?:[^\W\d_]+|(?:[^\w ]|[\d_])+)| +")
 #: Numbers that are no digits (a half, Roman numerals): only where a text has one, the slower pattern that sets them apart from letters.
@@ -333,5 +335,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, seed: int = 1, alpha: flo
                     yield done(rows)
         finally:
             model.forget()
+            storage.release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +45,11 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_memory() -> None:
+    """At the end of a task: gives back what Arrow keeps for later. A worker lives on, and holds it besides what other stages need."""
+    pa.default_memory_pool().release_unused()
+
+
 class Scratch:
     """A folder for the intermediate tables of one run, removed with all that is in it when the run ends.
 
