@@ -85,12 +85,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; a stage's table goes once the next one is written."""
+    """All stages over documents; a stage's table goes once the next one is written. The session's size of Arrow batches
+    is as it was when all are."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        path = storage.new_path(spark, f"stage-{name}")
-        docs = storage.write(stage(spark, docs, sf_dir), path)
-        if before is not None:
-            storage.drop(spark, before)
-        before = path
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, stage in STAGES:
+            path = storage.new_path(spark, f"stage-{name}")
+            docs = storage.write(stage(spark, docs, sf_dir), path)
+            if before is not None:
+                storage.drop(spark, before)
+            before = path
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
     return docs
