@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -122,38 +124,63 @@ def translation_duplicates(units: DataFrame, keys: Sequence[str], share: float =
     return found.select(*keys, F.col("id").alias("left_id"), F.col("_id").alias("right_id"))
 
 
+def one_pass(units: list[dict]) -> list[dict]:
+    """units (start, end, claims, members) after each has taken in those behind it that it can."""
+    having: dict[tuple, list[int]] = {}
+    for place, unit in enumerate(units):
+        for claim in unit["claims"]:
+            having.setdefault(claim, []).append(place)
+    taken, out = set(), []
+    for place, unit in enumerate(units):
+        if place in taken:
+            continue
+        own = dict(unit, claims=set(unit["claims"]), members=list(unit["members"]))
+        # places behind that share a claim, the nearest first; each is tried once
+        waiting, seen, at = [], set(), place
+
+        def look(claims: set) -> None:
+            for claim in claims:
+                places = having[claim]
+                for k in places[bisect.bisect_right(places, at) :]:
+                    if k not in seen and k not in taken:
+                        seen.add(k)
+                        heapq.heappush(waiting, k)
+
+        look(own["claims"])
+        while waiting:
+            at = heapq.heappop(waiting)
+            other = units[at]
+            opposite = {(c, q, "neg" if p == "pos" else "pos") for c, q, p in other["claims"]}
+            if own["end"] > other["start"] and other["end"] > own["start"] and not own["claims"] & opposite:
+                taken.add(at)
+                new = other["claims"] - own["claims"]
+                own |= {"members": own["members"] + other["members"], "start": min(own["start"], other["start"]), "end": max(own["end"], other["end"]), "claims": own["claims"] | new}
+                look(new)
+        out.append(own)
+    return out
+
+
 def merge_units(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Agglomerative merge of units (id, kind, start, end, claims array<struct<text, qualifiers, evidence>>)
     to a fixpoint, in order of (start, id).
 
-    Two units merge if neither is a recap, they are of one kind, their times overlap, no claims of
-    theirs contradict and some are equal; the grown unit is tested again. Only units of one kind can
-    meet, and only those of one stretch of time without a gap: a fold has those of one key (a source),
-    kind and stretch.
+    Two units merge if neither is a recap, they are of one kind, their times overlap, no claims of theirs contradict and
+    some are equal. A pass takes each unit in turn and goes once over those behind it, each tested with what the unit has
+    grown to; passes go on until one changes nothing. Only units of one kind can meet, and only those of one stretch of
+    time without a gap: a fold has those of one key (a source), kind and stretch. A unit looks only at those that
+    have a claim of its own, found by an index of claims.
     """
     schema = ", ".join(f"{c} {t}" for c, t in units.select(*keys).dtypes) + ", id string, members array<string>, kind string, start double, end double, n_claims int"
     keyed = units.withColumn("claims", F.transform("claims", lambda c: F.struct(T.normalize_concept(c["text"]).alias("concept"), T.polarity(c["text"]).alias("polarity"), qualifier_key(c["qualifiers"]).alias("qualifiers"))))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "id"])
         merged: list[dict] = []
-        for row in rows.to_dict("records"):
+        for row in rows.sort_values(["start", "id"]).to_dict("records"):
             claims = {(c["concept"], c["qualifiers"], c["polarity"]) for c in row["claims"]}
             merged.append({"id": row["id"], "members": [row["id"]], "kind": row["kind"], "start": row["start"], "end": row["end"], "claims": claims, **{k: row[k] for k in keys}})
-        changed = True
-        while changed:
-            changed = False
-            for i, a in enumerate(merged):
-                for j in range(i + 1, len(merged)):
-                    b = merged[j]
-                    opposite = {(c, q, "neg" if p == "pos" else "pos") for c, q, p in b["claims"]}
-                    if a["kind"] == b["kind"] != "recap" and a["end"] > b["start"] and b["end"] > a["start"] and not a["claims"] & opposite and a["claims"] & b["claims"]:
-                        a |= {"members": a["members"] + b["members"], "start": min(a["start"], b["start"]), "end": max(a["end"], b["end"]), "claims": a["claims"] | b["claims"]}
-                        del merged[j]
-                        changed = True
-                        break
-                if changed:
-                    break
+        before = len(merged) + 1
+        while len(merged) < before and merged[0]["kind"] != "recap":
+            before, merged = len(merged), one_pass(merged)
         return pd.DataFrame([{**{k: m[k] for k in keys}, "id": m["id"], "members": m["members"], "kind": m["kind"], "start": m["start"], "end": m["end"], "n_claims": len(m["claims"])} for m in merged])
 
     w = Window.partitionBy(*keys, "kind").orderBy("start", "end", "id")
