@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import reachable
+from .steps import Steps, reachable
 
 #: The weights of a unit's and of a frame's score.
 UNIT_WEIGHTS = {"topic": 0.35, "importance": 0.25, "evidence": 0.20, "novelty": 0.20}
@@ -183,16 +183,18 @@ def teaching_order(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
 
 def assign_without_reuse(scores: DataFrame, key: str, order: str) -> DataFrame:
     """scores (key, unit, order, frame, score) -> (key, unit, frame): in order, each unit takes its best
-    frame that no unit before it took."""
-    schema = ", ".join(f"{c} {t}" for c, t in scores.select(key, "unit", "frame").dtypes)
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for _, unit, _, frame in sorted(zip(group[order], group["unit"], -group["score"], group["frame"])):
-            if unit not in done and frame not in used:
-                used.add(frame)
-                done.add(unit)
-                out.append((group[key].iloc[0], unit, frame))
-        return pd.DataFrame(out, columns=[key, "unit", "frame"])
-
-    return scores.groupBy(key).applyInPandas(assign, schema)
+    frame (the least of equal scores) that no unit before it took; units without one are left out.
+
+    In rounds over all keys: each unit asks for its best frame, a frame is held by the first unit in order that has asked, and
+    no unit behind that one can have it any more. Once all that ask hold what they ask for, nobody before them wants it.
+    """
+    steps = Steps(scores.sparkSession, "assign")
+    place = F.struct(F.col(order).alias("o"), "unit")
+    open_ = scores.select(key, "unit", place.alias("place"), "frame", "score").where("unit is not null and frame is not null and score is not null")
+    open_ = steps.write(open_.groupBy(key, "unit", "frame").agg(F.min("place").alias("place"), F.max("score").alias("score")))
+    while True:
+        asked = open_.groupBy(key, "unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame"))["frame"].alias("frame"), F.min("place").alias("place"))
+        held = steps.write(asked.groupBy(key, "frame").agg(F.min("place").alias("holder"), F.count(F.lit(1)).alias("n")))
+        if held.where("n > 1").isEmpty():
+            return held.select(key, F.col("holder.unit").alias("unit"), "frame")
+        open_ = steps.write(open_.join(held.select(key, "frame", "holder"), [key, "frame"], "left").where("holder is null or place <= holder").drop("holder"))

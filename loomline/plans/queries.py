@@ -267,7 +267,17 @@ def w19_evenly_spaced(spark, d):
     return sequence.evenly_spaced(table(spark, d, "events").select("user_id", "event_id"), USER, ["event_id"], 7)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn * 2.0 AS s, string_split(text, ' ') AS w FROM conversations),
+  cues AS (SELECT conv_id, CAST(s + k * 0.5 AS DOUBLE) AS "start", CAST(s + 3 AS DOUBLE) AS "end", array_to_string(w[1:CAST(ceil(len(w) * (k + 1) / 3) AS BIGINT)], ' ') AS text FROM t, (SELECT unnest([0, 1, 2]) AS k)),
+  numbered AS (SELECT *, regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+') AS words, row_number() OVER (PARTITION BY conv_id ORDER BY "start", "end", text) AS n FROM cues),
+  walk AS (SELECT conv_id, CAST(1 AS BIGINT) AS n, [{'s': "start", 'e': "end", 'text': text, 'words': words}] AS kept FROM numbered WHERE n = 1
+    UNION ALL SELECT conv_id, n, CASE WHEN s < kept[-1].e AND words = kept[-1].words THEN kept
+        WHEN s < kept[-1].e AND len(words) > len(kept[-1].words) AND words[1:len(kept[-1].words)] = kept[-1].words
+          THEN list_append(kept[1:len(kept) - 1], {'s': least(s, kept[-1].s), 'e': greatest(e, kept[-1].e), 'text': text, 'words': words})
+        ELSE list_append(kept, {'s': s, 'e': e, 'text': text, 'words': words}) END
+    FROM (SELECT w.conv_id, c.n, w.kept, c."start" AS s, c."end" AS e, c.text, c.words FROM walk w JOIN numbered c ON c.conv_id = w.conv_id AND c.n = w.n + 1)),
+  done AS (SELECT conv_id, kept FROM walk QUALIFY n = max(n) OVER (PARTITION BY conv_id))
+  SELECT conv_id, CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS n, unnest(kept).s AS "start", unnest(kept).e AS "end", unnest(kept).text AS text FROM done""")
 def w1_scroll_dedup(spark, d):
     words = F.split("text", " ")
     cues = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 3).alias("end"), words.alias("w"))
@@ -320,7 +330,12 @@ def o14_prerequisites(spark, d):
     return selection.prerequisites_closed(part.where("p_size = 50").select(F.col("p_partkey").alias("id")), edges)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT p_brand, p_partkey AS id, p_size, lag(p_partkey) OVER (PARTITION BY p_brand, p_partkey % 7 ORDER BY p_partkey) AS needs FROM part),
+  g AS (SELECT p_brand, list({'id': id, 'needs': needs} ORDER BY p_size, id) AS items, count(*) AS n FROM e GROUP BY p_brand),
+  walk AS (SELECT p_brand, items, n, CAST([] AS BIGINT[]) AS done, 0 AS k, CAST(NULL AS BIGINT) AS id FROM g
+    UNION ALL SELECT p_brand, items, n, list_append(done, following), k + 1, following
+    FROM (SELECT *, list_filter(items, lambda i: NOT list_contains(done, i.id) AND (i.needs IS NULL OR list_contains(done, i.needs)))[1].id AS following FROM walk WHERE k < n))
+  SELECT p_brand, id, CAST(k - 1 AS INTEGER) AS position FROM walk WHERE k > 0""")
 def o13_teaching_order(spark, d):
     part = table(spark, d, "part")
     rows = part.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("start"))
@@ -330,7 +345,12 @@ def o13_teaching_order(spark, d):
     return selection.teaching_order(rows, "p_brand", edges)
 
 
-@query()
+@query("""WITH RECURSIVE best AS (SELECT l_suppkey, l_partkey AS unit, l_orderkey % 64 AS frame, max(l_quantity) AS score FROM lineitem GROUP BY ALL),
+  wanted AS (SELECT l_suppkey, unit, list(frame ORDER BY score DESC, frame) AS frames, row_number() OVER (PARTITION BY l_suppkey ORDER BY unit) AS n FROM best GROUP BY l_suppkey, unit),
+  walk AS (SELECT l_suppkey, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS unit, CAST(NULL AS BIGINT) AS frame, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT l_suppkey FROM lineitem)
+    UNION ALL SELECT l_suppkey, n, unit, found, CASE WHEN found IS NULL THEN used ELSE list_append(used, found) END
+    FROM (SELECT w.l_suppkey, x.n, x.unit, w.used, list_filter(x.frames, lambda f: NOT list_contains(w.used, f))[1] AS found FROM walk w JOIN wanted x ON x.l_suppkey = w.l_suppkey AND x.n = w.n + 1))
+  SELECT l_suppkey, unit, frame FROM walk WHERE frame IS NOT NULL""")
 def o15_assigned_frames(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("unit"), (F.col("l_orderkey") % 64).alias("frame"), F.col("l_quantity").alias("score"))
     best = rows.groupBy("l_suppkey", "unit", "frame").agg(F.max("score").alias("score")).withColumn("order", F.col("unit"))
@@ -374,11 +394,15 @@ def j17_conflicts(spark, d):
     return resolution.conflicting_claims(rows, ["p_brand"])
 
 
-@query()
+@query(f"""WITH {EV}, u AS (SELECT *, CAST(event_id AS VARCHAR) AS id FROM ev WHERE "start" < "end"),
+  fresh AS (SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY user_id, event_type ORDER BY "start", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM u),
+  named AS (SELECT *, sum(f) OVER (PARTITION BY user_id, event_type ORDER BY "start", id ROWS UNBOUNDED PRECEDING) AS g FROM fresh)
+  SELECT user_id, arg_min(id, ("start", id)) AS id, string_agg(id, ',' ORDER BY "start", id) AS members, 'concept' AS kind, min("start") AS "start", max("end") AS "end", CAST(1 AS INTEGER) AS n_claims FROM named GROUP BY user_id, event_type, g""")
 def r1_merged_units(spark, d):
     ev = events(spark, d).where("start < end")
     claims = F.array(F.struct(F.col("event_type").alias("text"), F.array(F.lit("q")).alias("qualifiers")))
-    return resolution.merge_units(ev.select("user_id", F.col("event_id").cast("string").alias("id"), F.lit("concept").alias("kind"), "start", "end", claims.alias("claims")), USER)
+    found = resolution.merge_units(ev.select("user_id", F.col("event_id").cast("string").alias("id"), F.lit("concept").alias("kind"), "start", "end", claims.alias("claims")), USER)
+    return found.withColumn("members", F.array_join("members", ","))
 
 
 @query("""WITH s AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS a, list_distinct(list(l_partkey % 100)) AS b FROM lineitem GROUP BY l_orderkey)
