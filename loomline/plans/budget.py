@@ -30,6 +30,54 @@ def replay(requests: DataFrame, keys: Sequence[str], order: Sequence[str], limit
     return found.withColumn("paused", F.coalesce(F.max(F.col("breach").isNotNull()).over(so_far), F.lit(False)))
 
 
+def replay_holds(events: DataFrame, keys: Sequence[str], limits: Mapping[str, float], *, expires: float) -> DataFrame:
+    """events (keys, seq, at, kind, hold, one column a counter of limits) with accepted, reason, and held_<counter>: what a
+    budget has consumed and holds after the event.
+
+    kind is reserve (holds its counts under the name hold), settle (of a hold: its counts go, those of the event are
+    consumed), release (its counts go) or charge (consumed at once). A hold that nothing has closed expires `expires`
+    seconds after it was made, before any event of that time. Events are taken by (at, seq). The first reserve or charge
+    that would go over a limit is refused with the counter's name, and all later ones with `paused`; settling and
+    releasing go on. Closing what is not held (unknown, refused, closed or expired), and holding a name again, is refused
+    as `not held` and `held before`.
+
+    All requests before the first refused one are granted, so running sums over all find it, and running sums over what
+    was granted are the result: two windows, no state.
+    """
+    keys, counters = list(keys), list(limits)
+    order = [F.col("at"), F.col("rank"), F.col("seq")]
+    # of each name the first reserve, and the first closing after it that comes before it expires
+    names = Window.partitionBy(*keys, "hold", "kind").orderBy("at", "seq")
+    rows = events.withColumn("rank", F.lit(1)).withColumn("again", (F.col("kind") == "reserve") & (F.row_number().over(names) > 1))
+    made = rows.where("kind = 'reserve' and not again").select(*keys, "hold", F.struct("at", "seq").alias("made"), (F.col("at") + expires).alias("until"), *(F.col(c).alias(f"own_{c}") for c in counters))
+    rows = rows.join(made, [*keys, "hold"], "left")
+    closing = F.col("kind").isin("settle", "release") & F.coalesce((F.struct("at", "seq") > F.col("made")) & (F.col("at") < F.col("until")), F.lit(False))
+    rows = rows.withColumn("closing", closing).withColumn("first", F.min(F.when(closing, F.struct("at", "seq"))).over(Window.partitionBy(*keys, "hold")))
+    rows = rows.withColumn("closes", F.col("closing") & (F.struct("at", "seq") == F.col("first")))
+    expired = rows.where("kind = 'reserve' and not again and first is null").withColumns({"at": F.col("until"), "rank": F.lit(0), "kind": F.lit("expire"), "closes": F.lit(True)})
+    rows = rows.unionByName(expired)
+    asks = F.col("kind").isin("reserve", "charge") & ~F.col("again")
+
+    def change(c: str) -> Column:
+        given = F.when(asks, F.col(c)).when(F.col("closes"), F.when(F.col("kind") == "settle", F.col(c)).otherwise(0) - F.col(f"own_{c}"))
+        return F.coalesce(given, F.lit(0))
+
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"sum_{c}": F.sum(change(c)).over(so_far) for c in counters})
+    over = F.coalesce(*(F.when(F.col(f"sum_{c}") > limit, F.lit(c)) for c, limit in limits.items()))
+    rows = rows.withColumn("breach", F.when(asks, over))
+    place = F.struct("at", "rank", "seq")
+    rows = rows.withColumn("stop", F.min(F.when(F.col("breach").isNotNull(), place)).over(Window.partitionBy(*keys)))
+    refused = F.coalesce(place >= F.col("stop"), F.lit(False))
+    # a hold that was refused can not be closed
+    open_hold = F.coalesce(F.struct(F.col("made.at").alias("at"), F.lit(1).alias("rank"), F.col("made.seq").alias("seq")) < F.col("stop"), F.lit(True))
+    paused = F.when(place == F.col("stop"), F.col("breach")).otherwise("paused")
+    reason = F.when(F.col("again"), "held before").when(asks & refused, paused).when(F.col("kind").isin("settle", "release") & ~(F.col("closes") & open_hold), "not held")
+    rows = rows.withColumn("reason", reason).withColumn("granted", F.col("reason").isNull() & ((F.col("kind") != "expire") | open_hold))
+    rows = rows.withColumns({f"held_{c}": F.sum(F.when(F.col("granted"), change(c)).otherwise(0)).over(so_far) for c in counters})
+    return rows.where("kind <> 'expire'").select(*events.columns, F.col("granted").alias("accepted"), "reason", *(f"held_{c}" for c in counters))
+
+
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Seconds before an attempt (from 1), without jitter: doubling up to a cap, or what the server asks for if that is over 0."""
     return F.coalesce(F.when(retry_after > 0, retry_after), F.least(F.lit(RETRY_MOST), RETRY_BASE * F.pow(F.lit(2.0), attempt - 1)))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from loomline.plans import evidence_queries, payload_queries, review_queries, transcript_queries  # noqa: F401  add their queries to those of plans
+from loomline.plans import evidence_queries, hold_queries, payload_queries, review_queries, transcript_queries  # noqa: F401  add their queries to those of plans
 from loomline.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
