@@ -295,4 +295,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         place = F.array_position("paths", F.col("winner")).cast("int")
         which = F.coalesce(F.try_element_at("which", F.when(place > 0, place)), "own")
         found = read.join(winners, ["host", "paths"], "left").withColumn("text", F.element_at("texts", which + 1))
-        return scratch.keep(found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host"), "extracted")
+        return scratch.keep(found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host"), "extracted", compression="zstd")

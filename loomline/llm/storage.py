@@ -69,5 +69,5 @@ class Scratch:
         self.made += 1
         return write(df, f"{self.path}/{self.made}-{name}", *partition_by, compression=compression)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name)
+    def keep(self, df: DataFrame, name: str, *, compression: str | None = None) -> DataFrame:
+        return materialize(df, name, compression=compression)
