@@ -198,6 +198,16 @@ def digest(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 32)
 
 
+def canonical_json(text: Column) -> Column:
+    """The JSON with the keys of its objects in order, no white space, and letters as they are; null of what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def canonical_digest(text: Column) -> Column:
+    """SHA-256 of canonical_json(): equal for documents that differ in the order of keys and in white space only."""
+    return F.sha2(canonical_json(text), 256)
+
+
 def request_kind(reason: Column) -> Column:
     low = F.lower(reason)
     unreadable = low.contains("unreadable") | low.contains("ocr") | reason.contains("看不清")

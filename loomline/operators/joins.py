@@ -77,6 +77,26 @@ def missing_references(rules: Mapping[str, tuple[DataFrame, str, DataFrame, str]
     return found
 
 
+def unequal_references(rules: Mapping[str, tuple[DataFrame, str, DataFrame, str, Mapping[str, str]]]) -> DataFrame:
+    """(rule, reference, field, n): what rows state of a row that they refer to, other than it says itself.
+
+    rules: name -> (rows, column, target, target's column, field of rows -> field of target): a source, a duration, a
+    hash. Nulls are equal to nulls only. References without a target are those of missing_references(). A target with
+    several rows of a key agrees if one of them does.
+    """
+    found = None
+    for name, (rows, column, target, key, fields) in rules.items():
+        for field, own in fields.items():
+            stated = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("reference"), F.col(field).cast("string").alias("stated")).agg(F.count(F.lit(1)).alias("n"))
+            known = target.select(F.col(key).cast("string").alias("reference"), F.col(own).cast("string").alias("known")).distinct()
+            there = stated.join(known.select("reference").distinct(), "reference", "left_semi")
+            same = (there["reference"] == known["reference"]) & there["stated"].eqNullSafe(known["known"])
+            other = there.join(known, same, "left_anti").groupBy("reference").agg(F.sum("n").alias("n"))
+            part = other.select(F.lit(name).alias("rule"), "reference", F.lit(field).alias("field"), "n")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def set_differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that only one of both has: `missing` from found, or `unexpected` in it."""
     a, b = expected.select(key).distinct(), found.select(key).distinct()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import payloads
+from ..functions import text as T
+from ..operators import joins, payloads
 from .queries import query, table
 
 
@@ -66,3 +67,21 @@ def c8_units(spark, d):
     claims = F.array_join(F.transform("claims", lambda c: F.concat_ws(":", c["id"], c["text"], F.array_join(c["evidence_ids"], ","), c["status"])), ";")
     taken = taken.select("p_partkey", "n", "id", "topic_id", F.array_join("segment_ids", ",").alias("segments"), "start", "end", "kind", claims.alias("claims"))
     return taken.unionByName(refused, allowMissingColumns=True)
+
+
+@query("""SELECT event_id, sha256('{"a":{"b":null,"y":[' || event_id || ',2.5,"é \\"x\\""]},"k":' || json_extract_string(props, '$.k') || ',"z":"' || event_type || '"}') AS digest FROM events""".replace("\\\\", "\\"))
+def t32_canonical_digests(spark, d):
+    k, e = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    document = F.concat(F.lit('{ "z" : "'), "event_type", F.lit('",\n "k": '), k, F.lit(', "a": {"y": [ '), e, F.lit(', 2.5, "é \\"x\\""], "b": null} }'))
+    return table(spark, d, "events").select("event_id", T.canonical_digest(document).alias("digest"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linestatus END AS status, CASE WHEN l_quantity > 45 THEN 'other' ELSE CAST(l_orderkey % 9 AS VARCHAR) END AS source FROM lineitem),
+  o AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 9 AS VARCHAR) AS source FROM orders WHERE o_orderkey % 11 <> 0)
+  SELECT 'order' AS rule, CAST(l_orderkey AS VARCHAR) AS reference, 'status' AS field, count(*) AS n FROM l JOIN o ON l_orderkey = o_orderkey WHERE status IS DISTINCT FROM o_orderstatus GROUP BY l_orderkey
+  UNION ALL SELECT 'order', CAST(l_orderkey AS VARCHAR), 'source', count(*) FROM l JOIN o ON l_orderkey = o_orderkey WHERE l.source IS DISTINCT FROM o.source GROUP BY l_orderkey""")
+def j13_unequal_references(spark, d):
+    key = lambda c: (F.col(c) % 9).cast("string")
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_linestatus")).alias("status"), F.when(F.col("l_quantity") > 45, "other").otherwise(key("l_orderkey")).alias("source"))
+    orders = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select("o_orderkey", "o_orderstatus", key("o_orderkey").alias("source"))
+    return joins.unequal_references({"order": (lines, "l_orderkey", orders, "o_orderkey", {"status": "o_orderstatus", "source": "source"})})
