@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins, payloads
+from ..sources import assets
 from .queries import query, table
 
 
@@ -85,3 +86,19 @@ def j13_unequal_references(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 7, F.col("l_linestatus")).alias("status"), F.when(F.col("l_quantity") > 45, "other").otherwise(key("l_orderkey")).alias("source"))
     orders = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select("o_orderkey", "o_orderstatus", key("o_orderkey").alias("source"))
     return joins.unequal_references({"order": (lines, "l_orderkey", orders, "o_orderkey", {"status": "o_orderstatus", "source": "source"})})
+
+
+@query("""WITH f AS (SELECT doc_id, ['a/', 'b/', '../', '/'][CASE WHEN doc_id % 13 < 11 THEN doc_id % 2 + 1 ELSE doc_id % 13 - 8 END] || doc_id || ['.png', '.JPG', '.gif', '.bin'][doc_id % 4 + 1] AS path,
+    CASE WHEN doc_id % 5 = 0 THEN unhex('00') WHEN doc_id % 4 = 0 THEN unhex('89504E470D0A1A0A') ELSE unhex('FFD8FF') END || encode(coalesce(text, '')) AS content FROM documents),
+  c AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'wrong' ELSE sha256(content) END AS sha256, ['image/png', 'image/jpg', NULL, 'image/gif', 'image/jpeg'][doc_id % 5 + 1] AS mime_type FROM f)
+  SELECT doc_id, fault FROM (SELECT doc_id, CASE WHEN doc_id % 13 >= 11 THEN 'outside of the root' WHEN doc_id % 6 = 5 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'hash' WHEN mime_type IS NULL THEN NULL
+    WHEN doc_id % 4 < 2 AND doc_id % 5 = 0 THEN 'type' WHEN doc_id % 4 < 3 AND ['image/png', 'image/jpeg', 'image/gif'][doc_id % 4 + 1] <> CASE mime_type WHEN 'image/jpg' THEN 'image/jpeg' ELSE mime_type END THEN 'type' END AS fault FROM c)
+  WHERE fault IS NOT NULL""")
+def v14_asset_faults(spark, d):
+    i = F.col("doc_id")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
+    folder = pick(("a/", "b/", "../", "/"), F.when(i % 13 < 11, i % 2 + 1).otherwise(i % 13 - 8))
+    start = F.when(i % 5 == 0, "00").when(i % 4 == 0, "89504E470D0A1A0A").otherwise("FFD8FF")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(folder, i.cast("string"), pick((".png", ".JPG", ".gif", ".bin"), i % 4 + 1)).alias("path"), F.concat(F.unhex(start), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    claimed = rows.select("doc_id", "path", F.when(i % 7 == 0, "wrong").otherwise(F.sha2("content", 256)).alias("sha256"), pick(("image/png", "image/jpg", None, "image/gif", "image/jpeg"), i % 5 + 1).alias("mime_type"))
+    return assets.asset_faults(claimed, assets.described(rows.where("doc_id % 6 <> 5").select("path", "content"))).select("doc_id", "fault")
