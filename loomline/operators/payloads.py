@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .steps import Steps
 
 #: Where lists are, what fields are called, and what kinds and statuses there are.
 UNITS, TOPICS = ("units", "knowledge_units", "knowledgeUnits", "items"), ("topics", "outline", "sections")
@@ -121,19 +122,21 @@ def found_list(v: Column, names: Sequence[str], *, keyed: bool = False, bare: Se
     return found
 
 
-def _items(payloads: DataFrame, keys: Sequence[str], find: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """payloads with (n, v, m) for each item from 1 and its fields, and (keys, n, reason) of payloads without a list."""
-    rows = payloads.withColumn("v", F.try_parse_json("payload")).withColumn("items", find(F.col("v")))
-    refused = rows.where("items is null").select(*keys, F.lit(None).cast("int").alias("n"), F.when(F.col("v").isNull(), "not json").otherwise("no list").alias("reason"))
-    rows = rows.drop("v").select("*", F.posexplode("items").alias("n", "v")).drop("items", "payload")
-    return rows.withColumns({"n": F.col("n") + 1, "m": fields(F.col("v"))}), refused
+def _items(payloads: DataFrame, keys: Sequence[str], find: Callable[[Column], Column]) -> DataFrame:
+    """payloads with (n, v, m) for each item from 1 and its fields, and `fault`; of a payload without a list one row that has
+    only that. Few and small files may hold many payloads, so they are dealt out by their keys first."""
+    rows = payloads.repartition(*keys).withColumn("v", F.try_parse_json("payload")).withColumn("items", find(F.col("v")))
+    rows = rows.withColumn("fault", F.when(F.col("v").isNull(), "not json").when(F.col("items").isNull(), "no list")).drop("v")
+    rows = rows.select("*", F.posexplode_outer("items").alias("n", "v")).drop("items", "payload").where("n is not null or fault is not null")
+    return rows.withColumns({"n": F.col("n") + 1, "m": fields(F.col("v"))})
 
 
-def _settled(rows: DataFrame, refused: DataFrame, keys: Sequence[str], reasons: Mapping[str, Column], columns: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    reason = F.coalesce(*(F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in reasons.items()))
-    rows = rows.withColumn("reason", reason)
-    taken = rows.where("reason is null").select(*keys, "n", *(c.alias(name) for name, c in columns.items()))
-    return taken, refused.unionByName(rows.where("reason is not null").select(*keys, "n", "reason"))
+def _settled(rows: DataFrame, keys: Sequence[str], reasons: Mapping[str, Column], columns: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Items are settled once and written: a filter on the reason would be pushed down to the JSON, with all the columns
+    that it looks at worked out anew at each place where it names them."""
+    reason = F.coalesce("fault", *(F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in reasons.items()))
+    done = Steps(rows.sparkSession, "payloads").write(rows.select(*keys, "n", reason.alias("_reason"), *(c.alias(name) for name, c in columns.items())))
+    return done.where("_reason is null").drop("_reason"), done.where("_reason is not null").select(*keys, "n", F.col("_reason").alias("reason"))
 
 
 def topics(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +145,7 @@ def topics(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFra
     A topic: keys, n, id, title, goal, start, end, evidence_ids, speculative. n is the place of an item in its list, null of
     a payload that is no JSON or has no list; an item without title, goal or a time that is not empty is refused.
     """
-    rows, refused = _items(payloads, keys, lambda v: found_list(v, TOPICS))
+    rows = _items(payloads, keys, lambda v: found_list(v, TOPICS))
     v, m = F.col("v"), F.col("m")
     rows = with_interval(rows, "m", F.col("block_start"), F.col("block_end"))
     rows = rows.withColumns({"title": field(m, TITLE), "goal": field(m, GOAL), "ids": field(m, EVIDENCE), "id": field(m, ("id", "topic_id", "topicId")), "flag": field(m, ("speculative", "is_speculative", "isSpeculative"))})
@@ -150,7 +153,7 @@ def topics(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFra
     named, flag = F.format_string("topic-%s-%02d", "block_id", "n"), F.col("flag")
     speculative = F.when(kind(flag) == "BOOLEAN", F.try_variant_get(flag, "$", "boolean")).when(F.size("ids") == 0, True)
     columns = {"id": F.substring(F.coalesce("id", named), 1, 100), "title": F.substring("title", 1, 160), "goal": F.substring("goal", 1, 400), "start": F.col("time.start"), "end": F.col("time.end"), "evidence_ids": F.col("ids"), "speculative": speculative}
-    return _settled(rows, refused, keys, {"not an object": ~is_object(v), "no title": F.col("title").isNull(), "no goal": F.col("goal").isNull(), "no time": F.col("time").isNull()}, columns)
+    return _settled(rows, keys, {"not an object": ~is_object(v), "no title": F.col("title").isNull(), "no goal": F.col("goal").isNull(), "no time": F.col("time").isNull()}, columns)
 
 
 CLAIM_FIELDS = {"ids": (*EVIDENCE, "evidence_id"), "status": ("status", "claim_status"), "qualifiers": ("qualifiers",), "text": ("text", "claim", "statement", "content"), "cid": ("id", "claim_id", "claimId"), "modality": ("modality",), "provenance": ("provenance",)}
@@ -159,16 +162,17 @@ CLAIM_FIELDS = {"ids": (*EVIDENCE, "evidence_id"), "status": ("status", "claim_s
 def _claims(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, claims) of rows (keys, n, id, listed): claims with a text and evidence, their ids told apart by a suffix."""
     found = rows.select(*keys, "n", "id", F.posexplode("listed").alias("place", "c"))
-    found = found.withColumn("m", fields(F.col("c"))).where("m is not null")
+    found = found.withColumn("m", fields(F.col("c")))
     found = found.withColumns({name: field(F.col("m"), names) for name, names in CLAIM_FIELDS.items()})
     texts = {x: as_text(F.col(x)) for x in ("text", "status", "modality", "provenance")}
     words = F.filter(F.transform(elements(F.col("qualifiers")), lambda q: F.try_variant_get(q, "$", "string")), lambda q: q.isNotNull() & ~q.isin("", "0", "false"))
     found = found.withColumns(texts | {"ids": as_ids(F.col("ids")), "cid": as_identifier(F.col("cid")), "qualifiers": F.slice(words, 1, 20), "status": F.lower(as_text(F.col("status")))})
-    found = found.where(F.col("text").isNotNull() & (F.size("ids") > 0))
+    usable = F.col("text").isNotNull() & (F.size("ids") > 0)
     named = F.concat(F.substring("id", 1, 80), F.format_string("-c%02d", F.col("place") + 1))
     own = lambda x, allowed: F.when(F.col(x).isin(*allowed), F.col(x)).alias(x)
     made = F.struct(F.substring(F.coalesce("cid", named), 1, 100).alias("id"), F.substring("text", 1, 4000).alias("text"), F.slice("ids", 1, 20).alias("evidence_ids"), F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("draft").alias("status"), "qualifiers", own("modality", MODALITIES), own("provenance", PROVENANCES)).cast(CLAIM)
-    listed = found.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("place", made.alias("c")))).alias("listed"))
+    # claims without a text or evidence are left out of the list: a filter would look up all that it tests anew
+    listed = found.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.when(usable, F.struct("place", made.alias("c"))))).alias("listed"))
 
     def apart(done: Column, x: Column) -> Column:
         used = F.transform(done, lambda y: y["id"])
@@ -176,7 +180,7 @@ def _claims(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         name = F.when(F.array_contains(used, x["id"]), F.get(F.filter(suffixed, lambda s: ~F.array_contains(used, s)), F.lit(0))).otherwise(x["id"])
         return F.concat(done, F.array(x.withField("id", name))).cast(f"array<{CLAIM}>")
 
-    listed = listed.select(*keys, "n", F.transform("listed", lambda x: x["c"]).alias("listed"))
+    listed = listed.select(*keys, "n", F.when(F.size("listed") > 0, F.transform("listed", lambda x: x["c"])).alias("listed"))
     return listed.select(*keys, "n", F.aggregate("listed", F.array().cast(f"array<{CLAIM}>"), apart).alias("claims"))
 
 
@@ -187,7 +191,7 @@ def units(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     payload one unit. A claim needs a text and evidence; a unit needs a time that is not empty, a claim, a topic and a
     segment. keys tell the payloads apart.
     """
-    rows, refused = _items(payloads, keys, lambda v: found_list(v, UNITS, keyed=True, bare=("claims", "kind")))
+    rows = _items(payloads, keys, lambda v: found_list(v, UNITS, keyed=True, bare=("claims", "kind")))
     v, m = F.col("v"), F.col("m")
     rows = with_interval(rows, "m", F.coalesce("context_start", F.lit(0.0)), F.col("context_end"))
     rows = rows.withColumns({"id": field(m, ("id", "unit_id", "unitId")), "listed": field(m, ("claims",)), "ids": field(m, ("segment_ids", "segmentIds", "segment_id")), "topic": field(m, ("topic_id", "topicId")), "own": field(m, ("kind", "type", "unit_kind", "unitKind"))})
@@ -199,4 +203,4 @@ def units(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     aliases = F.create_map(*(F.lit(x) for pair in KIND_ALIASES.items() for x in pair))
     columns = {"id": F.substring("id", 1, 100), "topic_id": F.col("topic"), "segment_ids": segments, "start": F.col("time.start"), "end": F.col("time.end"), "kind": F.when(F.col("own").isin(*KINDS), F.col("own")).otherwise(F.coalesce(F.try_element_at(aliases, "own"), F.lit("concept"))), "claims": F.col("claims")}
     reasons = {"not an object": ~F.col("whole"), "no time": F.col("time").isNull(), "no claims": F.col("listed").isNull(), "no usable claim": F.col("claims").isNull(), "no topic": F.col("topic").isNull(), "no segment": segments.isNull()}
-    return _settled(rows, refused, keys, reasons, columns)
+    return _settled(rows, keys, reasons, columns)

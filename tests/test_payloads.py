@@ -155,3 +155,14 @@ def test_units(spark):
     got = {(r.i, r.n): (r.id, r.topic_id, r.segment_ids, r.start, r.end, r.kind, [(c.id, c.text, c.evidence_ids, c.status) for c in r.claims]) for r in taken.collect()}
     assert got == want and len(want) > 30
     assert {tuple(r) for r in out.collect()} == refused and {x[2] for x in refused} >= {"not json", "no list", "not an object", "no claims", "no usable claim"}
+
+
+def test_items_are_settled_once(spark):
+    """Neither what is taken nor what is refused reads the JSON again, and an empty list gives neither."""
+    rows = [(1, '{"topics": []}'), (2, "{"), (3, "5"), (4, '[{"title": "t", "goal": "g"}, 7]'), (5, None)]
+    rows = spark.createDataFrame(rows, "k long, payload string").selectExpr("*", "'b' AS block_id", "0D AS block_start", "9D AS block_end")
+    taken, refused = P.topics(rows, ["k"])
+    assert [(r.k, r.n, r.title) for r in taken.collect()] == [(4, 1, "t")]
+    assert sorted((r.k, r.n or 0, r.reason) for r in refused.collect()) == [(2, 0, "not json"), (3, 0, "no list"), (4, 2, "not an object"), (5, 0, "not json")]
+    for found in (taken, refused):
+        assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
