@@ -5,9 +5,9 @@ from __future__ import annotations
 import bisect
 import functools
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,19 +171,44 @@ def merge_units(units: DataFrame, keys: Sequence[str]) -> DataFrame:
     have a claim of its own, found by an index of claims.
     """
     schema = ", ".join(f"{c} {t}" for c, t in units.select(*keys).dtypes) + ", id string, members array<string>, kind string, start double, end double, n_claims int"
+    names = [*keys, "id", "members", "kind", "start", "end", "n_claims"]
     keyed = units.withColumn("claims", F.transform("claims", lambda c: F.struct(T.normalize_concept(c["text"]).alias("concept"), T.polarity(c["text"]).alias("polarity"), qualifier_key(c["qualifiers"]).alias("qualifiers"))))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def folded(stretch: list[dict]) -> list[dict]:
         merged: list[dict] = []
-        for row in rows.sort_values(["start", "id"]).to_dict("records"):
-            claims = {(c["concept"], c["qualifiers"], c["polarity"]) for c in row["claims"]}
-            merged.append({"id": row["id"], "members": [row["id"]], "kind": row["kind"], "start": row["start"], "end": row["end"], "claims": claims, **{k: row[k] for k in keys}})
+        for row in sorted(stretch, key=lambda r: (r["start"], r["id"])) if len(stretch) > 1 else stretch:
+            claims = {(c["concept"], c["qualifiers"], c["polarity"]) for c in row["claims"] or ()}
+            merged.append({**row, "members": [row["id"]], "claims": claims})
         before = len(merged) + 1
         while len(merged) < before and merged[0]["kind"] != "recap":
             before, merged = len(merged), one_pass(merged)
-        return pd.DataFrame([{**{k: m[k] for k in keys}, "id": m["id"], "members": m["members"], "kind": m["kind"], "start": m["start"], "end": m["end"], "n_claims": len(m["claims"])} for m in merged])
-
-    w = Window.partitionBy(*keys, "kind").orderBy("start", "end", "id")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    keyed = keyed.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(w)).drop("_new")
-    return keyed.groupBy(*keys, "kind", "_stretch").applyInPandas(fold, schema)
+        return [{**m, "n_claims": len(m["claims"])} for m in merged]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch: list[dict] = []
+        arrow = None
+        for batch in batches:
+            if arrow is None:
+                own = {"members": pa.list_(pa.string()), "n_claims": pa.int32()}
+                arrow = pa.schema([(c, own[c] if c in own else batch.schema.field(c).type) for c in names])
+            out = []
+            for row in batch.to_pylist():
+                if row["_new"] and stretch:
+                    out += folded(stretch)
+                    stretch = []
+                stretch.append(row)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        if stretch:
+            yield pa.RecordBatch.from_pylist(folded(stretch), arrow)
+
+    # a unit alone in its stretch, as most are, needs no fold; the other stretches are told apart in a stream of sorted rows.
+    # A unit without a start or an end is a stretch by itself
+    timed = F.col("start").isNotNull() & F.col("end").isNotNull()
+    order = ["_timed", "start", "end", "id"]
+    w = Window.partitionBy(*keys, "kind").orderBy(*order)
+    reach = F.max(F.when(F.col("_timed"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    keyed = keyed.withColumn("_timed", timed).withColumn("_new", ~F.coalesce(F.col("_timed") & (F.col("start") < reach), F.lit(False)))
+    keyed = keyed.withColumn("_last", F.lead("_new", 1, True).over(w))
+    alone = keyed.where("_new and _last").select(*keys, "id", F.array("id").alias("members"), "kind", "start", "end", F.coalesce(F.size(F.array_distinct("claims")), F.lit(0)).alias("n_claims"))
+    more = keyed.where("not (_new and _last)").select(*keys, "id", "kind", "start", "end", "claims", "_timed", "_new")
+    return alone.unionByName(more.sortWithinPartitions(*keys, "kind", *order).mapInArrow(fold, schema))

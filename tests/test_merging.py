@@ -47,3 +47,14 @@ def test_merge_units(spark, seed):
     got = resolution.merge_units(spark.createDataFrame(rows, KIND), ["k"])
     assert {(r.k, tuple(r.members), r.kind, r.start, r.end, r.n_claims) for r in got.collect()} == want
     assert len(want) < len(rows) - 10
+
+
+def test_stretches_of_one_unit_and_units_without_a_time(spark):
+    """Units alone in their stretch do not go through Python, and a missing start or end is a stretch of its own."""
+    claim = [("p", [])]
+    rows = [("a", "1", "concept", 0.0, 5.0, claim), ("a", "2", "concept", None, 9.0, claim), ("a", "3", "concept", 4.0, 6.0, claim), ("a", "4", "concept", 1.0, None, claim), ("b", "5", "concept", 0.0, 1.0, [*claim, *claim, ("q", [])]), (None, "6", "recap", 0.0, 2.0, []), (None, "7", "recap", 1.0, 2.0, claim)]
+    found = resolution.merge_units(spark.createDataFrame(rows, KIND), ["k"])
+    got = sorted((r.id, *r.members, r.start, r.end, r.n_claims) for r in found.collect())
+    assert got == [("1", "1", "3", 0.0, 6.0, 1), ("2", "2", None, 9.0, 1), ("4", "4", 1.0, None, 1), ("5", "5", 0.0, 1.0, 2), ("6", "6", 0.0, 2.0, 0), ("7", "7", 1.0, 2.0, 1)]
+    # no task starts a pandas frame for each stretch
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
