@@ -12,6 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Widths in a bucket of a point join: spans of two widths come to 1.25 copies instead of 3, for some more pairs that are tried.
+COARSE = 8
+
 
 def _buckets(start: Column, end: Column, width: float, closed: bool = False) -> Column:
     last = F.floor(end / width)
@@ -33,6 +36,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, width:
 
 def point_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], *, width: float) -> DataFrame:
     """Points `t` with the spans (start, end) of the key with start <= t < end."""
+    # a span of about a width is copied to the fewer buckets, the wider they are
+    width = COARSE * width
     a = points.withColumn("_b", F.floor(F.col("t") / width))
     b = spans.where("start < end").withColumn("_b", _buckets(F.col("start"), F.col("end"), width))
     return a.join(b, [*keys, "_b"]).where("start <= t and t < end").drop("_b")

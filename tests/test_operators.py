@@ -251,3 +251,12 @@ def test_rolling_cues_of_a_stream(spark, tmp_path):
     found = run_stream(spark, tmp_path, rows, "source string, start double, end double, text string", live.rolled_up)
     got = sorted((r.start, r.end, r.text, r.replaces) for r in found.collect())
     assert got == [(0.0, 3.0, "one two", False), (1.5, 4.0, "one two three", True), (2.0, 5.0, "one two three four", True), (6.0, 7.0, "one two three four", False)]
+
+
+def test_point_join_copies_few_spans(spark):
+    """Spans of two widths go to few more buckets than one each, and pairs over borders of buckets are still found once."""
+    points = spark.range(400).selectExpr("id % 2 AS k", "id", "CAST(id AS DOUBLE) AS t")
+    spans = spark.range(390).selectExpr("id % 2 AS k", "id AS span", "CAST(id AS DOUBLE) AS start", "CAST(id + 20 AS DOUBLE) AS end")
+    got = sorted((r.id, r.span) for r in joins.point_join(points, spans, ["k"], width=10.0).select("id", "span").collect())
+    assert got == sorted((i, s) for i in range(400) for s in range(390) if i % 2 == s % 2 and s <= i < s + 20)
+    assert spans.select(joins._buckets(F.col("start"), F.col("end"), 10.0 * joins.COARSE)).count() < 1.3 * 390
