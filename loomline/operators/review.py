@@ -98,7 +98,7 @@ def replay(pages: DataFrame, edits: DataFrame, *, allowed_ops: Sequence[str] = O
     now = steps.write(pages.select(names).withColumns(lists | {"locked": F.coalesce("locked", F.lit(False))}))
     edits = steps.write(edits.select([x.split()[0] for x in EDITS.split(", ")]).where("doc is not null and edit is not null"))
     heads = edits.select("doc").distinct().select("doc", F.lit(0).cast("long").alias("revision"), F.lit(None).cast("long").alias("after"))
-    decided, omitted = [], []
+    decided, omitted, ended = [], [], []
     while True:
         known = heads.join(digests(now), "doc", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
         ops = steps.write(edits.join(known, ["doc", "revision"]).where("after is null or edit > after"))
@@ -111,7 +111,9 @@ def replay(pages: DataFrame, edits: DataFrame, *, allowed_ops: Sequence[str] = O
         done = _applied(now, ops.join(first.withColumnRenamed("made", "edit"), ["doc", "edit"], "left_semi"))
         done = steps.write(done.join(first, "doc", "left"))
         omitted.append(done.where("gone").select("doc", F.col("made").alias("edit"), "page_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "claims")).alias("claim")))
-        now = done.where("not gone").select(names)
+        # the pages of a document whose history ends here are not written again
+        ended.append(done.where("made is null").select(names))
+        now = done.where("made is not null and not gone").select(names)
         heads = heads.join(first, "doc").select("doc", (F.col("revision") + 1).alias("revision"), F.col("made").alias("after"))
         heads = steps.write(heads)
     # what was never tried named another revision than the one that stood
@@ -121,7 +123,7 @@ def replay(pages: DataFrame, edits: DataFrame, *, allowed_ops: Sequence[str] = O
     stood = F.coalesce(F.max("revision").over(Window.partitionBy("doc").orderBy("edit")), F.lit(0).cast("long"))
     found = every.join(tried, ["doc", "edit"], "left").select("doc", "edit", F.coalesce("accepted", F.lit(False)).alias("accepted"), F.when(F.col("accepted").isNull(), F.lit(STALE)).otherwise(F.col("reason")).alias("reason"), stood.alias("revision"))
     left_out = functools.reduce(DataFrame.unionByName, omitted) if omitted else now.limit(0).select("doc", F.lit(0).cast("long").alias("edit"), "page_id", F.lit("").alias("claim"))
-    return found, now, left_out
+    return found, functools.reduce(DataFrame.unionByName, ended, now), left_out
 
 
 DECISIONS = "doc string, edit long, accepted boolean, reason string, revision long, digest string"

@@ -122,3 +122,17 @@ def test_replay_of_a_stream(spark, tmp_path):
     found = run_stream(spark, tmp_path, [rows[:half], rows[half:]], review.EDITS, lambda s: review.replay_stream(s, table))
     want = [(d, *x) for d in edits for x in fold(pages[d], edits[d])[0]]
     assert sorted((r.doc, r.edit, r.accepted, r.reason, r.revision) for r in found.collect()) == sorted(want)
+
+
+def test_pages_of_ended_histories_are_not_written_again(spark, monkeypatch):
+    from loomline.operators import review, steps
+
+    sizes, write = [], steps.Steps.write
+    monkeypatch.setattr(steps.Steps, "write", lambda self, df: (found := write(self, df), sizes.append(found.count()) if "gone" in df.columns else None)[0])
+    pages = spark.createDataFrame([(d, f"p{i}", i, "t", None, False, [], [], []) for d, n in (("a", 50), ("b", 2)) for i in range(n)], review.PAGES)
+    edits = spark.createDataFrame([("b", i, i, None, 0, "edit_copy", "p0", f"t{i}", None, None, None) for i in range(2)], review.EDITS)
+    decided, left, _ = review.replay(pages, edits)
+    assert [r.accepted for r in decided.collect()] == [True, True]
+    assert left.count() == 52 and {r.title for r in left.where("doc = 'b'").collect()} == {"t", "t1"}
+    # 52 pages in the first round, those of b in the second
+    assert sizes == [52, 2]
