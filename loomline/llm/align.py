@@ -18,13 +18,10 @@ import re
 import tempfile
 from collections.abc import Iterator
 from itertools import chain
-from pathlib import Path
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,8 +269,7 @@ class Counts:
     """The sorted counts, memory-mapped: one file of keys and counts that has no name and goes with the process."""
 
     def __init__(self, shards: list[str]):
-        local = [Path(unquote(urlparse(x).path)) if urlparse(x).scheme in ("", "file") else Path(SparkFiles.get(Path(urlparse(x).path).name)) for x in shards]
-        read = [pq.ParquetFile(x, memory_map=True) for x in local]
+        read = [pq.ParquetFile(storage.local(x), memory_map=True) for x in shards]
         size = sum(x.metadata.num_rows for x in read)
         with tempfile.TemporaryFile() as file:
             file.truncate(max(1, 16 * size))
@@ -306,11 +302,7 @@ def look_up(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     from any other store Spark fetches them for each executor. The table has at most a row for each pair of the two
     vocabularies, however large the corpus is.
     """
-    spark = aligned.sparkSession
-    shards = sorted(counts.inputFiles(), key=lambda x: urlparse(x).path.rpartition("/")[2])
-    for x in shards:
-        if urlparse(x).scheme not in ("", "file"):
-            spark.sparkContext.addFile(x)
+    shards = storage.shards(counts)
     kept = [c for c in aligned.columns if c != "links"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

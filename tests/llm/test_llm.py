@@ -353,6 +353,20 @@ def test_many_languages(spark, room, least):
     assert np.mean([a == f"l{i % 25:04}" for a, (i, _) in zip(got, some) if f"l{i % 25:04}" in known]) >= 0.9
 
 
+def test_languages_beyond_the_memory_of_a_model(spark, docs, monkeypatch):
+    """A bound on a model in memory changes no result: a stored one has room for every language, and its counts are the same."""
+    rng = random.Random(3)
+    rows = [(i, syllables(i % 40)(60, rng), f"l{i % 40:02}") for i in range(400)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    told = lambda x: sorted(map(tuple, x.select("row.doc_id", "lang_pred", "score").collect()))
+    before = told(language.identify(many))
+    assert before == told(language.predict_languages(many, language.learn(many.where(~language.held_out_of(many.doc_id)))))
+    monkeypatch.setattr(language.learn, "__kwdefaults__", {"most_counts": 40})
+    assert told(language.identify(many)) == before and {x[1] for x in before} == {x[2] for x in rows}
+    whole, stored = language.learn(docs, most_counts=8_000_000), language.store(docs).load()
+    assert whole.names == stored.names and all(np.array_equal(getattr(whole, x), getattr(stored, x)) for x in ("first", "lang", "n", "total"))
+
+
 def test_language_without_letters(odd):
     found = {r.doc_id: r.lang_pred for r in language.identify(odd).select("row.doc_id", "lang_pred").collect()}
     assert found[1] == found[2] == found[6] == "und" and found[3] == "en"
