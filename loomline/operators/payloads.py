@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .steps import Steps
+from .steps import Steps, tasks_for
 
 #: Where lists are, what fields are called, and what kinds and statuses there are.
 UNITS, TOPICS = ("units", "knowledge_units", "knowledgeUnits", "items"), ("topics", "outline", "sections")
@@ -124,8 +124,10 @@ def found_list(v: Column, names: Sequence[str], *, keyed: bool = False, bare: Se
 
 def _items(payloads: DataFrame, keys: Sequence[str], find: Callable[[Column], Column]) -> DataFrame:
     """payloads with (n, v, m) for each item from 1 and its fields, and `fault`; of a payload without a list one row that has
-    only that. Few and small files may hold many payloads, so they are dealt out by their keys first."""
-    rows = payloads.repartition(*keys).withColumn("v", F.try_parse_json("payload")).withColumn("items", find(F.col("v")))
+    only that. Few and small files may hold many payloads, so they are dealt out by their keys first, to a number of tasks
+    that Spark doesn't lower: the bytes are few, the work on them is not."""
+    tasks = 4 * payloads.sparkSession.sparkContext.defaultParallelism
+    rows = payloads.repartition(tasks, *keys).withColumn("v", F.try_parse_json("payload")).withColumn("items", find(F.col("v")))
     rows = rows.withColumn("fault", F.when(F.col("v").isNull(), "not json").when(F.col("items").isNull(), "no list")).drop("v")
     rows = rows.select("*", F.posexplode_outer("items").alias("n", "v")).drop("items", "payload").where("n is not null or fault is not null")
     return rows.withColumns({"n": F.col("n") + 1, "m": fields(F.col("v"))})
@@ -197,7 +199,10 @@ def units(payloads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     rows = rows.withColumns({"id": field(m, ("id", "unit_id", "unitId")), "listed": field(m, ("claims",)), "ids": field(m, ("segment_ids", "segmentIds", "segment_id")), "topic": field(m, ("topic_id", "topicId")), "own": field(m, ("kind", "type", "unit_kind", "unitKind"))})
     named = F.when(F.coalesce("segment_id", F.lit("")) != "", F.format_string("unit-%s-%02d", "segment_id", "n")).otherwise(F.format_string("unit-%02d", "n"))
     given = T.strip(F.col("topic_id"))
-    rows = rows.withColumns({"id": F.coalesce(as_identifier(F.col("id")), named), "listed": elements(F.col("listed")), "ids": as_ids(F.col("ids")), "topic": F.coalesce(as_identifier(F.col("topic")), F.when(F.length(given).between(1, 100), given)), "own": F.lower(as_text(F.col("own"))), "whole": is_object(v)}).drop("v", "m")
+    rows = rows.withColumns({"id": F.coalesce(as_identifier(F.col("id")), named), "listed": elements(F.col("listed")), "ids": as_ids(F.col("ids")), "topic": F.coalesce(as_identifier(F.col("topic")), F.when(F.length(given).between(1, 100), given)), "own": F.lower(as_text(F.col("own"))), "whole": is_object(v)}).drop("v", "m", "context_start", "context_end")
+    # written, since both sides of the join read them, and the claims' filter would look up their lists anew
+    rows = Steps(rows.sparkSession, "units").write(rows)
+    rows = rows.repartition(tasks_for(rows, least=4), *keys, "n")
     rows = rows.join(_claims(rows, keys), [*keys, "n"], "left")
     segments = F.when(F.size("ids") > 0, F.slice("ids", 1, 20)).when(F.col("segment_id").isNotNull(), F.array("segment_id"))
     aliases = F.create_map(*(F.lit(x) for pair in KIND_ALIASES.items() for x in pair))

@@ -34,6 +34,16 @@ class Steps:
         return self.spark.read.schema(like.schema).parquet(*self.paths)
 
 
+#: Rows that a task groups, sorts or joins.
+ROWS = 50_000
+
+
+def tasks_for(table: DataFrame, rows: int = ROWS, least: int = 1) -> int:
+    """To how many tasks a written table (it is counted) is dealt, so that each has about so many rows and its memory
+    doesn't grow with the table; at least `least` for each core, where the rows are much work and few bytes."""
+    return max(least * table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // rows))
+
+
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (id) of start and all that edges (id, next) lead to. Goes on until a step adds nothing, however long the chain."""
     steps = Steps(start.sparkSession, "reachable")

@@ -166,3 +166,14 @@ def test_items_are_settled_once(spark):
     assert sorted((r.k, r.n or 0, r.reason) for r in refused.collect()) == [(2, 0, "not json"), (3, 0, "no list"), (4, 2, "not an object"), (5, 0, "not json")]
     for found in (taken, refused):
         assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_units_are_looked_up_once(spark, monkeypatch):
+    """The JSON is parsed for one table, and no task's share of the claims grows with the payloads."""
+    written = []
+    monkeypatch.setattr(P.Steps, "write", lambda self, rows, write=P.Steps.write: written.append(rows) or write(self, rows))
+    rows = spark.range(3).selectExpr("id AS k", """concat('[{"claims": [{"text": "', id, '", "evidence": "e"}], "end": 2}]') AS payload""", "'s' AS segment_id", "'T' AS topic_id", "0D AS context_start", "9D AS context_end")
+    taken, refused = P.units(rows, ["k"])
+    assert taken.count() == 3 and refused.isEmpty()
+    parsed = [x._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") for x in written]
+    assert len(parsed) == 2 and parsed[0] >= 1 and parsed[1] == 0
