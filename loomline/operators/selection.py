@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import Steps, reachable
+from .steps import Steps, reachable, tasks_for
 
 #: The weights of a unit's and of a frame's score.
 UNIT_WEIGHTS = {"topic": 0.35, "importance": 0.25, "evidence": 0.20, "novelty": 0.20}
 FRAME_WEIGHTS = {"relevance": 0.45, "legibility": 0.30, "completeness": 0.15, "closeness": 0.10}
 
+#: Scores of units and frames in a task.
+SCORES = 250_000
+
 
 def unit_score(importance: Column, n_evidence: Column, penalty: Column) -> Column:
     w = UNIT_WEIGHTS
@@ -187,14 +190,18 @@ def assign_without_reuse(scores: DataFrame, key: str, order: str) -> DataFrame:
 
     In rounds over all keys: each unit asks for its best frame, a frame is held by the first unit in order that has asked, and
     no unit behind that one can have it any more. Once all that ask hold what they ask for, nobody before them wants it.
+    Rows are dealt to tasks of about SCORES: neither the files they come in nor their number makes a task larger.
     """
     steps = Steps(scores.sparkSession, "assign")
     place = F.struct(F.col(order).alias("o"), "unit")
-    open_ = scores.select(key, "unit", place.alias("place"), "frame", "score").where("unit is not null and frame is not null and score is not null")
-    open_ = steps.write(open_.groupBy(key, "unit", "frame").agg(F.min("place").alias("place"), F.max("score").alias("score")))
+    # written as they come: to combine equal ones before they are dealt would keep as many as a file has
+    rows = steps.write(scores.select(key, "unit", place.alias("place"), "frame", "score").where("unit is not null and frame is not null and score is not null"))
+    rows = rows.repartition(tasks_for(rows, SCORES), key, "unit").groupBy(key, "unit", "frame")
+    open_ = steps.write(rows.agg(F.min("place.o").alias("o"), F.max("score").alias("score")).select(key, "unit", F.struct("o", "unit").alias("place"), "frame", "score"))
     while True:
-        asked = open_.groupBy(key, "unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame"))["frame"].alias("frame"), F.min("place").alias("place"))
-        held = steps.write(asked.groupBy(key, "frame").agg(F.min("place").alias("holder"), F.count(F.lit(1)).alias("n")))
+        n = tasks_for(open_, SCORES)
+        asked = open_.repartition(n, key, "unit").groupBy(key, "unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame"))["frame"].alias("frame"), F.min("place").alias("place"))
+        held = steps.write(asked.repartition(n, key, "frame").groupBy(key, "frame").agg(F.min("place").alias("holder"), F.count(F.lit(1)).alias("n")))
         if held.where("n > 1").isEmpty():
             return held.select(key, F.col("holder.unit").alias("unit"), "frame")
-        open_ = steps.write(open_.join(held.select(key, "frame", "holder"), [key, "frame"], "left").where("holder is null or place <= holder").drop("holder"))
+        open_ = steps.write(open_.repartition(n, key, "frame").join(held.select(key, "frame", "holder"), [key, "frame"], "left").where("holder is null or place <= holder").drop("holder"))

@@ -353,8 +353,7 @@ def o13_teaching_order(spark, d):
   SELECT l_suppkey, unit, frame FROM walk WHERE frame IS NOT NULL""")
 def o15_assigned_frames(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("unit"), (F.col("l_orderkey") % 64).alias("frame"), F.col("l_quantity").alias("score"))
-    best = rows.groupBy("l_suppkey", "unit", "frame").agg(F.max("score").alias("score")).withColumn("order", F.col("unit"))
-    return selection.assign_without_reuse(best, "l_suppkey", "order")
+    return selection.assign_without_reuse(rows.withColumn("order", F.col("unit")), "l_suppkey", "order")
 
 
 @query("""SELECT p_partkey, round(0.35 + 0.25 * (p_size / 50.0) + 0.20 * least(1.0, (p_partkey % 5) / 3.0) + 0.20 - CASE WHEN p_size > 45 THEN 0.5 ELSE 0.0 END, 9) AS score FROM part""")

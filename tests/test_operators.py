@@ -260,3 +260,26 @@ def test_point_join_copies_few_spans(spark):
     got = sorted((r.id, r.span) for r in joins.point_join(points, spans, ["k"], width=10.0).select("id", "span").collect())
     assert got == sorted((i, s) for i in range(400) for s in range(390) if i % 2 == s % 2 and s <= i < s + 20)
     assert spans.select(joins._buckets(F.col("start"), F.col("end"), 10.0 * joins.COARSE)).count() < 1.3 * 390
+
+
+def test_assigned_frames_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Scores are dealt out before they are combined or sorted, to more tasks where there are more of them."""
+    import random
+
+    written = []
+    monkeypatch.setattr(selection, "SCORES", 10)
+    monkeypatch.setattr(selection.Steps, "write", lambda self, rows, write=selection.Steps.write: written.append(rows) or write(self, rows))
+    rng = random.Random(9)
+    rows = [("k", u, u, rng.randrange(8), rng.random()) for u in range(12) for _ in range(9)]
+    found = selection.assign_without_reuse(spark.createDataFrame(rows, "k string, unit int, order int, frame int, score double"), "k", "order")
+    used, expected = set(), set()
+    for u in range(12):
+        for _, f in sorted((-s, f) for _, x, _, f, s in rows if x == u):
+            if f not in used:
+                used.add(f)
+                expected.add((u, f))
+                break
+    assert {(r.unit, r.frame) for r in found.collect()} == expected
+    first = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in first and "Sort" not in first
+    assert written[1].rdd.getNumPartitions() >= 11
