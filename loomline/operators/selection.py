@@ -134,7 +134,8 @@ def budgeted(candidates: DataFrame, edges: DataFrame, keys: Sequence[str], *, ta
     fits = own.withColumn("_k", of_kind).where((F.col("_class") == 0) | (F.col("_k") <= cap))
     taken = fits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_class", *order))).where((F.col("_class") == 0) | (F.col("_n") <= target))
     reason = F.when(F.col("_class") == 0, "mandatory").when(F.col("_class") == 1, "topic reserve").otherwise("score")
-    taken = taken.select(*candidates.columns, reason.alias("reason"), F.col("_n"))
+    # written, since four steps read it
+    taken = Steps(candidates.sparkSession, "budgeted").write(taken.select(*candidates.columns, reason.alias("reason"), F.col("_n")))
     joined = F.struct(*keys, "id").alias("id")
     needed = reachable(taken.select(joined), edges.select(joined, F.struct(*keys, F.col("needs").alias("id")).alias("next"))).select("id.*")
     more = candidates.join(needed, [*keys, "id"], "left_semi").join(taken.select(*keys, "id"), [*keys, "id"], "left_anti")

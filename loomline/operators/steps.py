@@ -45,11 +45,16 @@ def tasks_for(table: DataFrame, rows: int = ROWS, least: int = 1) -> int:
 
 
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct (id) of start and all that edges (id, next) lead to. Goes on until a step adds nothing, however long the chain."""
-    steps = Steps(start.sparkSession, "reachable")
+    """Distinct (id) of start and all that edges (id, next) lead to. Goes on until a step adds nothing, however long the chain.
+
+    An edge to what has been reached is of no further use. Only the others are read by the next step, so that it needs
+    neither all edges nor all ids found before.
+    """
+    steps, left = Steps(start.sparkSession, "reachable"), Steps(start.sparkSession, "edges")
     last = steps.write(start.select("id").distinct())
     kind = dict(last.dtypes)["id"]
+    edges = edges.select("id", F.col("next").cast(kind).alias("next"))
     while not last.isEmpty():
-        following = last.join(edges, "id").select(F.col("next").cast(kind).alias("id")).distinct()
-        last = steps.write(following.join(steps.all(last), "id", "left_anti"))
+        edges = left.write(edges.join(last.select(F.col("id").alias("next")), "next", "left_anti").select("id", "next"))
+        last = steps.write(edges.join(last, "id").select(F.col("next").alias("id")).distinct())
     return steps.all(last).distinct()

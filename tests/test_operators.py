@@ -283,3 +283,17 @@ def test_assigned_frames_in_tasks_of_bounded_size(spark, monkeypatch):
     first = written[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in first and "Sort" not in first
     assert written[1].rdd.getNumPartitions() >= 11
+
+
+def test_reachable_reads_only_edges_that_are_left(spark, monkeypatch):
+    """A chain, a circle and a loop: each step drops what it has reached, and none reads all that was found before."""
+    from loomline.operators import steps
+
+    read, written = [], []
+    monkeypatch.setattr(steps.Steps, "all", lambda self, like, all=steps.Steps.all: read.append(1) or all(self, like))
+    monkeypatch.setattr(steps.Steps, "write", lambda self, rows, write=steps.Steps.write: written.append((rows.columns, write(self, rows))) or written[-1][1])
+    edges = [(i, i + 1) for i in range(6)] + [(3, 1), (6, 6), (20, 21), (None, 2)]
+    found = steps.reachable(spark.createDataFrame([(0,), (0,)], "id long"), spark.createDataFrame(edges, "id long, next long"))
+    assert sorted(r.id for r in found.collect()) == list(range(7)) and len(read) == 1
+    left = [x.count() for columns, x in written if columns == ["id", "next"]]
+    assert left == sorted(left, reverse=True) and left[-1] == 1
