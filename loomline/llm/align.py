@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 #: Chunks of text, and links of them, that a worker keeps; links that it gathers before they are counted.
-CHUNKS, KEPT, GATHERED = 300_000, 4_000_000, 4_000_000
+CHUNKS, KEPT, GATHERED = 120_000, 2_000_000, 4_000_000
 #: Characters of the texts that are encoded at once.
 CHARS = 500_000
 #: A chunk starts at a space after a character that is neither white space nor U+2581. A's words end there, and no piece of B goes on over it.
@@ -201,6 +201,7 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, *, key: str =
                     ids, texts, size = [], [], 0
             if ids:
                 yield done(ids, texts)
+        storage.release_memory()
 
     columns = f"key {kind.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary" + ", groups string" * with_groups
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, columns).withColumnRenamed("key", key)
@@ -306,6 +307,8 @@ def look_up(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     kept = [c for c in aligned.columns if c != "links"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker that has aligned keeps its chunks no longer
+        _ALIGNERS.clear()
         if tuple(shards) not in _COUNTS:
             _COUNTS.clear()
             _COUNTS[tuple(shards)] = Counts(shards)
