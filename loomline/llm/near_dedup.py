@@ -10,9 +10,10 @@ HELD classes is dealt in parts of about that many.
 Near copies do not get apart by branching. So each level also links a class with the likest of some
 random classes of its large nodes, and nodes whose classes are in one component already are done.
 Where a quarter of a node is in one component (or all but LIMIT classes), the classes outside are
-compared with that component in blocks, on full sets, and go on among themselves. What is still
-large and apart at the last level is compared with the whole node in the same way. Thus any two
-classes of a node end in one component if they are linked, whatever the node's size.
+compared with that component in blocks, on full sets, and go on among themselves. Where a node of up
+to WHOLE classes is DENSE, so that its children would be hardly smaller and more of them, all of it is
+compared in the same way at once, and so is what is still large and apart at the last level. Thus any
+two classes of a node end in one component if they are linked, whatever the node's size.
 
 A pair at exactly 0.8 meets in no node that is compared with a chance of at most 1.3e-6 (6e-8 where
 its nodes get small within three levels). Pairs whose sketches agree enough are confirmed on the full
@@ -41,6 +42,10 @@ COORDINATES = 128
 LIMIT, NEIGHBOURS = 32, 16
 #: A component with one in so many classes of a node is compared with the others of it at once.
 MAIN = 4
+#: Mean similarity of random classes of a node from which on it is compared as a whole, if it has no more classes than that.
+DENSE, WHOLE = 0.3, 4096
+#: Random classes with which each one's similarity is taken for that.
+TRIED = 4
 #: Classes of one node, or part of it, in a task; shingles of one side of a block.
 HELD, BLOCK = 4096, 1 << 19
 MISSED = 1e-7
@@ -186,7 +191,7 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return COORDINATES - np.bitwise_count(differ).sum(-1, dtype=np.int64)
 
 
-#: kind PAIR, NEIGHBOUR: a, b and how much they agree. MEMBER of a large node: a.
+#: kind PAIR, NEIGHBOUR: a, b and how much they agree. MEMBER of a large node: a, and in how many coordinates of TRIED others it agrees.
 SCANNED = "kind byte, node long, a long, b long, agree long"
 PAIR, NEIGHBOUR, MEMBER = range(3)
 
@@ -201,8 +206,9 @@ def dealt_by_node(rows: DataFrame, large: DataFrame) -> DataFrame:
 def scan(rows: DataFrame, share: int) -> DataFrame:
     """One pass over rows as dealt_by_node() gives them.
 
-    Small nodes give the pairs that agree and are in different components, large ones their members,
-    and for each the likest of NEIGHBOURS classes before and after it.
+    Small nodes give the pairs that agree and are in different components, large ones their members
+    with how much each agrees with the TRIED after it (in a circle), and for each the likest of NEIGHBOURS
+    classes before and after it.
     """
     least = least_agreeing(share)
 
@@ -243,7 +249,11 @@ def scan(rows: DataFrame, share: int) -> DataFrame:
                     best[side[own]], with_one[side[own]] = found[own], ids[other[own]]
             own = best > 0
             yield out(NEIGHBOUR, None, ids[own], with_one[own], best[own])
-            yield out(MEMBER, node[large], ids[large], None, None)
+            own, agree = np.flatnonzero(large), np.zeros(large.sum(), np.int64)
+            for d in range(1, TRIED + 1):
+                # a part of a large node may be small itself
+                agree += agreeing(bits[own], bits[own - place[own] + (place[own] + d) % size[own]])
+            yield out(MEMBER, node[large], ids[large], None, agree)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
@@ -308,20 +318,22 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def compare_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links between sides 0 and 1 of groups (g, side, id, component), found on the full sets.
+    """Links between sides 0 and 1 of groups (g, side, id, component), found on the full sets. Classes of side 2 are on both.
 
     A class of side 0 needs one link with each component of a block, so no more are given: it tries
-    the likest first. Sides are dealt into blocks by hash, of about BLOCK shingles each.
+    the likest first. Two classes of side 2 are tried once, by the lesser. Sides are dealt into blocks
+    by hash, of about BLOCK shingles each.
     """
     least = least_agreeing(share)
     rows = groups.join(classes.select("id", "n", "bits"), "id")
-    totals = rows.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.col("side") == k, F.col("n"))) / BLOCK).alias(f"blocks_{k}") for k in (0, 1))).where("blocks_0 > 0 and blocks_1 > 0")
+    totals = rows.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.col("side") != 1 - k, F.col("n"))) / BLOCK).alias(f"blocks_{k}") for k in (0, 1))).where("blocks_0 > 0 and blocks_1 > 0")
     rows = rows.join(totals, "g").join(sets, "id")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = "side", "id", "component", "n", "bits", "hashes"
-    out = rows.where("side = 0").select("g", dealt("blocks_0").alias("i"), each("blocks_1").alias("j"), *columns)
-    whole = rows.where("side = 1").select("g", each("blocks_0").alias("i"), dealt("blocks_1").alias("j"), *columns)
+    columns = "side", "id", "component", "n", "bits", "hashes", "both"
+    rows = rows.withColumn("both", F.col("side") == 2)
+    out = rows.where("side <> 1").withColumn("side", F.lit(0)).select("g", dealt("blocks_0").alias("i"), each("blocks_1").alias("j"), *columns)
+    whole = rows.where("side <> 0").withColumn("side", F.lit(1)).select("g", each("blocks_0").alias("i"), dealt("blocks_1").alias("j"), *columns)
     both = out.unionByName(whole).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +341,7 @@ def compare_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, share
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
             side, ids, component, n = (np.asarray(batch.column(i)) for i in range(3, 7))
-            bits, hashes, found = _matrix(batch.column(7)), batch.column(8), []
+            bits, hashes, two, found = _matrix(batch.column(7)), batch.column(8), batch.column(9).to_numpy(zero_copy_only=False), []
             new = (np.diff(keys, axis=0) != 0).any(1) | (np.diff(side) != 0)
             bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]
             for start, end in zip(bounds, bounds[1:]):
@@ -343,7 +355,7 @@ def compare_blocks(groups: DataFrame, classes: DataFrame, sets: DataFrame, share
                 own = [None] * (end - start)
                 for q_id, q_component, q_n, q_bits, q_hashes in queries:
                     agree = agreeing(bits[start:end], q_bits)
-                    possible = (agree >= least) & (component[start:end] != q_component) & (100 * np.minimum(n[start:end], q_n) >= share * np.maximum(n[start:end], q_n))
+                    possible = (agree >= least) & (component[start:end] != q_component) & (~two[start:end] | (ids[start:end] > q_id)) & (100 * np.minimum(n[start:end], q_n) >= share * np.maximum(n[start:end], q_n))
                     near = np.flatnonzero(possible)
                     for i in near[np.argsort(-agree[near], kind="stable")].tolist():
                         if (q_id, q_component, component[start + i]) in done:
@@ -408,22 +420,25 @@ class Join:
         # components for the levels below; those hardly add to them, and their pairs are tried at once
         if level <= 2:
             self.merge()
-        members = self.scratch.write(self.with_component(scanned.where(F.col("kind") == MEMBER).select("node", F.col("a").alias("id"))), "members")
-        counts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"))
-        nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"))
+        members = self.scratch.write(self.with_component(scanned.where(F.col("kind") == MEMBER).select("node", F.col("a").alias("id"), "agree")), "members")
+        counts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own"), F.sum("agree").alias("agree"))
+        nodes = counts.groupBy("node").agg(F.max_by("component", F.struct("own", -F.col("component"))).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most"), F.sum("agree").alias("agree"))
         nodes = self.scratch.write(nodes.where("all > most"), "apart")
         if nodes.isEmpty():
             return None
-        members = members.join(nodes, "node").withColumn("outside", F.col("component") != F.col("main"))
+        members = members.drop("agree").join(nodes, "node").withColumn("outside", F.col("component") != F.col("main"))
+        # compared with the whole node
+        node = [F.xxhash64(F.lit("node"), "node").alias("g"), F.when(F.col("outside"), 2).otherwise(1).alias("side"), "id", F.lit(None).cast("long").alias("of")]
         if level == LEVELS:
-            sides = F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-            self.settle.append(members.select(F.xxhash64(F.lit("node"), "node").alias("g"), F.explode(sides).alias("side"), "id", F.lit(None).cast("long").alias("of")))
+            self.settle.append(members.select(node))
             return None
         few = (F.col("all") - F.col("most") <= LIMIT) | (MAIN * F.col("most") >= F.col("all"))
-        members = self.scratch.write(members.withColumn("few", few), "apart")
+        dense = (F.col("all") <= WHOLE) & (F.col("agree") >= TRIED * COORDINATES * (1 / 4 + 3 / 4 * DENSE) * F.col("all"))
+        members = self.scratch.write(members.withColumn("few", few).withColumn("dense", ~few & dense), "apart")
+        self.settle.append(members.where("dense").select(node))
         self.settle.append(members.where("few").select(F.xxhash64(F.lit("component"), "main").alias("g"), F.when(F.col("outside"), 0).otherwise(1).alias("side"), "id", F.col("main").alias("of")))
         rest = members.where("few and outside and all - most > 1").select(F.xxhash64(F.lit("apart"), "node").alias("node"), "id", F.lit(True).alias("whole"))
-        return rest.unionByName(members.where("not few").select("node", "id", F.lit(False).alias("whole")))
+        return rest.unionByName(members.where("not few and not dense").select("node", "id", F.lit(False).alias("whole")))
 
     def settle_groups(self) -> None:
         if not self.settle:
@@ -435,9 +450,9 @@ class Join:
         else:
             rows = rows.withColumn("now", F.lit(None).cast("long"))
         # by now some are inside
-        rows = rows.where((F.col("side") == 1) | F.col("of").isNull() | (F.col("component") != F.coalesce("now", "of")))
+        rows = rows.where((F.col("side") > 0) | F.col("of").isNull() | (F.col("component") != F.coalesce("now", "of")))
         rows = self.scratch.write(rows.select("g", "side", "id", "component"), "groups")
-        open_groups = self.scratch.write(rows.where("side = 0").select("g").distinct(), "open")
+        open_groups = self.scratch.write(rows.where("side <> 1").select("g").distinct(), "open")
         if open_groups.isEmpty():
             return
         rows = self.scratch.write(rows.join(open_groups, "g"), "groups")

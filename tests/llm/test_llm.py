@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import components, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, queries, suffix_dedup, token_files
+from loomline.llm import components, fingerprints, html_extract, language, line_dedup, media, mixing, near_dedup, pieces, queries, storage, suffix_dedup, token_files
 
 HASHES = "h1 long, h2 long"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -480,6 +480,27 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == want
 
 
+def test_dense_nodes_do_not_branch(spark):
+    # at a similarity of about 0.45 two of three children would be as large as their node
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(rng, base, 6) for _ in range(300)]
+    texts += [edited(rng, texts[i], 2) for i in range(0, 300, 4)]
+    rows = {i: " ".join(x) for i, x in enumerate(texts)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    with storage.Scratch(spark, "dense") as scratch:
+        classes = scratch.write(near_dedup.sketch(docs, 5).withColumnRenamed("doc_id", "id"), "classes").select("id", "n", "sig", "bits")
+        join = near_dedup.Join(docs, classes, 5, 80, scratch)
+        further = join.level(None, 1)
+        assert further is None or further.count() < len(rows)
+        # a node's classes are dealt once, not once for each side
+        dealt = join.settle[0].unionByName(join.settle[1])
+        assert dealt.groupBy("g", "id").count().where("count > 1").isEmpty() and dealt.where("side = 2").count() > 6 * 300
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, words=5).collect()}
+    want = groups_by_force(rows, 5, 80)
+    assert got == want and 150 < len({x[1] for x in want.values()}) < 375
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_near_duplicates_odd_rows(spark, kind):
     many = "one two three four five six seven eight nine ten"
