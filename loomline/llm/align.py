@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import storage
 
 #: Chunks of text, and links of them, that a worker keeps; links that it gathers before they are counted.
-CHUNKS, KEPT, GATHERED = 120_000, 2_000_000, 4_000_000
+CHUNKS, KEPT, GATHERED = 120_000, 2_000_000, 1_000_000
+#: Rows of an Arrow batch: a row's links take some kilobytes, which Spark and the worker both hold several times.
+ARROW_ROWS = 1024
 #: Characters of the texts that are encoded at once.
 CHARS = 500_000
 #: A chunk starts at a space after a character that is neither white space nor U+2581. A's words end there, and no piece of B goes on over it.
@@ -224,6 +226,8 @@ def count_links(aligned: DataFrame, scratch: storage.Scratch, *, gathered: int =
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker that has aligned keeps its chunks no longer
+        _ALIGNERS.clear()
         keys, counts, size = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -329,9 +333,9 @@ def aligned_counts(docs: DataFrame, byte_bpe: str, piece_model: str, *, key: str
     """align_tokens() of docs with the corpus-wide counts of look_up(). What odd rows give is said there.
 
     The texts are encoded once, to a table of links; that, the partial counts and the shards go when the result,
-    a table of its own, has been written.
+    a table of its own, has been written. Until then the session's Arrow batches are short.
     """
-    with storage.Scratch(docs.sparkSession, "align") as scratch:
+    with storage.Scratch(docs.sparkSession, "align") as scratch, storage.arrow_rows(docs.sparkSession, ARROW_ROWS):
         aligned = scratch.write(align_tokens(docs, byte_bpe, piece_model, key=key, text=text, with_groups=with_groups), "links", compression="zstd")
         return scratch.keep(look_up(aligned, count_links(aligned, scratch)), "aligned")
 

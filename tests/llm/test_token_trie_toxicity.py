@@ -90,6 +90,20 @@ def test_alignment(spark, data):
     assert all((got[i].n_a, got[i].groups_sha256) == (0, "") for i in (2, 3, 4)) and got[1].n_a
 
 
+def test_alignment_moves_links_in_short_batches(spark, monkeypatch):
+    name, rows, put = "spark.sql.execution.arrow.maxRecordsPerBatch", [], storage.write
+    before = spark.conf.get(name)
+
+    def write(df, *args, **kwargs):
+        rows.append(int(spark.conf.get(name)))
+        return put(df, *args, **kwargs)
+
+    monkeypatch.setattr(storage, "write", write)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    assert align.aligned_counts(docs, A, B).count() == len(TEXTS)
+    assert len(rows) == 4 and max(rows) <= align.ARROW_ROWS and spark.conf.get(name) == before
+
+
 def test_links_are_counted_over_tasks_and_shards(spark):
     rng = np.random.default_rng(0)
     rows = [(i, np.minimum(rng.zipf(1.3, rng.integers(0, 400)), 1 << 40).astype(np.int64).tobytes()) for i in range(200)]
